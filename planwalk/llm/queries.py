@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwalk.llm import bitpack, packing, store
+from planwalk.llm import bitpack, decontaminate, packing, store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,48 @@ def op1_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 1024 tokens."""
     return packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, room=1024)
+
+
+@query
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as WARC archives and returns what the sequential reader finds."""
+    out = store.scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+ORACLES["op8_warc_archives"] = """
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to, true AS digest_ok
+FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d,
+        max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages) t
+"""
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports the words of all documents that occur in windows of benchmark items."""
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+ORACLES["op10_benchmark_decontamination"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+  b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+  bw AS (SELECT DISTINCT item_id, least(10, len(ws)) AS w, array_to_string(ws[q:q + least(10, len(ws)) - 1], ' ') AS g
+    FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS q FROM b WHERE len(ws) > 0) t),
+  sizes AS (SELECT DISTINCT w FROM bw),
+  dw AS (SELECT doc_id, w, p, array_to_string(ws[p:p + w - 1], ' ') AS g
+    FROM (SELECT doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) AS p FROM d, sizes WHERE len(ws) >= w) t),
+  hit AS (SELECT doc_id, p, dw.w, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.w = bw.w),
+  words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + w)) AS x FROM hit) t GROUP BY doc_id),
+  items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+    FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS i FROM hit) t GROUP BY doc_id)
+SELECT d.doc_id, cast(len(ws) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
