@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwalk.llm import bitpack, decontaminate, neardup, packing, store, warc
+from planwalk.llm import bitpack, decontaminate, langid, neardup, packing, store, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,26 @@ FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_i
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups all documents whose sets of 2-word shingles are at least 80 % alike."""
     return neardup.groups(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query
+def op5_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors for each vector whose id is divisible by 100."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, steps=1024)
+
+
+ORACLES["op5_kd_tree_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x AS double))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_inner_product(q.v, c.v) AS bigint) AS score
+    FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, cast(rank AS integer) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) t WHERE rank <= 10
+"""
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts the language of all documents with a model that has not seen the held-out ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
