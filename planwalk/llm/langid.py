@@ -127,9 +127,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             for i, j, found in grams(data, offsets) if m.languages else ():
                 points = np.tile(m.log_prior, (j - i, 1))
                 for buckets, counts in found:
-                    at = (np.cumsum(counts) - counts)[counts > 0]
+                    begins = (np.cumsum(counts) - counts)[counts > 0]
                     for k in range(len(m.languages)):
-                        points[counts > 0, k] += np.add.reduceat(by_language[k][buckets], at)
+                        points[counts > 0, k] += np.add.reduceat(by_language[k][buckets], begins)
                 best = points.argmax(axis=1)
                 posterior = 1 / np.exp(points - points.max(axis=1, keepdims=True)).sum(axis=1)
                 for r in range(j - i):
