@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwalk.llm import bitpack, decontaminate, langid, neardup, packing, store, topk, warc
+from planwalk.llm import bitpack, decontaminate, langid, linededup, neardup, packing, store, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,34 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicts the language of all documents with a model that has not seen the held-out ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op4_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops all documents' repeated and nearly repeated lines and digests what stays."""
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op4_line_edit_join"] = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+  l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM d),
+  f AS (SELECT line, length(line) AS n, min(doc_id * 1000000 + pos) AS o FROM l WHERE length(line) >= 20 GROUP BY line),
+  parts AS (SELECT line, n, o, n // 3 AS k, n - 2 * (n // 3) AS m FROM f),
+  -- lines within two edits share one of three parts, up to a shift of two
+  keys AS (SELECT line, n, o, 1 AS i, line[1:k] AS s, k FROM parts
+    UNION ALL SELECT line, n, o, 2, line[k + 1:2 * k], k FROM parts
+    UNION ALL SELECT line, n, o, 3, line[2 * k + 1:n], k FROM parts),
+  cand AS (SELECT DISTINCT a.line AS x, b.line AS y, a.o AS ax, b.o AS ay
+    FROM keys a JOIN f b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line
+      AND CASE a.i WHEN 1 THEN b.line[1:a.k] = a.s WHEN 3 THEN b.line[b.n - length(a.s) + 1:b.n] = a.s
+        ELSE b.line[a.k + 1:2 * a.k] = a.s OR b.line[a.k:2 * a.k - 1] = a.s OR b.line[a.k + 2:2 * a.k + 1] = a.s
+          OR b.line[a.k - 1:2 * a.k - 2] = a.s OR b.line[a.k + 3:2 * a.k + 2] = a.s END),
+  gone AS (SELECT DISTINCT y AS line FROM cand WHERE ax < ay AND levenshtein(x, y) <= 2
+    UNION SELECT DISTINCT x FROM cand WHERE ay < ax AND levenshtein(x, y) <= 2),
+  stays AS (SELECT l.doc_id, l.pos, l.line FROM l LEFT JOIN f ON l.line = f.line
+    WHERE f.line IS NULL OR (f.o = l.doc_id * 1000000 + l.pos AND l.line NOT IN (SELECT line FROM gone))),
+  texts AS (SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS t FROM stays GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN texts ON texts.doc_id = d.doc_id
+"""
