@@ -47,11 +47,14 @@ def _found(docs: DataFrame, items: DataFrame, w: int) -> DataFrame:
     step = w - n + 1
     seeds = items.where(F.col("w") == w).select("item", "iw", F.explode(F.expr(f"sequence(0, size(iw) - {n})")).alias("q"))
     seeds = seeds.select("item", "iw", "q", _gram("iw", "q", n).alias("gram"))
-    scan = docs.where(F.size("dw") >= n).select("doc", "text_key", "dw", F.explode(F.expr(f"sequence(0, size(dw) - {n}, {step})")).alias("p"))
+    scan = docs.select("doc", "text_key", "dw", F.explode(F.expr(f"CASE WHEN size(dw) >= {n} THEN sequence(0, size(dw) - {n}, {step}) ELSE array() END")).alias("p"))
     hits = scan.withColumn("gram", _gram("dw", "p", n)).join(F.broadcast(seeds), "gram")
     left = "CASE WHEN least(p, q) > 0 THEN aggregate(sequence(1, least(p, q)), 0, (a, k) -> IF(a = k - 1 AND dw[p - k] = iw[q - k], k, a)) ELSE 0 END"
     right = "aggregate(sequence(0, least(size(dw) - p, size(iw) - q) - 1), 0, (a, k) -> IF(a = k AND dw[p + k] = iw[q + k], k + 1, a))"
-    spans = hits.select("doc", "text_key", "item", F.expr(f"p - ({left})").alias("low"), F.expr(f"p + ({right})").alias("high"))
+    # as a generator the span stays above the join; a filter on it that became the join's own condition would keep the
+    # scan out of generated code and copy a document's words for every probe
+    span = F.inline(F.array(F.struct(F.expr(f"p - ({left})").alias("low"), F.expr(f"p + ({right})").alias("high"))))
+    spans = hits.select("doc", "text_key", "item", span)
     return spans.where(F.col("high") - F.col("low") >= w).distinct()
 
 
