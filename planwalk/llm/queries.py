@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwalk.llm import bitpack, decontaminate, langid, linededup, neardup, packing, store, topk, warc
+from planwalk.llm import bitpack, decontaminate, langid, linededup, neardup, packing, secrets, store, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,51 @@ WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN texts ON texts.doc_id = d.doc_id
 """
+
+
+@query
+def op2_url_character_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges all pages' urls by rules, and by the character models where no rule fits."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds secrets in all documents and links weak candidates to complementary parts."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def _secret_parts() -> str:
+    """One SELECT per kind: offsets from the lengths of what the pattern's split leaves and of its matches."""
+    quote = lambda s: s.replace("'", "''")
+    one = """SELECT doc_id, {k} AS ord, '{name}' AS kind, '{role}' AS role, {base} AS base, stop - m AS start, stop FROM (
+  SELECT doc_id, m, g, sum(p + coalesce(m, 0)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+    SELECT doc_id, unnest(range(0, len(ps))) AS i, unnest(list_transform(ps, lambda x: length(x))) AS p,
+      unnest(list_transform(ms, lambda x: length(x))) AS m, unnest(list_transform(gs, lambda x: length(x))) AS g
+    FROM (SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS ps, regexp_extract_all(t, '{pattern}', 0) AS ms,
+        regexp_extract_all(t, '{pattern}', {group}) AS gs FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) a) b) c) d
+WHERE m IS NOT NULL AND g >= {low}{high}"""
+    return "\nUNION ALL\n".join(
+        one.format(k=k, name=x.name, role=x.role, base=str(x.base).lower(), pattern=quote(x.pattern), group=x.group, low=x.low, high=f" AND g <= {x.high}" if x.high else "") for k, x in enumerate(secrets.KINDS)
+    )
+
+
+ORACLES["op7_linked_secrets"] = f"""
+WITH parts AS ({_secret_parts()}),
+  found AS (SELECT doc_id, ord, kind, start, stop, base FROM parts p WHERE base
+      OR EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.role <> p.role
+        AND abs(q.start - p.start) <= {secrets.SCOPE})),
+  listed AS (SELECT doc_id, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
+      string_agg(CASE WHEN base THEN concat(kind, ':', start, ':', stop) END, ',' ORDER BY start, ord) AS b,
+      string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, ord, stop) AS s FROM found GROUP BY doc_id)
+SELECT d.doc_id, cast(coalesce(n_assign, 0) AS bigint) AS n_assign, cast(coalesce(n_access, 0) AS bigint) AS n_access,
+  cast(coalesce(n_hex, 0) AS bigint) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM documents d LEFT JOIN listed ON listed.doc_id = d.doc_id
+"""
