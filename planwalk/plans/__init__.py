@@ -1,0 +1,10 @@
+"""Registered queries; load() imports the modules that register them."""
+
+import importlib
+
+MODULES = ("graph_queries", "session_queries")
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"planwalk.plans.{name}")
