@@ -45,7 +45,7 @@ def _longs(hashes: np.ndarray) -> pa.Array:
     return pa.array(hashes.view(np.int64))
 
 
-def _node(own: np.ndarray) -> bytes:
+def _digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
@@ -54,7 +54,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, size: int, coordinates: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, sig): set size, class of equal sets (null for the empty set) and signature of every row."""
+    """(id, n, digest, sig): set size, digest of the set (null for the empty set) and signature of every row."""
     multipliers, shifts = shingles.family(coordinates)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,17 +63,17 @@ def signatures(docs: DataFrame, size: int, coordinates: int, id_col: str, text_c
             for i, j, hashes, counts in shingles.sets(data, offsets, size):
                 some = np.flatnonzero(counts)
                 ends = np.cumsum(counts)
-                nodes: list[bytes | None] = [None] * (j - i)
+                digests: list[bytes | None] = [None] * (j - i)
                 for r in some.tolist():
-                    nodes[r] = _node(hashes[ends[r] - counts[r] : ends[r]])
+                    digests[r] = _digest(hashes[ends[r] - counts[r] : ends[r]])
                 sig = shingles.signatures(hashes, counts, multipliers, shifts) if len(some) else np.zeros((0, coordinates), np.uint64)
                 at = np.concatenate(([0], np.cumsum(np.where(counts > 0, coordinates, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(counts), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(at), _longs(sig.reshape(-1)))],
-                    names=["id", "n", "node", "sig"],
+                    [batch.column(0).slice(i, j - i), pa.array(counts), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(at), _longs(sig.reshape(-1)))],
+                    names=["id", "n", "digest", "sig"],
                 )
 
-    return _rows(docs, id_col, text_col).mapInArrow(task, "id long, n long, node binary, sig array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(task, "id long, n long, digest binary, sig array<long>")
 
 
 def _bitmap(ids: DataFrame) -> dict[int, bytes]:
@@ -84,8 +84,19 @@ def _bitmap(ids: DataFrame) -> dict[int, bytes]:
     return {r["k"]: bytes(r["m"]) for r in rows}
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """(digest, id, node): one row per class of equal sets with its smallest id; node is a number of its own.
+
+    Numbers are 64 bits of the digest; digests that share them are told apart by their order.
+    """
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
+    short = F.xxhash64("digest")
+    nth = F.row_number().over(Window.partitionBy(short).orderBy("digest")) - 1
+    return classes.select("digest", "id", (short.bitwiseXOR(nth.cast("long"))).alias("node"))
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, set): the full shingle sets of `nodes` (node, id), from one more scan that takes only their documents."""
+    """(node, set): the full shingle sets of `nodes` (node, id, digest), from one more scan that takes only their documents; a node may come twice."""
     bits = np.zeros(BITMAP_BITS // 8, np.uint8)
     for k, m in _bitmap(nodes.select("id")).items():
         at = (k - 1) * (_BUCKET_BITS // 8)
@@ -104,25 +115,29 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: s
                 ends = np.concatenate(([0], np.cumsum(counts)))
                 own = [hashes[ends[r] : ends[r + 1]] for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(x) for x in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _longs(hashes))],
-                    names=["node", "set"],
+                    [pa.array([_digest(x) for x in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _longs(hashes))],
+                    names=["digest", "set"],
                 )
 
     rows = _rows(docs, id_col, text_col).withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS)))
-    found = rows.mapInArrow(task, "node binary, set array<long>")
-    return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    found = written(rows.mapInArrow(task, "digest binary, set array<long>"), "found-sets")
+    return nodes.select("node", "digest").join(found, "digest").select("node", "set").dropDuplicates(["node"])
 
 
 def _near(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return 100 * common >= percent * (n_a + n_b - common)
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that collide often enough and whose full sets are near."""
+def _collide(pairs: DataFrame, sigs: DataFrame, matches: int, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): the pairs of classes whose sizes allow the similarity and whose signatures collide often enough."""
     for x in "ab":
         pairs = pairs.join(sigs.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")), x)
     hits = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, h: s + h)
-    pairs = pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (hits >= matches)).select("a", "b", "n_a", "n_b")
+    return pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (hits >= matches)).select("a", "b", "n_a", "n_b")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are near."""
     for x in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")), x)
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -144,8 +159,8 @@ def _cross_block(percent: int):
         return out
 
     def task(block: pd.DataFrame, few: pd.DataFrame) -> pd.DataFrame:
-        links_a: list[bytes] = []
-        links_b: list[bytes] = []
+        links_a: list[int] = []
+        links_b: list[int] = []
         if len(block) and len(few):
             n_all, n_few = block["n"].to_numpy(), few["n"].to_numpy()
             seen, seen_at = flat(few["earlier"])
@@ -165,9 +180,9 @@ def _cross_block(percent: int):
                 common = np.add.reduceat((mine[where] == values).astype(np.int64), at[:-1])
                 near = open_pairs[i] & (100 * common >= percent * (n_few[i] + n_all - common))
                 for j in np.flatnonzero(near).tolist():
-                    links_a.append(few["node"].iloc[i])
-                    links_b.append(block["node"].iloc[j])
-        return pd.DataFrame({"a": pd.Series(links_a, dtype=object), "b": pd.Series(links_b, dtype=object)})
+                    links_a.append(int(few["node"].iloc[i]))
+                    links_b.append(int(block["node"].iloc[j]))
+        return pd.DataFrame({"a": links_a, "b": links_b}, dtype="int64")
 
     return task
 
@@ -175,7 +190,7 @@ def _cross_block(percent: int):
 def _long_lists(lists: DataFrame, postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes of one long list that are in different components; nothing but links leaves the blocks.
 
-    lists: (token, size); postings: (token, node, rank, label, n, earlier).  The component with
+    lists: (token, size); postings: (token, node, n, earlier, label).  The component with
     the most classes of a list is its majority, all others its minority.
     """
     members = postings.join(lists, "token")
@@ -190,7 +205,7 @@ def _long_lists(lists: DataFrame, postings: DataFrame, sets: DataFrame, percent:
     block = rows.withColumn("block", here).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(columns)
     few = rows.where("few").withColumn("part", part).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(columns).toDF(*columns)
     key = ["token", "block", "part"]
-    return block.groupBy(key).cogroup(few.groupBy(key)).applyInPandas(_cross_block(percent), "a binary, b binary")
+    return block.groupBy(key).cogroup(few.groupBy(key)).applyInPandas(_cross_block(percent), "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,43 +216,52 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int =
     never is a component_id unless the whole group has none.  An empty table gives no rows.
     """
     rows = written(signatures(docs, size, coordinates, id_col, text_col), "signatures")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-    nodes = rows.where("n > 0").dropDuplicates(["node"]).select("node", "n", "sig")
+    classes = written(_classes(rows), "classes")
+    # the row of the smallest id stands for its class; copies have ids of their own, so none of them crowd one key
+    at = F.coalesce("id", F.lit(-(1 << 63))).alias("at")
+    nodes = classes.select("digest", at, "node").join(rows.where("n > 0").select("digest", at, "n", "sig"), ["digest", "at"]).dropDuplicates(["node"]).select("node", "n", "sig")
 
-    tokens = nodes.select("node", "n", F.explode("sig").alias("token"))
+    tokens = nodes.select("node", F.explode("sig").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rank = Window.partitionBy("node").orderBy("df", "token")
     # postings that no other class shares come first in every class's order and need no list
     alone = coordinates - F.count(F.lit(1)).over(Window.partitionBy("node"))
     prefix = tokens.join(shared, "token").withColumn("rank", F.row_number().over(rank)).withColumn("alone", alone).where(F.col("rank") + F.col("alone") <= coordinates - matches + 1)
-    prefix = prefix.withColumn("earlier", F.coalesce(F.collect_list("token").over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.array()))
-    prefix = written(prefix.select("token", "node", "n", "earlier"), "postings")
+    prefix = written(prefix.select("token", "node", "df"), "postings")
     lists = written(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where("size > 1"), "lists")
-
-    needed = prefix.join(lists.select("token"), "token", "left_semi").select("node").distinct()
-    needed = written(needed.join(classes, "node"), "needed")
-    sigs = written(nodes.join(needed.select("node"), "node", "left_semi"), "needed-signatures")
-    sets = written(_sets(docs, needed, size, id_col, text_col), "sets")
-
-    stars = prefix.join(lists.where("size > 1"), "token").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_confirm(stars, sigs, sets, matches, percent), "links")
+    in_lists = prefix.join(lists.select("token"), "token", "left_semi").select("node").distinct()
+    sigs = written(nodes.join(in_lists, "node", "left_semi"), "list-signatures")
+
+    stars = prefix.join(lists, "token").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = written(_collide(stars, sigs, matches, percent), "stars")
+    asked = written(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    sets = written(_sets(docs, classes.join(asked, "node"), size, id_col, text_col), "sets")
+    links = written(_confirm(stars, sets, percent), "links")
     labels = connected_components(links)
 
-    labelled = prefix.join(labels, "node", "left").select("token", "node", "n", "earlier", F.coalesce("label", "node").alias("label"))
-    labelled = written(labelled.join(lists.select("token"), "token", "left_semi"), "labelled")
+    labelled = prefix.join(labels, "node", "left").select("token", "node", "df", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token").join(lists, "token")
     mixed = written(mixed, "mixed")
-    short = mixed.where(F.col("size") <= SHORT_LIST)
+    short, long = mixed.where(F.col("size") <= SHORT_LIST), mixed.where(F.col("size") > SHORT_LIST).select("token", "size")
+    labelled = written(labelled.join(mixed.select("token"), "token", "left_semi"), "labelled")
     left = labelled.join(short.select("token", "hub"), "token").where("node <> hub").select("token", F.col("node").alias("a"), F.col("label").alias("la"))
     right = labelled.select("token", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "token").where("a < b and la <> lb").select("a", "b").distinct()
     # the hub has been compared with all others of its list already
-    more = _confirm(pairs, sigs, sets, matches, percent).unionByName(_long_lists(mixed.where(F.col("size") > SHORT_LIST).select("token", "size"), labelled, sets, percent))
-    labels = connected_components(links.unionByName(written(more, "more-links")))
+    pairs = left.join(right, "token").where("a < b and la <> lb").select("a", "b").distinct()
+    pairs = written(_collide(pairs, sigs, matches, percent), "pairs")
+    members = labelled.join(long, "token", "left_semi").select("node").distinct()
+    # only classes in a list that is both long and mixed need the other postings before that list
+    order = Window.partitionBy("node").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    before = prefix.join(members, "node", "left_semi").withColumn("earlier", F.coalesce(F.collect_list("token").over(order), F.array())).join(long.select("token"), "token", "left_semi")
+    posted = before.join(sigs.select("node", "n"), "node").join(labels, "node", "left").select("token", "node", "n", "earlier", F.coalesce("label", "node").alias("label"))
+    more = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members).distinct().join(asked, "node", "left_anti"), "asked-more")
+    sets = sets.unionByName(written(_sets(docs, classes.join(more, "node"), size, id_col, text_col), "more-sets"))
+    found = _confirm(pairs, sets, percent).unionByName(_long_lists(long, posted, sets, percent))
+    labels = connected_components(links.unionByName(written(found, "more-links")))
 
     marked = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = marked.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_class = marked.join(first, "label").select("node", "component_id")
-    found = rows.select("id", "n", "node").join(of_class, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    of_class = marked.join(first, "label").select("digest", "component_id")
+    found = rows.select("id", "n", "digest").join(of_class, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
