@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 MIN_CHARS = 20
 EDITS = 2
-#: Letters counted in the sketch, four bits each.
-SKETCH_LETTERS = "eanitros"
+#: Letters counted in the sketch, four bits each; the bit PROBE tells a probe from a posting.
+SKETCH_LETTERS = "eanitroshlu"
+PROBE = 60
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,19 +96,24 @@ def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     keyed = _keyed(docs, id_col, text_col)
     narrow = docs.select(F.xxhash64(id_col, text_col, F.lit(7)).alias("dk"), F.col(id_col).alias("id"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
     narrow = narrow.where(F.length("line") >= min_chars).select("dk", "id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
-    first = narrow.groupBy("h1", "h2").agg(F.min(F.struct("id", "dk", "pos")).alias("f")).select("f.dk", "f.pos")
+    first = narrow.groupBy("h1", "h2").agg(F.min(F.struct("id", "dk", "pos")).alias("f")).select("f.dk", "f.id", "f.pos")
     by_doc = first.groupBy("dk").agg(F.collect_list("pos").alias("places"))
-    # every distinct line once, wherever it occurs first
-    line = keyed.join(by_doc, "dk").select("dk", "id", _lines(F.col("text")).alias("ls"), F.explode("places").alias("pos")).select("dk", "pos", F.expr("ls[pos]").alias("line"))
-    line = line.select(F.xxhash64("dk", "pos").alias("lid"), "line", F.length("line").alias("n"), _sketch(F.col("line")).alias("sketch"))
-    posted = line.select("lid", "sketch", F.explode(_posted(edits)).alias("key"))
-    probed = line.select("lid", "sketch", F.explode(_probed(edits)).alias("key"))
-    # one exchange: a posting meets the postings and the probes of its key
-    left = posted.select("key", F.col("lid").alias("la"), F.col("sketch").alias("sa"))
-    right = posted.withColumn("own", F.lit(True)).unionByName(probed.withColumn("own", F.lit(False))).select("key", F.col("lid").alias("lb"), F.col("sketch").alias("sb"), "own")
-    near = left.join(right, "key").where((F.col("la") != F.col("lb")) & (~F.col("own") | (F.col("la") < F.col("lb"))) & (_sketch_distance("sa", "sb") <= 2 * edits))
+    # every distinct line once, wherever it occurs first; only lines leave a document, never copies of its text
+    line = keyed.join(by_doc, "dk").select("dk", "id", "places", _lines(F.col("text")).alias("ls"))
+    line = line.select("dk", "id", F.inline(F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("ls", p).alias("line")))))
+    # the id is part of the hash so that this use of the documents' exchange has the same columns as the others and shares it
+    line = line.select(F.xxhash64("dk", "id", "pos").alias("lid"), "line", F.length("line").alias("n"), _sketch(F.col("line")).alias("sketch"))
+    posted = F.transform(_posted(edits), lambda k: F.struct(k.alias("key"), F.col("sketch").alias("sketch")))
+    probed = F.transform(_probed(edits), lambda k: F.struct(k.alias("key"), F.col("sketch").bitwiseOR(F.lit(1 << PROBE)).alias("sketch")))
+    met = line.select("lid", F.inline(F.concat(posted, probed))).repartition("key")
+    left = met.select("key", F.col("lid").alias("la"), F.col("sketch").alias("sa"))
+    right = met.select("key", F.col("lid").alias("lb"), F.col("sketch").alias("sb"))
+    # a posting meets the probes of its key and the later postings; the test names both sides, so one exchange serves both
+    pa, pb = F.shiftright("sa", PROBE), F.shiftright("sb", PROBE)
+    meets = (pa < pb) | ((pa + pb == 0) & (F.col("la") < F.col("lb")))
+    near = left.join(right, "key").where(meets & (F.col("la") != F.col("lb")) & (_sketch_distance("sa", "sb") <= 2 * edits))
     pairs = near.select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
-    at = first.select(F.xxhash64("dk", "pos").alias("lid"), "dk", "pos")
+    at = first.select(F.xxhash64("dk", "id", "pos").alias("lid"), "dk", "pos")
     for x in "ab":
         pairs = pairs.join(at.select(F.col("lid").alias(f"l{x}"), F.col("dk").alias(f"dk_{x}"), F.col("pos").alias(f"pos_{x}")), f"l{x}")
     for x in "ab":
@@ -116,7 +122,7 @@ def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     pairs = pairs.where(F.levenshtein("line_a", "line_b", edits) >= 0)
     a, b = (F.struct(F.col(f"id_{x}").alias("id"), F.col(f"dk_{x}").alias("dk"), F.col(f"pos_{x}").alias("pos")) for x in "ab")
     pairs = pairs.select(F.when(a < b, a).otherwise(b).alias("a"), F.when(a < b, b).otherwise(a).alias("b"))
-    return keyed, first, pairs.select(F.col("a.dk").alias("dk_a"), F.col("a.pos").alias("pos_a"), F.col("b.dk").alias("dk_b"), F.col("b.pos").alias("pos_b"))
+    return keyed, first.select("dk", "pos"), pairs.select(F.col("a.dk").alias("dk_a"), F.col("a.pos").alias("pos_a"), F.col("b.dk").alias("dk_b"), F.col("b.pos").alias("pos_b"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
