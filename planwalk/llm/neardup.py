@@ -37,7 +37,7 @@ MATCHES = 26
 SHORT_LIST = 64
 BLOCK = 512
 #: Bits of the fixed-size bitmap that keeps other rows' texts out of the second scan.
-BITMAP_BITS = 1 << 26
+BITMAP_BITS = 1 << 25
 _BUCKET_BITS = 32768  # of Spark's bitmap functions
 
 
@@ -253,7 +253,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int =
     # only classes in a list that is both long and mixed need the other postings before that list
     order = Window.partitionBy("node").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
     before = prefix.join(members, "node", "left_semi").withColumn("earlier", F.coalesce(F.collect_list("token").over(order), F.array())).join(long.select("token"), "token", "left_semi")
-    posted = before.join(sigs.select("node", "n"), "node").join(labels, "node", "left").select("token", "node", "n", "earlier", F.coalesce("label", "node").alias("label"))
+    posted = written(before.join(sigs.select("node", "n"), "node").join(labels, "node", "left").select("token", "node", "n", "earlier", F.coalesce("label", "node").alias("label")), "long-postings")
     more = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members).distinct().join(asked, "node", "left_anti"), "asked-more")
     sets = sets.unionByName(written(_sets(docs, classes.join(more, "node"), size, id_col, text_col), "more-sets"))
     found = _confirm(pairs, sets, percent).unionByName(_long_lists(long, posted, sets, percent))
