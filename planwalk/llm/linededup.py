@@ -91,6 +91,81 @@ def _probed(edits: int) -> Column:
     return F.expr(f"array_compact(array({', '.join(keys)}))")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once; Spark evaluates every mention of a lambda's expression anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def banded_distance(a: Column, b: Column, edits: int) -> Column:
+    """Edit distance of two texts of at least `edits` characters, exact up to `edits` and larger than that otherwise.
+
+    A column of the distance matrix is held as two bit vectors, for the rows at which it goes
+    up and down by one, over the 2 * edits + 1 rows beside the diagonal.  The vectors move
+    down a row with every character of b; the distance is followed along the band's last
+    row, and once that is the last row of the matrix, along it.
+    """
+    width = 2 * edits + 1
+    every, last = (1 << width) - 1, 1 << (width - 1)
+    texts = F.struct(F.slice(F.split(a, ""), F.lit(1), F.length(a)).alias("a"), F.slice(F.split(b, ""), F.lit(1), F.length(b)).alias("b"))
+    found = _let(_trimmed(texts, edits), lambda t: _distance(t, edits, width, every, last))
+    return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(edits + 1).cast("long")).otherwise(found)
+
+
+def _trimmed(texts: Column, edits: int) -> Column:
+    """Both character arrays (a, b) without their common start and end, but for `edits` characters of each, and their sizes (m, n)."""
+
+    def common(a: Column, b: Column) -> Column:
+        first = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+        return F.when(first == 0, F.least(F.size(a), F.size(b))).otherwise(first - 1).cast("int")
+
+    def with_start(t: Column) -> Column:
+        shorter = F.least(F.size(t["a"]), F.size(t["b"]))
+        end = F.least(common(F.reverse(t["a"]), F.reverse(t["b"])), shorter - t["start"])
+        return F.struct(t["a"].alias("a"), t["b"].alias("b"), F.greatest(t["start"] - edits, F.lit(0)).alias("start"), F.greatest(end - edits, F.lit(0)).alias("end"))
+
+    def cut(t: Column) -> Column:
+        m, n = F.size(t["a"]) - t["start"] - t["end"], F.size(t["b"]) - t["start"] - t["end"]
+        return F.struct(F.slice(t["a"], t["start"] + 1, m).alias("a"), F.slice(t["b"], t["start"] + 1, n).alias("b"), m.alias("m"), n.alias("n"))
+
+    started = _let(texts, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), common(t["a"], t["b"]).alias("start")))
+    return _let(_let(started, with_start), cut)
+
+
+def _distance(t: Column, edits: int, width: int, every: int, last: int) -> Column:
+    m = t["m"]
+
+    def equal(j: Column) -> Column:
+        def with_here(here: Column) -> Column:
+            return reduce(lambda x, y: x + y, [F.when(F.get(t["a"], j - edits + k - 1) == here, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)]).cast("long")
+
+        return _let(F.get(t["b"], j - 1), with_here)
+
+    columns = F.transform(F.sequence(F.lit(1), t["n"]), lambda j: F.struct(j.alias("j"), equal(j).alias("x")))
+    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits & every).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.lit(edits).cast("long").alias("d"))
+
+    def bit(vector: Column, at: Column) -> Column:
+        return F.when(vector.bitwiseAND(at) != 0, F.lit(1)).otherwise(F.lit(0))
+
+    def step(s: Column, c: Column) -> Column:
+        up, down, x, j = s["up"], s["down"], c["x"], c["j"]
+        same = (x.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(x).bitwiseOR(down).bitwiseAND(F.lit(every))
+
+        def with_same(d0: Column) -> Column:
+            def with_plus(plus: Column) -> Column:
+                minus, moved = d0.bitwiseAND(up), F.shiftright(d0, 1)
+                on_band = F.lit(1) - bit(d0, F.lit(last))
+                row = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(m - j + edits, F.lit(0)).cast("int"))
+                d = s["d"] + F.when(j + edits <= m, on_band).otherwise(bit(plus, row) - bit(minus, row))
+                risen = minus.bitwiseOR(F.bitwise_not(moved.bitwiseOR(plus))).bitwiseAND(F.lit(every))
+                return F.struct(risen.alias("up"), moved.bitwiseAND(plus).alias("down"), d.cast("long").alias("d"))
+
+            return _let(down.bitwiseOR(F.bitwise_not(d0.bitwiseOR(up))).bitwiseAND(F.lit(every)), with_plus)
+
+        return _let(same, with_same)
+
+    return F.aggregate(columns, start, step, lambda s: s["d"])
+
+
 def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents by key, first occurrences (dk, pos), pairs (dk_a, pos_a, dk_b, pos_b) of first occurrences within `edits` edits, a before b)."""
     keyed = _keyed(docs, id_col, text_col)
@@ -119,7 +194,7 @@ def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     for x in "ab":
         text = keyed.dropDuplicates(["dk"]).select(F.col("dk").alias(f"dk_{x}"), F.col("id").alias(f"id_{x}"), F.col("text").alias(f"t_{x}"))
         pairs = pairs.join(text, f"dk_{x}").withColumn(f"line_{x}", _lines(F.col(f"t_{x}"))[F.col(f"pos_{x}")]).drop(f"t_{x}")
-    pairs = pairs.where(F.levenshtein("line_a", "line_b", edits) >= 0)
+    pairs = pairs.where(banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
     a, b = (F.struct(F.col(f"id_{x}").alias("id"), F.col(f"dk_{x}").alias("dk"), F.col(f"pos_{x}").alias("pos")) for x in "ab")
     pairs = pairs.select(F.when(a < b, a).otherwise(b).alias("a"), F.when(a < b, b).otherwise(a).alias("b"))
     return keyed, first.select("dk", "pos"), pairs.select(F.col("a.dk").alias("dk_a"), F.col("a.pos").alias("pos_a"), F.col("b.dk").alias("dk_b"), F.col("b.pos").alias("pos_b"))

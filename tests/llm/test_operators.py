@@ -245,6 +245,24 @@ def edit(a, b):
     return row[-1]
 
 
+def test_banded_distance_equals_brute_force(spark):
+    rng = random.Random(8)
+    for edits in (1, 2, 3):
+        pairs = []
+        for _ in range(300):
+            a = "".join(rng.choices("abé", k=rng.randint(3, 14)))
+            b = list(a)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+            if len(b) >= 3:
+                pairs.append((a, "".join(b)))
+        rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.banded_distance(F.col("a"), F.col("b"), edits).alias("d")).collect()
+        for r in rows:
+            wanted = edit(r["a"], r["b"])
+            assert r["d"] == wanted if wanted <= edits else r["d"] > edits, (edits, r)
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(5)
     texts = []
