@@ -19,7 +19,7 @@ import pandas as pd
 from planwalk.llm import wordhash
 
 #: Words kept before the cache starts anew; an entry takes about 40 bytes.
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 600_000
 #: Signs that may close a plain word, and the last letter of a plain word.
 CLOSING = ".,;:!?"
 LAST_LATIN = "\u00ff"
