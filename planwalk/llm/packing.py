@@ -145,7 +145,9 @@ def best_fit(docs: DataFrame, tokenizer_path: str, end_id: int, room: int, id_co
     Nulls and empty texts are the end id alone; repeated rows are packed as often as they
     stand; an empty table gives no rows.
     """
-    return pack(store.written(pieces(docs, tokenizer_path, end_id, room, id_col, text_col), "pieces"), room, id_col)
+    with store.small_batches(docs.sparkSession):
+        parts = store.written(pieces(docs, tokenizer_path, end_id, room, id_col, text_col), "pieces")
+    return pack(parts, room, id_col)
 
 
 def sequences(layout: DataFrame, docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

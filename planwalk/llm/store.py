@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
+
 from planwalk.sources.scratch import scratch, shared_dir, written
 
-__all__ = ["file_system", "scratch", "shared_dir", "written"]
+__all__ = ["file_system", "scratch", "shared_dir", "small_batches", "written"]
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside hand texts to Python in batches of at most `rows` rows; the session's setting comes back afterwards."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def file_system(uri: str):
