@@ -35,9 +35,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of repeated rows one stays."""
-    kept = neardup.groups(docs, size=SHINGLE_WORDS, percent=PERCENT).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates: the one with the smallest id, null ids last, and of equal ids the one with the smallest row key.
+
+    A row is known by its key, a hash of id and text, so rows that share an id, or have none,
+    are told apart by their texts.  Of rows that repeat id and text, the one with the smallest
+    other columns stays.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    # repeated rows have one key: both sides are made distinct, so no key meets itself many times
+    group = neardup.groups(keyed, size=SHINGLE_WORDS, percent=PERCENT, id_col="_key").select("_key", "component_id").distinct()
+    ids = keyed.select("_key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
+    kept = ids.join(group, "_key").groupBy("component_id").agg(first.alias("first")).select(F.col("first._key").alias("_key")).distinct()
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = keyed.join(kept, "_key", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    return rows.select("doc_id", "text", "rest.*").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
