@@ -20,8 +20,12 @@ _NEXT = {(name, source): target for name, sources, target in TRANSITIONS for sou
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    """The events table as a stream of files: the part files of a folder, or the single file of that name."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
