@@ -21,7 +21,7 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(oracle("SELECT session_id, event_id, call_no FROM f_calls"))
 def stream_walk_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls numbered per session by a keyed stream."""
-    return sessions.drained(sessions.walk(_calls(spark, sf_dir).drop("action")), "walk")
+    return sessions.walk(_calls(spark, sf_dir).drop("action"))
 
 
 @register(
@@ -36,7 +36,7 @@ SELECT session_id, event_id, state, accepted FROM run"""
 )
 def stream_session_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every action's state by a keyed stream."""
-    return sessions.drained(sessions.lifecycle(_calls(spark, sf_dir)), "lifecycle")
+    return sessions.lifecycle(_calls(spark, sf_dir))
 
 
 @register(oracle("SELECT date_trunc('hour', ts) AS start, event_type AS source, count(*) AS n FROM events GROUP BY 1, 2"))

@@ -6,15 +6,14 @@ the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from planwalk.operators.sessions import TRANSITIONS
-from planwalk.sources.scratch import scratch
+from planwalk.sources.scratch import scratch, written
 
 _NEXT = {(name, source): target for name, sources, target in TRANSITIONS for source in sources}
 
@@ -29,37 +28,74 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def walk(calls: DataFrame) -> DataFrame:
-    """(session_id, event_id, call_no): calls (session_id, event_id, ts) numbered per session as they arrive."""
+def walk_batch(calls: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (session_id, event_id, call_no) of one batch of calls, and what to keep: (session_id, held), the calls so far."""
+    order = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    before = kept.select(F.col("session_id").alias("_id"), "held")
+    numbered = calls.withColumn("nth", F.row_number().over(order)).join(before, F.col("session_id").eqNullSafe(F.col("_id")), "left")
+    rows = numbered.select("session_id", "event_id", (F.col("nth") + F.coalesce("held", F.lit(0))).cast("long").alias("call_no"))
+    return rows, calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("held")).unionByName(kept).groupBy("session_id").agg(F.sum("held").alias("held"))
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States after each action; sessions come one after another, each in order, in as many batches as it takes."""
+    session, now = object(), "CREATED"
+    for batch in batches:
+        states, accepted = [], []
+        for own, action, held in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+            if own != session:
+                session, now = own, held or "CREATED"
+            after = _NEXT.get((action, now))
+            accepted.append(after is not None)
+            now = after or now
+            states.append(now)
+        columns = [batch.column(0), batch.column(1), pa.array(states, pa.string()), pa.array(accepted, pa.bool_()), batch.column(4)]
+        yield pa.RecordBatch.from_arrays(columns, names=["session_id", "event_id", "state", "accepted", "ts"])
+
+
+def lifecycle_batch(calls: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (session_id, event_id, state, accepted) of one batch of calls, and what to keep: (session_id, held), the state reached."""
+    before = kept.select(F.col("session_id").alias("_id"), "held")
+    known = calls.join(before, F.col("session_id").eqNullSafe(F.col("_id")), "left").select("session_id", "event_id", "action", "held", "ts")
+    kind = calls.schema["ts"].dataType.simpleString()
+    followed = known.repartition("session_id").sortWithinPartitions("session_id", "ts", "event_id").mapInArrow(_follow, f"session_id long, event_id long, state string, accepted boolean, ts {kind}")
+    followed = written(followed.withColumn("nth", F.monotonically_increasing_id()), "followed")
+    # a session is in one partition, so its rows are numbered in their order
+    reached = followed.groupBy("session_id").agg(F.max_by("state", "nth").alias("held"))
+    others = kept.join(reached.select(F.col("session_id").alias("_id")), F.col("session_id").eqNullSafe(F.col("_id")), "left_anti")
+    return followed.select("session_id", "event_id", "state", "accepted"), reached.unionByName(others)
+
+
+def drained_calls(calls: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], held: str, columns: str, name: str) -> DataFrame:
+    """Runs a stream of calls over all that is there: step(batch, kept) gives the rows of a batch and what is kept of each session.
+
+    Within a batch, calls count in the order of (ts, event_id) whatever files and splits they
+    come from; all that is there at the start is one batch.  Later batches carry on from what is kept.
+    A batch that is run again replaces its own folders.
+    """
+    spark, out = calls.sparkSession, scratch(calls.sparkSession, name)
+    kept_of, done = f"session_id long, held {held}", []
 
-    def task(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (n,) = state.get if state.exists else (0,)
-        for part in parts:
-            part = part.sort_values(["ts", "event_id"])
-            yield pd.DataFrame({"session_id": part["session_id"], "event_id": part["event_id"], "call_no": range(n + 1, n + 1 + len(part))})
-            n += len(part)
-        state.update((n,))
+    def put(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        kept = own.read.schema(kept_of).parquet(f"{out}/kept-{batch_id - 1}") if batch_id else own.createDataFrame([], kept_of)
+        rows, keep = step(written(batch, "calls"), kept)
+        rows.write.mode("overwrite").parquet(f"{out}/rows-{batch_id}")
+        keep.write.mode("overwrite").parquet(f"{out}/kept-{batch_id}")
+        done.append(f"{out}/rows-{batch_id}")
 
-    return calls.groupBy("session_id").applyInPandasWithState(task, "session_id long, event_id long, call_no long", "n long", "append", GroupStateTimeout.NoTimeout)
+    calls.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(columns).parquet(*dict.fromkeys(done)) if done else spark.createDataFrame([], columns)
 
 
-def lifecycle(calls: DataFrame) -> DataFrame:
-    """(session_id, event_id, state, accepted): every action (session_id, event_id, ts, action) with the state it leads to."""
+def walk(calls: DataFrame) -> DataFrame:
+    """(session_id, event_id, call_no): a stream of calls (session_id, event_id, ts) numbered per session, run over all that is there."""
+    return drained_calls(calls, walk_batch, "long", "session_id long, event_id long, call_no long", "walk")
 
-    def task(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        (now,) = held.get if held.exists else ("CREATED",)
-        for part in parts:
-            part = part.sort_values(["ts", "event_id"])
-            states, accepted = [], []
-            for action in part["action"]:
-                after = _NEXT.get((action, now))
-                accepted.append(after is not None)
-                now = after or now
-                states.append(now)
-            yield pd.DataFrame({"session_id": part["session_id"], "event_id": part["event_id"], "state": states, "accepted": accepted})
-        held.update((now,))
 
-    return calls.groupBy("session_id").applyInPandasWithState(task, "session_id long, event_id long, state string, accepted boolean", "now string", "append", GroupStateTimeout.NoTimeout)
+def lifecycle(calls: DataFrame) -> DataFrame:
+    """(session_id, event_id, state, accepted): every action of a stream (session_id, event_id, ts, action) with the state it leads to, run over all that is there."""
+    return drained_calls(calls, lifecycle_batch, "string", "session_id long, event_id long, state string, accepted boolean", "lifecycle")
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -68,13 +104,6 @@ def window_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour"
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("event_type").alias("source"), "n")
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Runs an append stream over all that is there, into a table in the shared folder."""
-    spark, out = stream.sparkSession, scratch(stream.sparkSession, name)
-    stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
-
-
 def drained_updates(stream: DataFrame, name: str, key: list[str]) -> DataFrame:
     """Runs an aggregating stream over all that is there; the last value of each key."""
     spark, out = stream.sparkSession, scratch(stream.sparkSession, name)

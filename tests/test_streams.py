@@ -1,11 +1,13 @@
-"""Streams over shuffled events, in one file and in a folder of part files."""
+"""Streams over shuffled events, in one file and in a folder of part files, against plain loops."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from planwalk.operators.sessions import TRANSITIONS
 from planwalk.plans import stream_queries
+from planwalk.streaming import sessions
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string"
 ACTION = {"view": "START", "click": "PAUSE", "signup": "RESUME", "error": "CANCEL"}
@@ -33,9 +35,43 @@ def stored(events, tmp_path, parts):
     return str(tmp_path)
 
 
+def followed(rows):
+    """event_id: (call_no, state, accepted), session by session."""
+    out, now = {}, {}
+    for e, _, s, kind in sorted(rows, key=lambda r: (r[1], r[0])):
+        n, state = now.get(s, (0, "CREATED"))
+        after = next((t for a, sources, t in TRANSITIONS if a == ACTION.get(kind, "COMPLETE") and state in sources), None)
+        now[s] = (n + 1, after or state)
+        out[e] = (*now[s], after is not None)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_calls_in_no_order(spark, events, tmp_path, parts):
+    df, rows = events
+    sf, wanted = stored(df, tmp_path, parts), followed(rows)
+    steps = {r["event_id"]: r["call_no"] for r in stream_queries.stream_walk_steps(spark, sf).collect()}
+    assert steps == {e: v[0] for e, v in wanted.items()}
+    states = {r["event_id"]: (r["state"], r["accepted"]) for r in stream_queries.stream_session_fsm(spark, sf).collect()}
+    assert states == {e: v[1:] for e, v in wanted.items()}
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_windows_of_all_files(spark, events, tmp_path, parts):
     df, rows = events
     found = stream_queries.stream_window_counts(spark, stored(df, tmp_path, parts)).collect()
     assert sum(r["n"] for r in found) == len(rows)
     assert len(found) == len({(m // 60, kind) for _, m, _, kind in rows})
+
+
+def test_later_batches_carry_on(spark):
+    kinds = ["START", "PAUSE", "RESUME", "PAUSE", "COMPLETE"]
+    calls = spark.createDataFrame([(s, 10 * k + (s or 0), k, a) for s in (1, 2, None) for k, a in enumerate(kinds)], "session_id long, event_id long, ts int, action string")
+    for step, held, column, wanted in ((sessions.walk_batch, "long", "call_no", [1, 2, 3, 4, 5]), (sessions.lifecycle_batch, "string", "state", ["ACTIVE", "PAUSED", "ACTIVE", "PAUSED", "PAUSED"])):
+        first, kept = step(calls.where("ts < 2"), spark.createDataFrame([], f"session_id long, held {held}"))
+        middle, kept = step(calls.where("ts = 2 AND session_id = 1"), kept)
+        last, kept = step(calls.where("ts > 2 OR ts = 2 AND NOT session_id <=> 1"), kept)
+        rows = first.unionByName(middle).unionByName(last).orderBy("event_id").collect()
+        for s in (1, 2, None):
+            assert [r[column] for r in rows if r["session_id"] == s] == wanted
+        assert {(r["session_id"], r["held"]) for r in kept.collect()} == {(s, wanted[-1]) for s in (1, 2, None)}
