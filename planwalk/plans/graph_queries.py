@@ -108,6 +108,17 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.components(view(spark, sf_dir, "f_nodes"), _edges(spark, sf_dir).where("cost < 3"))
 
 
+_LOWEST = """und AS MATERIALIZED (SELECT graph_id, src AS a, dst AS b FROM f_edges UNION SELECT graph_id, dst, src FROM f_edges),
+low AS (SELECT graph_id, node_id, node_id AS label FROM f_nodes
+  UNION SELECT u.graph_id, u.b, min(l.label) FROM low l JOIN und u ON u.graph_id = l.graph_id AND u.a = l.node_id WHERE l.label < u.b GROUP BY u.graph_id, u.b)"""
+
+
+@register(oracle(f"WITH {_LOWEST} SELECT graph_id, node_id, min(label) AS component FROM low GROUP BY graph_id, node_id"))
+def graph_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected components of every graph along all of its edges."""
+    return graphs.components(view(spark, sf_dir, "f_nodes"), _edges(spark, sf_dir))
+
+
 _AUDIT = """SELECT 'orphan_source' AS check_name, graph_id, edge_ord FROM f_dirty_edges e WHERE NOT EXISTS (SELECT 1 FROM f_dirty_nodes n WHERE n.graph_id = e.graph_id AND n.node_id = e.src)
 UNION ALL SELECT 'orphan_target', graph_id, edge_ord FROM f_dirty_edges e WHERE NOT EXISTS (SELECT 1 FROM f_dirty_nodes n WHERE n.graph_id = e.graph_id AND n.node_id = e.dst)
 UNION ALL SELECT 'self_loop', graph_id, edge_ord FROM f_dirty_edges WHERE src = dst

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwalk.functions import geometry
-from planwalk.operators import positioning, sessions
+from planwalk.operators import positioning, sessions, tables
 from planwalk.plans.views import oracle, view
 from planwalk.registry import register
 
@@ -204,4 +204,10 @@ def position_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(oracle("SELECT event_id, source, x, y FROM f_positions WHERE source = 'view' AND graph_id = 'G199603'"))
 def filtered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of one graph and source."""
-    return view(spark, sf_dir, "f_positions").where("source = 'view' AND graph_id = 'G199603'").select("event_id", "source", "x", "y")
+    return tables.filtered(view(spark, sf_dir, "f_positions"), "event_id", source="view", graph_id="G199603").select("event_id", "source", "x", "y")
+
+
+@register(oracle("SELECT event_id, source, x, y FROM f_positions WHERE source = 'view'"))
+def filtered_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of one source in all graphs, in ascending order of event_id."""
+    return tables.filtered(view(spark, sf_dir, "f_positions"), "event_id", source="view", graph_id=None).select("event_id", "source", "x", "y")
