@@ -3,8 +3,10 @@
 Both public vocabularies used here split a text at white space before they merge bytes, so
 the ids of a text are the ids of its words in order.  A batch is cut into words, the words it
 has not seen are encoded by the library in a few long calls, and the ids of all rows are
-gathered with numpy.  Texts whose white space makes the cut differ from the library's own
-are encoded whole.
+gathered with numpy.  Every word is compared, byte by byte, with the one whose ids it takes.
+Texts whose white space makes the cut differ from the library's own, and those with a word
+that shares another one's hash, are encoded by the library alone.  A long text is cut before
+spaces that follow a word, where both vocabularies begin a new piece.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ import pandas as pd
 
 from planwalk.llm import wordhash
 
-#: Words kept before the cache starts anew; an entry takes about 40 bytes.
+#: Words kept before the cache starts anew; an entry takes about 60 bytes.
 CACHE_WORDS = 600_000
+#: Bytes of a text that the library takes at once.
+PIECE_BYTES = 1 << 16
 #: Signs that may close a plain word, and the last letter of a plain word.
 CLOSING = ".,;:!?"
 LAST_LATIN = "\u00ff"
@@ -30,6 +34,17 @@ SPACE_LEAD = np.zeros(256, dtype=bool)
 SPACE_LEAD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 ONLY_SPACES = np.zeros(256, dtype=bool)
 ONLY_SPACES[[0x0A, 0x20]] = True
+BEFORE_NO_CUT = ONLY_SPACES.copy()
+BEFORE_NO_CUT[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+
+
+def cuts(data: np.ndarray, low: int, high: int, size: int) -> np.ndarray:
+    """Places in data[low:high], about `size` bytes apart, of spaces that follow a word."""
+    if high - low <= size:
+        return np.zeros(0, np.int64)
+    free = np.flatnonzero((data[low + 1 : high] == 0x20) & ~BEFORE_NO_CUT[data[low : high - 1]]) + low + 1
+    at = np.searchsorted(free, np.arange(low + size, high, size))
+    return free[np.unique(at[at < len(free)])]
 
 
 def _load(path: str):
@@ -67,6 +82,30 @@ class Encoder:
         self.slots = np.zeros(0, np.int64)
         self.at = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.bytes = np.zeros(0, np.uint8)
+        self.begins = np.zeros(1, np.int64)
+
+    def _library(self, raw: np.ndarray) -> np.ndarray:
+        """Ids of a whole text by the library, a piece at a time."""
+        at = [0, *cuts(raw, 0, len(raw), PIECE_BYTES).tolist(), len(raw)]
+        found = [self._ids(raw[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(at, at[1:])]
+        return np.fromiter(chain.from_iterable(found), np.uint32)
+
+    def _differ(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Which words are not the ones that the slots were learned from."""
+        sizes, at = ends - starts, self.begins[slots]
+        wrong = self.begins[slots + 1] - at != sizes
+        here, kept = wordhash.lanes(data), wordhash.lanes(self.bytes)
+        left = np.flatnonzero(~wrong & (sizes <= wordhash.LONG_WORD))
+        k = 0
+        while len(left):
+            n = sizes[left]
+            wrong[left] = wordhash.lane(here, starts[left], n, k) != wordhash.lane(kept, at[left], n, k)
+            k += 1
+            left = left[(n > 8 * k) & ~wrong[left]]
+        for i in np.flatnonzero(~wrong & (sizes > wordhash.LONG_WORD)).tolist():
+            wrong[i] = not np.array_equal(data[starts[i] : ends[i]], self.bytes[at[i] : at[i] + sizes[i]])
+        return wrong
 
     def _word(self, text: str) -> list[int] | None:
         """Ids of a plain word (Latin letters, then full stops and the like) from the library's merge model.
@@ -91,8 +130,10 @@ class Encoder:
             ids += self.closing[end]
         return ids
 
-    def _learn(self, keys: np.ndarray, texts: list[str], led: np.ndarray) -> None:
-        """Adds words; led marks those that follow a line feed, whose token stands before theirs."""
+    def _learn(self, keys: np.ndarray, texts: list[str], led: np.ndarray, words: list[bytes]) -> None:
+        """Adds words, with their bytes; led marks those that follow a line feed, whose token stands before theirs."""
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
         found = [self._word(t) for t in texts]
         rest = [i for i, ids in enumerate(found) if ids is None]
         for i, encoded in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
@@ -116,15 +157,20 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after the other, count of each row)."""
-        ids, counts = [], []
+        n_rows = len(offsets) - 1
+        long = np.flatnonzero(np.diff(offsets) > wordhash.SEGMENT_BYTES).tolist()
+        inner = np.concatenate([np.zeros(0, np.int64), *(cuts(data, offsets[r], offsets[r + 1], wordhash.SEGMENT_BYTES) for r in long)])
+        where = np.searchsorted(offsets, inner)
+        own = np.insert(np.ones(n_rows + 1, np.int64), where, 0)
+        offsets = np.insert(offsets, where, inner)
+        row = np.cumsum(own[:-1]) - 1  # of each part of a text
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i, j in wordhash.segments(offsets):
             low = offsets[i]
             a, b = self._segment(data[low : offsets[j]], offsets[i : j + 1] - low)
             ids.append(a)
             counts.append(b)
-        if not ids:
-            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        return np.concatenate(ids), np.concatenate(counts)
+        return np.concatenate(ids), np.bincount(row, weights=np.concatenate(counts), minlength=n_rows).astype(np.int64)
 
     def _segment(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n_rows = len(offsets) - 1
@@ -153,9 +199,15 @@ class Encoder:
             at = first[new]
             raw = data.tobytes()
             space = (variant[at] == 1).tolist()
-            texts = [(" " if sp else "") + raw[s:e].decode("utf-8", "replace") for s, e, sp in zip(starts[at].tolist(), ends[at].tolist(), space, strict=True)]
-            self._learn(unique[new], texts, (variant[at] == 2).astype(np.int64))
+            words = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            texts = [(" " if sp else "") + w.decode("utf-8", "replace") for w, sp in zip(words, space, strict=True)]
+            self._learn(unique[new], texts, (variant[at] == 2).astype(np.int64), words)
             slots = self._slots_of(unique)
+        wrong = self._differ(data, starts, ends, slots[codes])
+        if wrong.any():
+            whole[rows[wrong]] = True
+            keep = ~whole[rows]
+            codes, rows = codes[keep], rows[keep]
         lows, sizes = self.at[slots], self.at[slots + 1] - self.at[slots]
         size = sizes[codes]
         end = np.cumsum(size)
@@ -169,8 +221,7 @@ class Encoder:
         at = np.concatenate(([0], np.cumsum(counts)))
         parts = [ids[at[r] : at[r + 1]] for r in range(n_rows)]
         for r in np.flatnonzero(whole).tolist():
-            text = data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")
-            parts[r] = np.array(self._ids(text), dtype=np.uint32)
+            parts[r] = self._library(data[offsets[r] : offsets[r + 1]])
             counts[r] = len(parts[r])
         return np.concatenate(parts), counts
 

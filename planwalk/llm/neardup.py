@@ -12,8 +12,10 @@
    unless the list at hand is the first that both share (skip merging).
 4. Each link is confirmed on the full sets.  Components of links are the groups.
 
-With 48 coordinates and 26 matches, a pair at similarity 0.8 is missed with a probability
-below 1e-5, and a closer one far more rarely.
+With 48 coordinates and 26 matches, a pair at similarity 0.8 is missed with a probability of
+1.3e-5 if coordinates are independent, and a closer one far more rarely.  Words and shingles
+are told apart by 64-bit hashes without a structure that texts could share; two different
+sets of n and m shingles have one in common by accident with a probability of n * m / 2^64.
 """
 
 from __future__ import annotations

@@ -7,19 +7,21 @@ that memory does not depend on the length of a text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SEGMENT_BYTES = 1 << 20
-#: An odd multiplier of the rolling hash and the constants of its finaliser.
+#: Longest word, in bytes, that is hashed by eight bytes at a time.
+LONG_WORD = 64
+#: An odd number to start from and the constants of the mixing.
 BASE = 0x9E3779B97F4A7C15
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 
 _MASK = (1 << 64) - 1
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,17 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least n of each."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, SEGMENT_BYTES + 4096)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            table = np.full(size, base & _MASK, dtype=np.uint64)
-            table[0] = 1
-            _powers[name] = np.cumprod(table, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null row is an empty one."""
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
@@ -96,24 +87,36 @@ def words(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray) -> tuple[
     return starts, ends, rows
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on as a little-endian integer; bytes beyond the end are zero."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def lane(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8 * k to 8 * k + 7 of words longer than 8 * k bytes, zero beyond their ends."""
+    left = np.minimum(sizes - 8 * k, 8)
+    return view[starts + 8 * k] & (np.uint64(_MASK) >> ((8 - left) * 8).astype(np.uint64))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; starts and ends ascend and do not overlap."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    i, n = 0, len(starts)
-    while i < n:
-        low = int(starts[i])
-        j = max(int(np.searchsorted(ends, low + SEGMENT_BYTES, side="right")), i + 1)
-        high = int(ends[j - 1])
-        up, down = _power_tables(high - low + 1)
-        part = data[low:high].astype(np.uint64)
-        part += np.uint64(1)
-        part *= up[: high - low]
-        total = np.empty(high - low + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(part, out=total[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        value = (total[e] - total[s]) * down[s]
-        value += (e - s).astype(np.uint64) * np.uint64(MIX_1)
-        out[i:j] = mix(value)
-        i = j
+    """A 64-bit hash of each data[start:end].
+
+    The bytes are taken in by eight, with a bijective mixing after each eight, so words of at
+    most eight bytes and one length never share a hash, and no rule makes longer ones do so;
+    words of more than LONG_WORD bytes are digested by blake2b.
+    """
+    sizes = ends - starts
+    view = lanes(data)
+    out = mix(sizes.astype(np.uint64) * np.uint64(MIX_1) + np.uint64(BASE))
+    at = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    k = 0
+    while len(at):
+        out[at] = mix(out[at] ^ lane(view, starts[at], sizes[at], k))
+        k += 1
+        at = at[sizes[at] > 8 * k]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        word = data[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     return out
