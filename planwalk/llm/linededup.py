@@ -2,14 +2,28 @@
 
 A line of at least `min_chars` characters stays only where its text occurs first, and only
 if no other line within `edits` edits has its first occurrence before that; order is by
-document id, then line number.  Shorter lines always stay.
-
-The join: a line is cut into `edits + 1` segments of even length.  A line within `edits`
-edits of it holds at least one of the segments unchanged, at one of the few places that the
-lengths of both and the number of the segment allow.  Lines meet under a hash of (length,
-segment number, segment).  A sketch of letter counts, which one edit changes by two at most,
-is compared inside the join, so that variants of one line which differ by more do not come
-out of it as pairs.  What is left is verified by a banded edit distance.
+document id, then row key, then line number.  Shorter lines always stay.
+
+The join: lines are put into classes of SPAN lengths; a line also belongs to the next class
+if one that is up to `edits` characters longer does.  In a class, `edits + 1` segments of one
+size are looked at: those of the first half count from the start of a line, the others from
+its end.  Of two lines within `edits` edits, at least one segment i of the one stands in the
+other, moved by at most min(i, edits - i) characters.  So a line posts its own segments and
+probes for them at the few moved places, under a hash of (class, segment number, segment).
+A sketch of letter counts, which one edit changes by two at most, and the length are
+compared inside the join.  What is left is verified by a banded edit distance.
+
+A key that more than COMMON lines share does not list their pairs.  All its lines are compared
+with the first of them, which settles most of a group of variants in one round.  Lines that
+are still open meet under their key again, now in semi-joins: a line leaves them once, if any
+earlier line is near.  Lines of keys beyond BLOCK meet by segments of what is left of them
+without the segment they share, and keys that are common even then are dealt into blocks.
+(Lines that differ in one place alone still have their sketches compared with each other.)
+Keys that hold more than one in HEAVY_KEYS of all rows are fewer than HEAVY_KEYS, so they are
+broadcast and their rows are never dealt by key.
+
+Texts leave the scan only for documents that have a line to verify or to lose.  A bitmap of
+fixed size tells the others; a document that it takes for one of them costs time alone.
 """
 
 from __future__ import annotations
@@ -19,76 +33,102 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planwalk.llm.store import ROW, fresh, in_sieve, row_key, sieve, written
+
 MIN_CHARS = 20
 EDITS = 2
-#: Letters counted in the sketch, four bits each; the bit PROBE tells a probe from a posting.
-SKETCH_LETTERS = "eanitroshlu"
-PROBE = 60
+#: Lengths in a class.
+SPAN = 8
+#: Rows of a key whose pairs are listed, bound of the number of keys that are broadcast, and rows of a key in a block.
+COMMON = 128
+HEAVY_KEYS = 1 << 17
+BLOCK = 4096
+#: Letters counted in the sketch, four bits each; the next four bits hold the length, the next eight the slot.
+SKETCH_LETTERS = "etanos"
+#: Signs counted in a second sketch of lines that meet under common keys.
+MORE_SIGNS = "0123456789cdhilr"
+LENGTH_AT = 4 * len(SKETCH_LETTERS)
+SLOT_AT = LENGTH_AT + 4
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(dk, id, text) by documents; rows that repeat id and text have one key."""
-    rows = docs.select(F.xxhash64(id_col, text_col, F.lit(7)).alias("dk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.repartition("dk")
+    """(dk, dk2, id, text) of every row; rows that repeat id and text have one key."""
+    return docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _sketch(line: Column) -> Column:
+def _sketch(line: Column, signs: str = SKETCH_LETTERS) -> Column:
     def part(k: int, letter: str) -> Column:
-        n = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
         return F.shiftleft(F.pmod(n, F.lit(16)).cast("long"), 4 * k)
 
-    return reduce(lambda a, b: a + b, [part(k, c) for k, c in enumerate(SKETCH_LETTERS)])
+    return reduce(lambda a, b: a.bitwiseOR(b), [part(k, c) for k, c in enumerate(signs)])
+
+
+def _marks(line: Column) -> Column:
+    return _sketch(line) + F.shiftleft(F.pmod(F.length(line), F.lit(16)).cast("long"), LENGTH_AT)
 
 
-def _sketch_distance(a: str, b: str) -> Column:
-    def part(k: int) -> str:
-        d = f"abs((shiftright({a}, {4 * k}) & 15) - (shiftright({b}, {4 * k}) & 15))"
+def _alike(edits: int, *more: str) -> Column:
+    """Whether lengths and sketches of two rows a and b allow so few edits; more: names of further sketches."""
+
+    def part(name: str, at: int) -> str:
+        d = f"abs((shiftright({name}_a, {at}) & 15) - (shiftright({name}_b, {at}) & 15))"
         return f"least({d}, 16 - {d})"
 
-    return F.expr(" + ".join(part(k) for k in range(len(SKETCH_LETTERS))))
+    letters = " + ".join(part("marks", 4 * k) for k in range(len(SKETCH_LETTERS)))
+    all_signs = "".join(f" AND {letters} + {' + '.join(part(m, 4 * k) for k in range(len(MORE_SIGNS)))} <= {2 * edits}" for m in more)
+    return F.expr(f"{part('marks', LENGTH_AT)} <= {edits} AND {letters} <= {2 * edits}{all_signs}")
 
 
-def _segment(i: int, n: str, edits: int) -> tuple[str, str]:
-    """SQL of (start from 1, length) of segment i (from 1) of a line of n characters; the longer segments come last."""
-    parts = edits + 1
-    short = f"({parts} - {n} % {parts})"
-    start = f"({i - 1} * ({n} div {parts}) + greatest({i - 1} - {short}, 0) + 1)"
-    length = f"({n} div {parts} + IF({i} > {short}, 1, 0))"
-    return start, length
+def _slots(edits: int) -> list[tuple[int, int]]:
+    """(segment, places it is moved by) of the keys of a line in one class; those moved by none are its postings."""
+    return [(i, shift) for i in range(edits + 1) for shift in range(-min(i, edits - i), min(i, edits - i) + 1)]
 
 
-def _key(n: str, i: int, start: str, length: str) -> str:
-    return f"xxhash64({n}, {i}, substring(line, {start}, {length}))"
+def _probes(slot: Column, edits: int) -> Column:
+    """Whether the key at a slot is a probe."""
+    slots = _slots(edits)
+    return F.pmod(slot, F.lit(len(slots))).isin([k for k, (_, shift) in enumerate(slots) if shift])
 
 
-def _posted(edits: int) -> Column:
-    """Keys of a line's own segments."""
-    return F.expr(f"array({', '.join(_key('n', i, *_segment(i, 'n', edits)) for i in range(1, edits + 2))})")
+def _place(i: int, shift: int, q: str, low: int, edits: int) -> tuple[str, str]:
+    """SQL of (start from 0, length) of segment i in class q of lines of at least `low` characters; n is the line's length."""
+    size = f"(greatest({low}, {low} + {q} * {SPAN} - {edits}) div {edits + 1})"
+    start = f"({i} * {size} + {shift})" if i <= edits - i else f"(n - {edits + 1 - i} * {size} + {shift})"
+    return f"int({start})", f"int({size})"
 
 
-def _probed(edits: int) -> Column:
-    """Keys under which a line of n characters finds those of n - edits to n characters.
+def _class(low: int) -> str:
+    return f"int((n - {low}) div {SPAN})"
+
+
+def _keys(line: str, group: str, low: int, edits: int) -> Column:
+    """Array of the keys of a line of n characters, in the order of _slots, for its class and where needed for the next one; null where a moved segment would stand outside."""
+
+    def one(q: str) -> str:
+        keys = []
+        for i, shift in _slots(edits):
+            start, size = _place(i, shift, q, low, edits)
+            keys.append(f"IF({start} >= 0 AND {start} + {size} <= n, xxhash64({group}, {q}, {i}, substring({line}, {start} + 1, {size})), null)")
+        return f"array({', '.join(keys)})"
+
+    q = _class(low)
+    return F.expr(f"IF((n - {low}) % {SPAN} >= {SPAN - edits}, concat({one(q)}, {one(f'({q} + 1)')}), {one(q)})")
 
-    For a segment i of the shorter line at place p, edits before it number at most i - 1 and
-    edits after it at most edits + 1 - i, which leaves the places between both windows.
-    """
-    keys = []
-    for delta in range(edits + 1):
-        n = f"(n - {delta})"
-        for i in range(1, edits + 2):
-            start, length = _segment(i, n, edits)
-            low = max(-(i - 1), delta - (edits + 1 - i))
-            high = min(i - 1, delta + (edits + 1 - i))
-            for shift in range(low, high + 1):
-                if delta == 0 and shift == 0:
-                    continue  # the line's own posting
-                at = f"({start} + {shift})"
-                keys.append(f"IF({at} >= 1 AND {at} + {length} - 1 <= n, {_key(n, i, at, length)}, null)")
-    return F.expr(f"array_compact(array({', '.join(keys)}))")
+
+def _rest(line: str, slot: str, low: int, edits: int) -> Column:
+    """The line without the segment of a slot."""
+    slots = _slots(edits)
+    cases = []
+    for k in range(2 * len(slots)):
+        i, shift = slots[k % len(slots)]
+        start, size = _place(i, shift, _class(low) if k < len(slots) else f"({_class(low)} + 1)", low, edits)
+        cases.append(f"WHEN {k} THEN concat(substring({line}, 1, {start}), substring({line}, {start} + {size} + 1, n))")
+    return F.expr(f"CASE {slot} {' '.join(cases)} END")
 
 
 def _let(value: Column, use) -> Column:
@@ -166,58 +206,158 @@ def _distance(t: Column, edits: int, width: int, every: int, last: int) -> Colum
     return F.aggregate(columns, start, step, lambda s: s["d"])
 
 
-def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents by key, first occurrences (dk, pos), pairs (dk_a, pos_a, dk_b, pos_b) of first occurrences within `edits` edits, a before b)."""
-    keyed = _keyed(docs, id_col, text_col)
-    narrow = docs.select(F.xxhash64(id_col, text_col, F.lit(7)).alias("dk"), F.col(id_col).alias("id"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
-    narrow = narrow.where(F.length("line") >= min_chars).select("dk", "id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
-    first = narrow.groupBy("h1", "h2").agg(F.min(F.struct("id", "dk", "pos")).alias("f")).select("f.dk", "f.id", "f.pos")
-    by_doc = first.groupBy("dk").agg(F.collect_list("pos").alias("places"))
-    # every distinct line once, wherever it occurs first; only lines leave a document, never copies of its text
-    line = keyed.join(by_doc, "dk").select("dk", "id", "places", _lines(F.col("text")).alias("ls"))
-    line = line.select("dk", "id", F.inline(F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("ls", p).alias("line")))))
-    # the id is part of the hash so that this use of the documents' exchange has the same columns as the others and shares it
-    line = line.select(F.xxhash64("dk", "id", "pos").alias("lid"), "line", F.length("line").alias("n"), _sketch(F.col("line")).alias("sketch"))
-    posted = F.transform(_posted(edits), lambda k: F.struct(k.alias("key"), F.col("sketch").alias("sketch")))
-    probed = F.transform(_probed(edits), lambda k: F.struct(k.alias("key"), F.col("sketch").bitwiseOR(F.lit(1 << PROBE)).alias("sketch")))
-    met = line.select("lid", F.inline(F.concat(posted, probed))).repartition("key")
-    left = met.select("key", F.col("lid").alias("la"), F.col("sketch").alias("sa"))
-    right = met.select("key", F.col("lid").alias("lb"), F.col("sketch").alias("sb"))
-    # a posting meets the probes of its key and the later postings; the test names both sides, so one exchange serves both
-    pa, pb = F.shiftright("sa", PROBE), F.shiftright("sb", PROBE)
-    meets = (pa < pb) | ((pa + pb == 0) & (F.col("la") < F.col("lb")))
-    near = left.join(right, "key").where(meets & (F.col("la") != F.col("lb")) & (_sketch_distance("sa", "sb") <= 2 * edits))
-    pairs = near.select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
-    at = first.select(F.xxhash64("dk", "id", "pos").alias("lid"), "dk", "pos")
-    for x in "ab":
-        pairs = pairs.join(at.select(F.col("lid").alias(f"l{x}"), F.col("dk").alias(f"dk_{x}"), F.col("pos").alias(f"pos_{x}")), f"l{x}")
+def _distinct_lines(keyed: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(lid, id, dk, dk2, pos, marks, keys): every distinct line where it occurs first, numbered; no text leaves the scan."""
+    rows = keyed.select("id", *ROW, F.posexplode("ls").alias("pos", "line")).withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    rows = rows.select(*ROW, "id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), _marks(F.col("line")).alias("marks"), _keys("line", "0", min_chars, edits).alias("keys"))
+    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", *ROW, "pos", "marks", "keys")).alias("f"))
+    return first.select(F.monotonically_increasing_id().alias("lid"), "f.*")
+
+
+def _meeting(lines: DataFrame) -> DataFrame:
+    """(key, lid, marks): a row per key of a line, with the slot in its marks."""
+    rows = lines.select("lid", "marks", F.posexplode("keys").alias("slot", "key")).where("key IS NOT NULL")
+    return rows.select("key", "lid", (F.col("marks") + F.shiftleft(F.col("slot").cast("long"), SLOT_AT)).alias("marks"))
+
+
+def _slot(marks: str) -> Column:
+    return F.shiftright(marks, SLOT_AT).cast("int")
+
+
+def _shared(met: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(keys of two rows and more as (key, k), those of them with more than COMMON rows and more than one in HEAVY_KEYS of all `rows`); the second has fewer than HEAVY_KEYS rows."""
+    keys = written(met.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "keys")
+    return keys, keys.where(F.col("k") > max(COMMON, rows // HEAVY_KEYS))
+
+
+def _texts(at: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(lid, line) of lines (lid, dk, dk2, pos)."""
+    by_doc = at.groupBy(*ROW).agg(F.collect_list(F.struct("pos", "lid")).alias("places"))
+    rows = in_sieve(keyed, "dk", sieve(at, "dk")).where("held").join(by_doc, ROW).select("places", "ls")
+    return rows.select(F.inline(F.transform("places", lambda p: F.struct(p["lid"].alias("lid"), F.get("ls", p["pos"]).alias("line"))))).dropDuplicates(["lid"])
+
+
+def _order(x: str) -> Column:
+    return F.struct(*(F.col(f"{c}_{x}") for c in ("id", *ROW, "pos")))
+
+
+def _gone_by_pairs(pairs: DataFrame, at: DataFrame, keyed: DataFrame, edits: int) -> DataFrame:
+    """(dk, dk2, pos) of the later line of each pair (a, b) of numbers that is near."""
+    asked = written(at.join(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "lid"), "asked-lines")
+    known = asked.join(_texts(asked, keyed), "lid")
     for x in "ab":
-        text = keyed.dropDuplicates(["dk"]).select(F.col("dk").alias(f"dk_{x}"), F.col("id").alias(f"id_{x}"), F.col("text").alias(f"t_{x}"))
-        pairs = pairs.join(text, f"dk_{x}").withColumn(f"line_{x}", _lines(F.col(f"t_{x}"))[F.col(f"pos_{x}")]).drop(f"t_{x}")
+        pairs = pairs.join(known.select(*(F.col(c).alias(x if c == "lid" else f"{c}_{x}") for c in known.columns)), x)
     pairs = pairs.where(banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
-    a, b = (F.struct(F.col(f"id_{x}").alias("id"), F.col(f"dk_{x}").alias("dk"), F.col(f"pos_{x}").alias("pos")) for x in "ab")
-    pairs = pairs.select(F.when(a < b, a).otherwise(b).alias("a"), F.when(a < b, b).otherwise(a).alias("b"))
-    return keyed, first.select("dk", "pos"), pairs.select(F.col("a.dk").alias("dk_a"), F.col("a.pos").alias("pos_a"), F.col("b.dk").alias("dk_b"), F.col("b.pos").alias("pos_b"))
+    a, b = _order("a"), _order("b")
+    later = F.when(a < b, F.struct(*(F.col(f"{c}_b").alias(c) for c in (*ROW, "pos")))).otherwise(F.struct(*(F.col(f"{c}_a").alias(c) for c in (*ROW, "pos"))))
+    return pairs.select(later.alias("x")).select("x.*")
+
+
+def _star_pairs(common: DataFrame, heavy: DataFrame, edits: int) -> DataFrame:
+    """(a, b) of each line of a common key with the first line of the key, if they may be near."""
+    first = common.groupBy("key").agg(F.min(F.struct("id", *ROW, "pos", "lid", "marks", "probe")).alias("f"))
+    first = first.select("key", *(F.col(f"f.{c}").alias(f"{c}_a") for c in ("lid", "marks", "probe")))
+    rest = common.select("key", *(F.col(c).alias(f"{c}_b") for c in ("lid", "marks", "probe")))
+    few = F.broadcast(heavy.select("key"))
+    met = rest.join(few, "key", "left_anti").join(first, "key").unionByName(rest.join(F.broadcast(first.join(few, "key", "left_semi")), "key"))
+    met = met.where(F.expr("NOT (probe_a AND probe_b) AND lid_a <> lid_b") & _alike(edits))
+    return met.select(F.least("lid_a", "lid_b").alias("a"), F.greatest("lid_a", "lid_b").alias("b"))
+
+
+#: What a row of a meeting of lines under common keys has besides its group.
+HELD = ["lid", "marks", "probe", "probe2", "id", *ROW, "pos"]
+
+
+def _meet(b: DataFrame, a: DataFrame, condition: Column, columns: list[str] = HELD, keep: str = "b") -> DataFrame:
+    """Rows of one side (b or a, as `keep` says) that meet one of the other side, a before b, in a group and a pair of its parts."""
+    own, every = F.pmod(F.xxhash64("lid"), F.col("parts")).cast("int"), F.explode(F.expr("sequence(0, parts - 1)"))
+    b = b.select(F.col("group").alias("group_b"), F.col("parts").alias("parts_b"), own.alias("of_b"), every.alias("in_b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    a = a.select(F.col("group").alias("group_a"), F.col("parts").alias("parts_a"), own.alias("in_a"), every.alias("of_a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    same = (F.col("group_a") == F.col("group_b")) & (F.col("of_a") == F.col("of_b")) & (F.col("in_a") == F.col("in_b"))
+    meets = F.expr("NOT (probe_a AND probe_b) AND NOT (probe2_a AND probe2_b)") & (_order("a") < _order("b"))
+    x, y = (b, a) if keep == "b" else (a, b)
+    found = x.join(y, same & meets & condition, "left_semi")
+    return found.select(*(F.col(f"{c}_{keep}").alias(c) for c in ("group", "parts", *columns))).distinct()
+
+
+def _gone_in_common(common: DataFrame, gone: DataFrame, keyed: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(dk, dk2, pos) of the lines, beside those that are gone, that have an earlier one near under a common key.
+
+    Both lines of a near pair are near without the segment they share, so they meet under a
+    key of that as well.
+    """
+    common = common.join(gone.distinct().withColumn("gone", F.lit(True)), [*ROW, "pos"], "left").withColumn("open", F.col("gone").isNull())
+    near_by = common.where(F.col("k") <= BLOCK).select(F.col("key").alias("group"), F.lit(1).alias("parts"), F.lit(False).alias("probe2"), "open", *(c for c in HELD if c != "probe2"))
+    large = common.where(F.col("k") > BLOCK)
+    known = _texts(written(large.select("lid", *ROW, "pos").distinct(), "common-lines"), keyed).withColumn("n", F.length("line"))
+    rest = large.withColumnRenamed("key", "above").join(known, "lid").withColumn("rest", _rest("line", "slot", min_chars, edits)).withColumn("n", F.length("rest"))
+    rest = rest.select("open", *(c for c in HELD if c != "probe2"), F.posexplode(_keys("rest", "above", 0, edits)).alias("slot2", "key")).where("key IS NOT NULL")
+    rest = written(rest.withColumn("probe2", _probes(F.col("slot2"), edits)).drop("slot2"), "common-rests")
+    _, heavy = _shared(rest, rest.count())
+    parts = heavy.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"))
+    dealt = rest.join(F.broadcast(parts), "key", "left").select(F.col("key").alias("group"), F.coalesce("parts", F.lit(1)).alias("parts"), "probe2", "open", *(c for c in HELD if c != "probe2"))
+    rows = written(near_by.unionByName(dealt), "common-rows")
+    later = written(_meet(rows.where("open"), rows, _alike(edits)), "common-later")
+    earlier = written(_meet(later, rows, _alike(edits), keep="a"), "common-earlier")
+    asked = written(later.unionByName(earlier).select("lid", *ROW, "pos").distinct(), "common-asked")
+    lines = written(_texts(asked, keyed).withColumn("more", _sketch(F.col("line"), MORE_SIGNS)), "common-texts")
+    near = _alike(edits, "more") & (banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
+    return _meet(later.join(lines, "lid"), earlier.join(lines, "lid"), near, [*HELD, "line", "more"]).select(*ROW, "pos")
+
+
+def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(first occurrences (dk, dk2, pos), those of them that have an earlier line within `edits` edits; a place may come twice)."""
+    keyed = _keyed(docs, id_col, text_col).select("id", *ROW, _lines(F.col("text")).alias("ls"))
+    lines = written(_distinct_lines(keyed, edits, min_chars), "lines")
+    at = lines.select("lid", "id", *ROW, "pos")
+    met = _meeting(lines)
+    shared, heavy = _shared(met, lines.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    top = F.broadcast(heavy)
+    light = written(met.join(top.select("key"), "key", "left_anti").join(shared, "key"), "meetings").withColumn("probe", _probes(_slot("marks"), edits))
+    few = light.where(F.col("k") <= COMMON)
+    a, b = (few.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("lid", "marks", "probe"))) for x in "ab")
+    # a posting meets the probes of its key and the later postings
+    meets = F.expr("NOT probe_a AND (probe_b OR lid_a < lid_b) AND lid_a <> lid_b")
+    pairs = a.join(b, "key").where(meets & _alike(edits)).select(F.least("lid_a", "lid_b").alias("a"), F.greatest("lid_a", "lid_b").alias("b"))
+    common = light.where(F.col("k") > COMMON).unionByName(met.join(top, "key").withColumn("probe", _probes(_slot("marks"), edits)))
+    if common.isEmpty():
+        return at.drop("lid", "id"), written(_gone_by_pairs(written(pairs.distinct(), "line-pairs"), at, keyed, edits), "lines-gone")
+    common = written(common.join(at, "lid").withColumn("slot", _slot("marks")), "common")
+    pairs = written(pairs.unionByName(_star_pairs(common, heavy, edits)).distinct(), "line-pairs")
+    gone = written(_gone_by_pairs(pairs, at, keyed, edits), "lines-gone")
+    return at.drop("lid", "id"), gone.unionByName(written(_gone_in_common(common, gone, keyed, edits, min_chars), "common-gone"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(dk, id_col, text_col, n_lines, n_kept): the documents with the lines that stay.
+    """(dk, dk2, id_col, text_col, n_lines, n_kept): the documents with the lines that stay.
 
     A null text stays null and has no lines, an empty one is one short line.  Rows that
     repeat id and text are one document in two rows and get the same result; a null id comes
-    before all others.  Characters are code points.
+    before all others.  Characters are code points.  Texts and lines may be of any length: the
+    work on a text grows with its length, that on a line too.  An empty table gives no rows.
     """
-    keyed, first, pairs = similar_lines(docs, edits, min_chars, id_col, text_col)
-    gone = pairs.select(F.col("dk_b").alias("dk"), F.col("pos_b").alias("pos")).distinct()
-    kept = first.join(gone, ["dk", "pos"], "left_anti").groupBy("dk").agg(F.collect_list("pos").alias("places"))
-    found = keyed.join(kept, "dk", "left").withColumn("ls", _lines(F.col("text"))).withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
-    stays = F.filter("ls", lambda x, i: (F.length(x) < min_chars) | F.array_contains("places", i))
-    found = found.select("dk", F.col("id").alias(id_col), "ls", stays.alias("kept"))
-    return found.select("dk", id_col, F.array_join("kept", "\n").alias(text_col), F.coalesce(F.size("ls"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_kept"))
+    first, gone = similar_lines(docs, edits, min_chars, id_col, text_col)
+    kept = first.join(gone.distinct(), [*ROW, "pos"], "left_anti").groupBy(*ROW).agg(F.collect_list("pos").alias("places"))
+    kept = written(kept, "lines-kept")
+    keyed = _keyed(docs, id_col, text_col).withColumn("ls", _lines(F.col("text")))
+    # a document loses a line unless all its long lines are among those that stay
+    n_long = keyed.select(*ROW, F.size(F.filter("ls", lambda x: F.length(x) >= min_chars)).alias("n_long")).where("n_long > 0")
+    losing = n_long.join(kept.select(*ROW, F.size("places").alias("n_places")), ROW, "left").where("n_long <> coalesce(n_places, 0)").select("dk")
+    rows = in_sieve(keyed, "dk", written(sieve(losing, "dk"), "losing"))
+    n_lines = F.coalesce(F.size("ls"), F.lit(0)).cast("long").alias("n_lines")
+    whole = rows.where("NOT held").select(*ROW, F.col("id").alias(id_col), F.col("text").alias(text_col), n_lines, n_lines.alias("n_kept"))
+    found = rows.where("held").join(kept, ROW, "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+    short = F.filter(F.transform("ls", lambda x, i: F.when(F.length(x) < min_chars, i)), lambda i: i.isNotNull())
+    found = found.select(*ROW, "id", "ls", F.array_sort(F.concat(short, "places")).alias("stay"))
+    found = found.withColumn("kept", F.transform("stay", lambda i: F.get("ls", i)))
+    n_kept = F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_kept")
+    return whole.unionByName(found.select(*ROW, F.col("id").alias(id_col), F.array_join("kept", "\n").alias(text_col), n_lines, n_kept))
 
 
 def apply(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all their columns and the deduplicated text; a document that had a text and lost all its lines is left out."""
-    new = dedup_lines(docs, edits, min_chars, id_col, text_col).where((F.col("n_kept") > 0) | F.col(text_col).isNull()).select(F.col("dk").alias("_dk"), F.col(text_col).alias("_text")).dropDuplicates(["_dk"])
-    rest = docs.withColumn("_dk", F.xxhash64(id_col, text_col, F.lit(7)))
-    return rest.join(new, "_dk").select(*(F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    """docs with all their columns, whatever their names, and the deduplicated text; a document that had a text and lost all its lines is left out."""
+    k1, k2, new_text = fresh(docs, "k1", "k2", "text")
+    new = dedup_lines(docs, edits, min_chars, id_col, text_col)
+    new = new.where((F.col("n_kept") > 0) | F.col(text_col).isNull()).select(F.col("dk").alias(k1), F.col("dk2").alias(k2), F.col(text_col).alias(new_text)).dropDuplicates([k1, k2])
+    rest = docs.select("*", *(c.alias(k) for c, k in zip(row_key(id_col, text_col), (k1, k2), strict=True)))
+    return rest.join(new, [k1, k2]).select(*(F.col(new_text).alias(c) if c == text_col else F.col(c) for c in docs.columns))

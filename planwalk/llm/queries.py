@@ -172,7 +172,7 @@ def _secret_parts() -> str:
         regexp_extract_all(t, '{pattern}', {group}) AS gs FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) a) b) c) d
 WHERE m IS NOT NULL AND g >= {low}{high}"""
     return "\nUNION ALL\n".join(
-        one.format(k=k, name=x.name, role=x.role, base=str(x.base).lower(), pattern=quote(x.pattern), group=x.group, low=x.low, high=f" AND g <= {x.high}" if x.high else "") for k, x in enumerate(secrets.KINDS)
+        one.format(k=k, name=x.name, role=x.role, base=str(x.base).lower(), pattern=quote(x.plain), group=x.group, low=x.low, high=f" AND g <= {x.high}" if x.high else "") for k, x in enumerate(secrets.KINDS)
     )
 
 

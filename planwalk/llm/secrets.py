@@ -6,7 +6,9 @@ same scope of SCOPE characters: a secret needs an identifier or an endpoint, an
 or an endpoint needs a secret.
 
 Offsets come from what a pattern's split leaves between its matches: the lengths of pieces
-and matches, summed up in order, are the code point offsets of the matches.
+and matches, summed up in order, are the code point offsets of the matches.  Kinds that
+differ in length alone share a pattern and its scan.  No pattern recurses or tries a run of
+signs anew from each of its places, so the work grows with the length of a text.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planwalk.llm.store import ROW, fresh, row_key, written
+
 SCOPE = 200
 
 
@@ -32,6 +36,11 @@ class Kind:
     high: int | None = None
     base: bool = False
 
+    @property
+    def plain(self) -> str:
+        """The pattern with greedy in place of possessive repeats, for engines that never go back; both match the same."""
+        return self.pattern.replace("}+", "}").replace("++", "+")
+
     def hinted(self, text: Column) -> Column:
         return text.rlike(self.hint) if self.hint[0] in "([" else F.contains(text, F.lit(self.hint))
 
@@ -47,34 +56,42 @@ KINDS = (
     Kind("weak", "secret", rf"(?i)({SECRET_WORDS}){ASSIGNED}", rf"""(?i)(?:{SECRET_WORDS})["']?\x20*[:=]""", 2, 6, 11),
     Kind("key_id", "holder", r"AKIA[A-Z0-9]+", "AKIA", 0, 8, 17),
     Kind("login", "holder", rf"(?i)({LOGIN_WORDS}){ASSIGNED}", rf"""(?i)(?:{LOGIN_WORDS})["']?\x20*[:=]""", 2, 3),
-    Kind("address", "holder", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "@", 0, 6),
-    Kind("endpoint", "holder", r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+""", "://", 0, 8),
+    Kind("address", "holder", r"[A-Za-z0-9._+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0, 6),
+    Kind("endpoint", "holder", r"""[A-Za-z][A-Za-z0-9+.-]{0,31}+://[^\x00-\x20"'<>]++""", "://", 0, 8),
 )
 
 
 def _places(text: Column, kind: Kind) -> Column:
     """Lengths of (piece before, match, group) of each match, and of the piece after the last; null where the hint does not hold."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    groups = matches if kind.group == 0 else F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
-    zipped = F.arrays_zip(F.split(text, kind.pattern).alias("p"), matches.alias("m"), groups.alias("g"))
-    lengths = F.transform(zipped, lambda z: F.struct(F.length(z["p"]).alias("p"), F.length(z["m"]).alias("m"), F.length(z["g"]).alias("g")))
+    zipped = F.arrays_zip(F.split(text, kind.pattern).alias("p"), matches.alias("m"))
+    group = lambda m: m if kind.group == 0 else F.regexp_extract(m, kind.pattern, kind.group)
+    lengths = F.transform(zipped, lambda z: F.struct(F.length(z["p"]).alias("p"), F.length(z["m"]).alias("m"), F.length(group(z["m"])).alias("g")))
     return F.when(kind.hinted(text), lengths)
 
 
-def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(dk, ord, kind, role, base, start, stop) of every base span and weak candidate; leftmost non-overlapping per kind, then filtered by length."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(kind.name).alias("kind"), F.lit(kind.role).alias("role"), F.lit(kind.base).alias("base"), F.lit(kind.low).alias("low"), F.lit(kind.high).cast("int").alias("high"), _places(text, kind).alias("at")) for k, kind in enumerate(KINDS)))
-    rows = docs.select(_key(id_col, text_col), F.explode(F.filter(found, lambda k: k["at"].isNotNull())).alias("k")).distinct()
-    rows = rows.select("dk", "k.ord", "k.kind", "k.role", "k.base", "k.low", "k.high", F.posexplode("k.at").alias("i", "z"))
-    so_far = Window.partitionBy("dk", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.sum(F.col("z.p").cast("long") + F.coalesce("z.m", F.lit(0))).over(so_far)
-    rows = rows.withColumn("stop", stop).where(F.col("z.m").isNotNull() & (F.col("z.g") >= F.col("low")) & (F.col("high").isNull() | (F.col("z.g") <= F.col("high"))))
-    return rows.select("dk", "ord", "kind", "role", "base", (F.col("stop") - F.col("z.m")).alias("start"), "stop")
+def _kind(scan: Column, size: Column) -> Column:
+    """Of which kind a match of a scan is, by the length of its group; null for none."""
+    patterns = list(dict.fromkeys(k.pattern for k in KINDS))
+    found = F.lit(None)
+    for ord_, k in enumerate(KINDS):
+        fits = (scan == patterns.index(k.pattern)) & (size >= k.low) & (size <= (k.high or (1 << 31) - 1))
+        here = F.struct(F.lit(ord_).alias("ord"), F.lit(k.name).alias("kind"), F.lit(k.role).alias("role"), F.lit(k.base).alias("base"))
+        found = F.when(fits, here).otherwise(found)
+    return found
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(id_col, text_col, F.lit(7)).alias("dk")
+def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(dk, dk2, ord, kind, role, base, start, stop) of every base span and weak candidate; leftmost non-overlapping per pattern, then told apart by length."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    scans = list({k.pattern: k for k in KINDS}.values())
+    found = F.array(*(F.struct(F.lit(n).alias("scan"), _places(text, kind).alias("at")) for n, kind in enumerate(scans)))
+    rows = docs.select(*row_key(id_col, text_col), F.explode(F.filter(found, lambda k: k["at"].isNotNull())).alias("k")).distinct()
+    rows = rows.select(*ROW, "k.scan", F.posexplode("k.at").alias("i", "z"))
+    so_far = Window.partitionBy(*ROW, "scan").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("stop", F.sum(F.col("z.p").cast("long") + F.coalesce("z.m", F.lit(0))).over(so_far))
+    rows = rows.where(F.col("z.m").isNotNull()).withColumn("of", _kind(F.col("scan"), F.col("z.g"))).where(F.col("of").isNotNull())
+    return rows.select(*ROW, "of.*", (F.col("stop") - F.col("z.m")).alias("start"), "stop")
 
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -85,22 +102,24 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     meets its own bucket and the two beside it.
     """
     bucket = F.floor(F.col("start") / scope)
-    spread = found.groupBy("dk", "role", bucket.alias("b")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
-    spread = spread.select("dk", "b", F.when(F.col("role") == "secret", "holder").otherwise("secret").alias("role"), "low", "high")
+    spread = found.groupBy(*ROW, "role", bucket.alias("b")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    spread = spread.select(*ROW, "b", F.when(F.col("role") == "secret", "holder").otherwise("secret").alias("role"), "low", "high")
     weak = found.where("not base").withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     gap = F.least(F.abs(F.col("start") - F.col("low")), F.abs(F.col("start") - F.col("high")))
-    linked = weak.join(spread, ["dk", "role", "b"]).where((gap <= scope) | (F.floor(F.col("start") / scope) == F.col("b"))).select(found.columns).distinct()
+    linked = weak.join(spread, [*ROW, "role", "b"]).where((gap <= scope) | (F.floor(F.col("start") / scope) == F.col("b"))).select(found.columns).distinct()
     return found.where("base").unionByName(linked)
 
 
 def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col and spans, an array of (start, ord, stop, kind, base) in that order.
 
-    A null text is an empty one; rows that repeat id and text get the same spans.
+    A null text is an empty one; rows that repeat id and text get the same spans; a text may
+    be of any length; an empty table gives no rows.
     """
-    spans = link(parts(docs, id_col, text_col), scope).groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "stop", "kind", "base"))).alias("spans"))
+    spans = link(written(parts(docs, id_col, text_col), "secret-parts"), scope).groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("start", "ord", "stop", "kind", "base"))).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,ord:int,stop:bigint,kind:string,base:boolean>>")
-    return docs.select(id_col, _key(id_col, text_col)).join(spans, "dk", "left").select(id_col, F.coalesce("spans", empty).alias("spans"))
+    rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col)).join(spans, ROW, "left")
+    return rows.select(F.col("id").alias(id_col), F.coalesce("spans", empty).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -109,15 +128,18 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every reported span of text_col replaced by `mark`; overlapping spans become one."""
-    found = link(parts(docs, id_col, text_col), scope)
-    before = Window.partitionBy("dk").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    """docs, with all columns whatever their names, and every reported span of text_col replaced by `mark`; overlapping spans become one."""
+    k1, k2, runs_col = fresh(docs, "k1", "k2", "runs")
+    found = link(written(parts(docs, id_col, text_col), "secret-parts"), scope)
+    before = Window.partitionBy(*ROW).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("stop").over(before)
-    order = Window.partitionBy("dk").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*ROW).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
     runs = found.withColumn("run", (reach.isNull() | (F.col("start") >= reach)).cast("int")).withColumn("run", F.sum("run").over(order))
-    merged = runs.groupBy("dk", "run").agg(F.min("start").alias("low"), F.max("stop").alias("high")).groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_runs"))
-    joined = docs.withColumn("dk", _key(id_col, text_col)).join(merged, "dk", "left")
-    text, n = F.col(text_col), F.size("_runs")
-    kept = F.transform("_runs", lambda r, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.get("_runs", i - 1)["high"] + 1).cast("int"), (r["low"] - F.when(i == 0, 0).otherwise(F.get("_runs", i - 1)["high"])).cast("int")), F.lit(mark)))
-    last = F.substring(text, (F.get("_runs", n - 1)["high"] + 1).cast("int"), F.length(text))
-    return joined.withColumn(text_col, F.when(F.col("_runs").isNotNull(), F.concat(F.array_join(kept, ""), last)).otherwise(text)).select(*docs.columns)
+    merged = runs.groupBy(*ROW, "run").agg(F.min("start").alias("low"), F.max("stop").alias("high")).groupBy(F.col("dk").alias(k1), F.col("dk2").alias(k2))
+    merged = merged.agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias(runs_col))
+    joined = docs.select("*", *(c.alias(k) for c, k in zip(row_key(id_col, text_col), (k1, k2), strict=True))).join(merged, [k1, k2], "left")
+    text, spans, n = F.col(text_col), F.col(runs_col), F.size(runs_col)
+    end = lambda i: F.when(i < 0, 0).otherwise(F.get(spans, i)["high"])
+    kept = F.transform(spans, lambda r, i: F.concat(F.substring(text, (end(i - 1) + 1).cast("int"), (r["low"] - end(i - 1)).cast("int")), F.lit(mark)))
+    last = F.substring(text, (end(n - 1) + 1).cast("int"), F.length(text))
+    return joined.withColumn(text_col, F.when(spans.isNotNull(), F.concat(F.array_join(kept, ""), last)).otherwise(text)).select(*docs.columns)
