@@ -237,13 +237,18 @@ def _texts(at: DataFrame, keyed: DataFrame) -> DataFrame:
     return rows.select(F.inline(F.transform("places", lambda p: F.struct(p["lid"].alias("lid"), F.get("ls", p["pos"]).alias("line"))))).dropDuplicates(["lid"])
 
 
+def _of_lines(rows: DataFrame, at: DataFrame) -> DataFrame:
+    """rows with the places of their lines; other lines than those of rows are sieved out before the join."""
+    return rows.join(in_sieve(at, "lid", sieve(rows, "lid")).where("held").drop("held"), "lid")
+
+
 def _order(x: str) -> Column:
     return F.struct(*(F.col(f"{c}_{x}") for c in ("id", *ROW, "pos")))
 
 
 def _gone_by_pairs(pairs: DataFrame, at: DataFrame, keyed: DataFrame, edits: int) -> DataFrame:
     """(dk, dk2, pos) of the later line of each pair (a, b) of numbers that is near."""
-    asked = written(at.join(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "lid"), "asked-lines")
+    asked = written(_of_lines(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), at), "asked-lines")
     known = asked.join(_texts(asked, keyed), "lid")
     for x in "ab":
         pairs = pairs.join(known.select(*(F.col(c).alias(x if c == "lid" else f"{c}_{x}") for c in known.columns)), x)
@@ -322,7 +327,7 @@ def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     common = light.where(F.col("k") > COMMON).unionByName(met.join(top, "key").withColumn("probe", _probes(_slot("marks"), edits)))
     if common.isEmpty():
         return at.drop("lid", "id"), written(_gone_by_pairs(written(pairs.distinct(), "line-pairs"), at, keyed, edits), "lines-gone")
-    common = written(common.join(at, "lid").withColumn("slot", _slot("marks")), "common")
+    common = written(_of_lines(common, at).withColumn("slot", _slot("marks")), "common")
     pairs = written(pairs.unionByName(_star_pairs(common, heavy, edits)).distinct(), "line-pairs")
     gone = written(_gone_by_pairs(pairs, at, keyed, edits), "lines-gone")
     return at.drop("lid", "id"), gone.unionByName(written(_gone_in_common(common, gone, keyed, edits, min_chars), "common-gone"))
@@ -337,7 +342,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     work on a text grows with its length, that on a line too.  An empty table gives no rows.
     """
     first, gone = similar_lines(docs, edits, min_chars, id_col, text_col)
-    kept = first.join(gone.distinct(), [*ROW, "pos"], "left_anti").groupBy(*ROW).agg(F.collect_list("pos").alias("places"))
+    place = F.xxhash64(*ROW, "pos").alias("place")
+    marked = in_sieve(first.withColumn("place", place), "place", sieve(gone.select(place), "place"))
+    kept = marked.where("NOT held").select(*ROW, "pos").unionByName(marked.where("held").select(*ROW, "pos").join(gone.distinct(), [*ROW, "pos"], "left_anti"))
+    kept = kept.groupBy(*ROW).agg(F.collect_list("pos").alias("places"))
     kept = written(kept, "lines-kept")
     keyed = _keyed(docs, id_col, text_col).withColumn("ls", _lines(F.col("text")))
     # a document loses a line unless all its long lines are among those that stay
