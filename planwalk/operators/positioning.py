@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planwalk.functions import geometry
 from planwalk.operators.routing import violation
+from planwalk.sources.scratch import written
 
 
 def latest(positions: DataFrame, *by: str) -> DataFrame:
@@ -18,13 +19,35 @@ def latest(positions: DataFrame, *by: str) -> DataFrame:
 def nearest_node(positions: DataFrame, nodes: DataFrame, cell: float = 10.0) -> DataFrame:
     """(event_id, node_id, distance) of the nearest node with coordinates in the position's graph; ties go to the smaller ord.
 
-    Nodes meet only positions of the same graph.  Positions at one place are resolved once.
+    Positions at one place are resolved once, and of nodes at one place the first stands for
+    all.  A place meets the nodes of its cell and of those around it; what is found within
+    the width of a cell is nearest.  Places that are still open carry on with cells twice as
+    wide, until the cells around one hold everything, so there are few rounds and no place
+    meets all nodes of its graph.
     """
-    usable = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("graph_id", "node_id", "ord", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    places = positions.select("graph_id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct()
+    at = ["graph_id", "x", "y"]
+    usable = nodes.where("x IS NOT NULL AND y IS NOT NULL").groupBy("graph_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    usable = written(usable.agg(F.min_by("node_id", F.struct("ord", "node_id")).alias("node_id"), F.min("ord").alias("ord")), "node-places")
+    places = written(positions.select(*at).where("x IS NOT NULL AND y IS NOT NULL").distinct(), "places")
+    ends = [r for r in (usable.agg(*(f(c) for c in ("nx", "ny") for f in (F.min, F.max))).first(), places.agg(*(f(c) for c in ("x", "y") for f in (F.min, F.max))).first()) if r[0] is not None]
+    reach = max((max(r[1] for r in ends) - min(r[0] for r in ends), max(r[3] for r in ends) - min(r[2] for r in ends))) if ends else 0.0
+    around = F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     d = geometry.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
-    best = places.join(usable, "graph_id").groupBy("graph_id", "x", "y").agg(F.min(F.struct(d.alias("distance"), "ord", "node_id")).alias("m"))
-    return positions.join(best, ["graph_id", "x", "y"]).select("event_id", "session_id", "graph_id", F.col("m.node_id").alias("node_id"), F.col("m.distance").alias("distance"))
+    found, still = None, places
+    while True:
+        here = usable.withColumns({"i": F.floor(F.col("nx") / cell), "j": F.floor(F.col("ny") / cell)})
+        asked = still.select(*at, F.inline(around)).withColumns({"i": F.floor(F.col("x") / cell) + F.col("di"), "j": F.floor(F.col("y") / cell) + F.col("dj")})
+        best = asked.join(here, ["graph_id", "i", "j"]).groupBy(*at).agg(F.min(F.struct(d.alias("distance"), "ord", "node_id")).alias("m"))
+        last = cell >= reach
+        best = written(best.select(*at, "m.node_id", "m.distance").where(F.lit(last) | (F.col("m.distance") <= cell)), "nearest")
+        found = best if found is None else found.unionByName(best)
+        if last:
+            break
+        still = written(still.join(best, at, "left_anti"), "places")
+        if still.isEmpty():
+            break
+        cell *= 2
+    return positions.join(found, at).select("event_id", "session_id", "graph_id", "node_id", "distance")
 
 
 def resolve_segment(nearest: DataFrame, segments: DataFrame, routes: DataFrame) -> DataFrame:

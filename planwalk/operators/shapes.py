@@ -85,36 +85,43 @@ def edges(shapes: DataFrame) -> DataFrame:
     return e.select("import_id", "id", F.col("seg").cast("long").alias("seg"), "from_node", "to_node")
 
 
-def cells(box: Column, reach: float, cell: float) -> Column:
-    """Grid cells that a box, grown by `reach`, lies in."""
-    low_x, high_x = F.floor((box["min_x"] - reach) / cell), F.floor((box["max_x"] + reach) / cell)
-    low_y, high_y = F.floor((box["min_y"] - reach) / cell), F.floor((box["max_y"] + reach) / cell)
-    return F.flatten(F.transform(F.sequence(low_x, high_x), lambda i: F.transform(F.sequence(low_y, high_y), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+BOX = ["min_x", "min_y", "max_x", "max_y"]
 
 
-def grid_join(rows: DataFrame, columns: list[str], box: str, reach: float, cell: float) -> DataFrame:
-    """Pairs a, b (a.ord < b.ord) of one plan whose boxes, grown by reach / 2 each, share a cell; a pair comes once.
+def grid_join(rows: DataFrame, columns: list[str], reach: float, cell: float) -> DataFrame:
+    """Pairs of one plan (columns with the suffixes _a and _b, ord_a < ord_b) whose boxes, grown by reach / 2 each, overlap.
 
-    A pair is kept only in the cell of the greater lower corner, which both boxes cover, so
-    no distinct is needed.
+    rows: import_id, ord, BOX and `columns`.  Cells double in width from level to level; a
+    box belongs to the first level at which it spans two cells a side at most, and two boxes
+    meet at the level of the larger one, so a large box covers few cells as well.  A pair is
+    kept only in the cell of the greater lower corner, which both cover.
     """
-    dealt = rows.withColumn("_c", F.explode(cells(F.col(box), reach / 2, cell)))
-    a = dealt.select("import_id", "_c", F.struct(*columns).alias("a"))
-    b = dealt.select("import_id", "_c", F.struct(*columns).alias("b"))
-    pairs = a.join(b, ["import_id", "_c"]).where("a.ord < b.ord")
-
-    def corner(axis: str) -> Column:
-        return F.floor((F.greatest(F.col(f"a.{box}.min_{axis}"), F.col(f"b.{box}.min_{axis}")) - reach / 2) / cell)
-
-    return pairs.where((F.col("_c.i") == corner("x")) & (F.col("_c.j") == corner("y"))).select("import_id", "a", "b")
+    half = reach / 2
+    low, high = ({c: F.col(f"{name}_{c}") + sign * half for c in "xy"} for name, sign in (("min", -1), ("max", 1)))
+    size = F.greatest(*(high[c] - low[c] for c in "xy"))
+    own = F.greatest(F.lit(0), F.ceil(F.log2(size / cell))).cast("int")
+    rows = rows.where(F.coalesce(*(F.col(c) for c in BOX)).isNotNull()).withColumn("own", F.coalesce(own, F.lit(0)))
+    levels = sorted(r[0] for r in rows.select("own").distinct().collect())  # a few dozen at most: powers of two
+    width = F.pow(F.lit(2.0), F.col("level")) * cell
+    dealt = rows.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array(F.lit(0)))).where("level >= own")
+    for c in "xy":
+        dealt = dealt.withColumn(f"c{c}", F.explode(F.sequence(F.floor(low[c] / width), F.floor(high[c] / width))))
+    key = ["import_id", "level", "cx", "cy"]
+    a, b = (dealt.select(*key, *(F.col(c).alias(f"{c}_{x}") for c in dict.fromkeys(["ord", "own", *BOX, *columns]))) for x in "ab")
+    pairs = a.join(b, key).where((F.col("ord_a") < F.col("ord_b")) & (F.greatest("own_a", "own_b") == F.col("level")))
+    for c in "xy":
+        corner = F.floor((F.greatest(f"min_{c}_a", f"min_{c}_b") - half) / width)
+        pairs = pairs.where((F.col(f"c{c}") == corner) & (F.col(f"min_{c}_a") - reach <= F.col(f"max_{c}_b")) & (F.col(f"min_{c}_b") - reach <= F.col(f"max_{c}_a")))
+    return pairs
 
 
 def touching_pairs(shapes: DataFrame, cell: float = 20.0) -> DataFrame:
     """(import_id, a, b) of shapes of which an end lies within the tolerance of the other's segments."""
-    rows = shapes.withColumn("segments", segments_column()).where(F.size("segments") > 0).withColumn("box", box_column())
-    pairs = grid_join(rows, ["ord", "id", "segments", "box"], "box", 2 * g.TOUCH_TOLERANCE, cell)
-    touch = F.exists("a.segments", lambda s: F.exists("b.segments", lambda t: g.segments_touch(s, t)))
-    return pairs.where(touch).select("import_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    ends = {"min": F.least, "max": F.greatest}
+    rows = _ends(shapes).select("import_id", "ord", "id", "x1", "y1", "x2", "y2", *(f(f"{c}1", f"{c}2").alias(f"{name}_{c}") for name, f in ends.items() for c in "xy"))
+    pairs = grid_join(rows, ["id", "x1", "y1", "x2", "y2"], 2 * g.TOUCH_TOLERANCE, cell)
+    a, b = (F.struct(*(F.col(f"{c}_{x}").alias(c) for c in ("x1", "y1", "x2", "y2"))) for x in "ab")
+    return pairs.where(g.segments_touch(a, b)).select("import_id", F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def _key(column: str) -> Column:
@@ -178,8 +185,10 @@ def box_relation(a: Column, b: Column) -> Column:
 
 def box_relationships(shapes: DataFrame, cell: float = 40.0) -> DataFrame:
     """(import_id, a, b, relation) of shapes that do not touch."""
-    rows = shapes.withColumn("box", box_column())
-    pairs = grid_join(rows, ["ord", "id", "box"], "box", g.ADJACENT_GAP, cell).select("import_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"), box_relation(F.col("a.box"), F.col("b.box")).alias("relation"))
+    rows = shapes.select("import_id", "ord", "id", box_column().alias("box")).select("import_id", "ord", "id", *(F.col(f"box.{c}").alias(c) for c in BOX))
+    pairs = grid_join(rows, ["id"], g.ADJACENT_GAP, cell)
+    a, b = (F.struct(*(F.col(f"{c}_{x}").alias(c) for c in BOX)) for x in "ab")
+    pairs = pairs.select("import_id", F.col("id_a").alias("a"), F.col("id_b").alias("b"), box_relation(a, b).alias("relation"))
     return pairs.where("relation IS NOT NULL").join(touching_pairs(shapes), ["import_id", "a", "b"], "left_anti")
 
 
