@@ -24,7 +24,7 @@ ORDERS = (1, 2, 3)
 #: Pseudo-count of every bucket.
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Most languages that a model may have; the matrix then takes 32 MB.
+#: Languages that a model learns, the most frequent ones of the labelled rows; the matrix then takes 32 MB.
 MOST_LANGUAGES = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -75,15 +75,15 @@ class Model:
     log_prior: np.ndarray
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits the model to every row that has a text and a language; no rows give a model without languages.
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_languages: int = MOST_LANGUAGES) -> Model:
+    """Fits the model to every row that has a text and one of the `most_languages` most frequent languages; no rows give a model without languages.
 
-    What reaches the driver are the summed counts: at most BUCKETS rows per language.
+    Of equally frequent languages the first by name are learned, so a column with many stray
+    labels does not stop the job.  What reaches the driver are the summed counts: at most
+    BUCKETS rows per language.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    n_docs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(n_docs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    n_docs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     languages = tuple(sorted(n_docs))
     code = {x: k for k, x in enumerate(languages)}
 
@@ -98,6 +98,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
     total = np.zeros(len(code) * BUCKETS)
+    rows = rows.where(F.col("lang").isin(list(code)))
     if code:
         for r in rows.mapInArrow(task, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
             total[r["cell"]] = r["n"]

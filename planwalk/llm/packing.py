@@ -22,6 +22,8 @@ from planwalk.llm.bitpack import with_end
 from planwalk.llm.encoder import encoder
 
 PIECES = "{id} long, piece int, start long, length long, ids_crc32 long"
+#: Most rows of a plan that is broadcast: about 10 MB.
+MOST_SLOTS = 200_000
 PLAN = "length long, first_rank long, n_slots long, per_sequence long, first_sequence long, first_offset long"
 
 
@@ -123,13 +125,15 @@ def pack(parts: DataFrame, room: int, id_col: str = "doc_id", buckets: int | Non
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("length", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("length", "_b").orderBy(id_col, "piece", "ids_crc32")
-    slots = spark.createDataFrame(plan(counts, room), PLAN)
-    # the plan's rows are bounded by the square of `room` at the very most, in practice by a few times `room`
+    rows = plan(counts, room)
+    slots = spark.createDataFrame(rows, PLAN).withColumnRenamed("length", "_length")
+    # a few times `room` rows for any number of documents; a plan beyond MOST_SLOTS would be joined by length instead
+    slots = F.broadcast(slots) if len(rows) <= MOST_SLOTS else slots
     return (
         parts.withColumn("_in", F.row_number().over(within) - 1)
         .join(cells, ["length", "_b"])
         .withColumn("_rank", F.col("_before") + F.col("_in"))
-        .join(F.broadcast(slots.withColumnRenamed("length", "_length")), F.expr("length = _length and _rank >= first_rank and _rank < first_rank + n_slots"))
+        .join(slots, F.expr("length = _length and _rank >= first_rank and _rank < first_rank + n_slots"))
         .withColumn("_slot", F.col("_rank") - F.col("first_rank"))
         .select(
             id_col, "piece", "start", "length", "ids_crc32",
@@ -157,9 +161,11 @@ def sequences(layout: DataFrame, docs: DataFrame, tokenizer_path: str, end_id: i
         enc = encoder(tokenizer_path)
         for batch in batches:
             data, offsets = wordhash.text_buffer(batch.column(1))
-            ids, counts = with_end(*enc.encode(data, offsets), end_id)
-            at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], names=[id_col, "_ids"])
+            for i, j in wordhash.segments(offsets):
+                low = offsets[i]
+                ids, counts = with_end(*enc.encode(data[low : offsets[j]], offsets[i : j + 1] - low), end_id)
+                at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], names=[id_col, "_ids"])
 
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("t")).mapInArrow(task, f"{id_col} long, _ids array<int>")
     part = layout.join(texts, id_col).select("sequence_id", F.struct("offset", F.expr("slice(_ids, int(start) + 1, int(length))").alias("ids")).alias("p"))

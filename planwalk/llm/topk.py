@@ -3,43 +3,76 @@
 A shard's tree splits at the median of the widest axis and keeps a tight box at every node.
 The inner product of a query with any vector of a box is at most the sum over the axes of
 the larger of query x low and query x high, so a best-first walk may stop at the first box
-whose bound is below the k-th score.  Blocks of queries first search one shard each; the
-k-th score found there goes along to all other shards as their first bound.
+whose bound is below the k-th score.  Every tree is built once and written to the shared
+folder; queries are dealt by shard and stream past the tree of theirs.  They first search one
+shard each; the k-th score found there goes along to all other shards as their first bound.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planwalk.llm.store import written
+from planwalk.llm.store import file_system, fresh, scratch, written
 
 LEAF = 64
-#: Vectors in a shard and queries in a block; both are what a task holds at once.
+#: Vectors in a shard, and queries that one task takes to a shard.
 SHARD_ROWS = 16_384
-BLOCK_ROWS = 1024
-#: Components beyond this could overflow a 64-bit score; such vectors take no part.
-LARGEST = 1 << 26
-NONE = -(1 << 62)
+PART_QUERIES = 65_536
+#: Most vector lengths whose shard counts are broadcast, and most tasks of a search.
+MANY_WIDTHS = 100_000
+MOST_TASKS = 4096
+#: Steps below this are exact in floating point; scores are cut to the range of a long.
+EXACT = 2.0**53
+HIGHEST = (1 << 63) - 1
+
+
+def whole_steps(row: np.ndarray, steps: int) -> list[int]:
+    """floor(steps * x) of finite doubles of any size."""
+    return [math.floor(p) if math.isfinite(p := float(x) * steps) else int(x) * steps for x in row.tolist()]
 
 
 class Tree:
-    """KD-tree in arrays; node k has children 2k + 1 and 2k + 2, or is a leaf of rows[low:high]."""
+    """KD-tree in arrays; node k is a leaf of rows[low:high] or has two children."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, steps: int):
+        vectors = np.floor(self._scaled(raw, steps))
         self.rows = np.lexsort((ids,))
         self.low, self.high, self.box_low, self.box_high = [], [], [], []
         self.left: list[int] = []
         self._build(vectors, 0, len(ids))
-        self.ids, self.vectors = ids[self.rows], vectors[self.rows].astype(np.float64)
-        self.box_low, self.box_high = np.array(self.box_low, np.float64), np.array(self.box_high, np.float64)
-        # sums of products below 2**53 are exact in floating point; larger ones are added as integers
-        self.exact = bool(len(ids)) and float(np.abs(self.vectors).max()) or 0.0
+        self._hold(ids[self.rows], raw[self.rows], steps, *map(np.array, (self.low, self.high, self.box_low, self.box_high, self.left)))
+
+    @staticmethod
+    def _scaled(raw: np.ndarray, steps: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return raw * float(steps)
+
+    def _hold(self, ids, raw, steps, low, high, box_low, box_high, left) -> None:
+        self.ids, self.raw, self.steps = ids, raw, int(steps)
+        self.low, self.high, self.box_low, self.box_high, self.left = low, high, box_low, box_high, left.tolist()
+        self.vectors = np.floor(self._scaled(raw, self.steps))
+        self.largest = float(np.abs(self.vectors).max())
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, ids=self.ids, raw=self.raw, steps=self.steps, low=self.low, high=self.high, box_low=self.box_low, box_high=self.box_high, left=np.array(self.left))
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, content: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        with np.load(io.BytesIO(content)) as z:
+            tree._hold(*(z[k] for k in ("ids", "raw", "steps", "low", "high", "box_low", "box_high", "left")))
+        return tree
 
     def _build(self, vectors: np.ndarray, low: int, high: int) -> int:
         node = len(self.low)
@@ -59,18 +92,34 @@ class Tree:
             self.left[node] = self.left[node] * (1 << 32) + right
         return node
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[list[tuple[int, int]]]:
+    def _scores(self, low: int, high: int, q: np.ndarray, exact_q: list[int], whole: bool, floor: float) -> Iterator[tuple[int, int]]:
+        """(place, exact score) of the vectors of a leaf that may reach the floor."""
+        part = self.vectors[low:high]
+        with np.errstate(all="ignore"):
+            scores = part @ q
+            if whole:
+                for at in np.flatnonzero(scores >= floor).tolist():
+                    yield low + at, int(scores[at])
+                return
+            scores += np.abs(part) @ np.abs(q) * (len(q) * 2.0**-51)
+        for at in np.flatnonzero(~np.isfinite(scores) | (scores >= floor)).tolist():
+            yield low + at, sum(a * b for a, b in zip(exact_q, whole_steps(self.raw[low + at], self.steps), strict=True))
+
+    def search(self, query_ids: np.ndarray, raw: np.ndarray, k: int, floors: list[int | None]) -> list[list[tuple[int, int]]]:
         """For each query its best (score, -id), at most k, of those that may reach the floor; a row of the query's own id is left out."""
-        q = queries.astype(np.float64)
-        largest = float(np.abs(q).max()) if len(q) else 0.0
-        whole = largest * self.exact * q.shape[1] < 2**53
-        bounds = np.maximum(q, 0) @ self.box_high.T + np.minimum(q, 0) @ self.box_low.T
-        if not whole:
-            bounds = np.nextafter(bounds, np.inf) + np.abs(bounds) * 1e-12
+        queries = np.floor(self._scaled(raw, self.steps))
+        with np.errstate(all="ignore"):
+            bounds = np.maximum(queries, 0) @ self.box_high.T + np.minimum(queries, 0) @ self.box_low.T
+            whole = np.abs(queries).max(axis=1) * self.largest * queries.shape[1] < EXACT
+            # sums that are not exact may be off by so much
+            off = np.abs(queries) @ np.maximum(np.abs(self.box_low), np.abs(self.box_high)).T * (queries.shape[1] * 2.0**-51)
+            bounds = np.where(whole[:, None], bounds, bounds + off)
+        bounds[~np.isfinite(bounds)] = np.inf
         out = []
-        for i in range(len(q)):
+        for i in range(len(queries)):
             best: list[tuple[int, int]] = []
-            floor = int(floors[i])
+            floor = -math.inf if floors[i] is None else floors[i]
+            exact_q = [] if whole[i] else whole_steps(raw[i], self.steps)
             open_nodes = [(-bounds[i, 0], 0)]
             while open_nodes:
                 bound, node = heapq.heappop(open_nodes)
@@ -82,11 +131,8 @@ class Tree:
                         if bounds[i, child] >= floor:
                             heapq.heappush(open_nodes, (-bounds[i, child], child))
                     continue
-                low, high = self.low[node], self.high[node]
-                part = self.vectors[low:high]
-                scores = (part @ q[i]).astype(np.int64) if whole else part.astype(np.int64) @ queries[i].astype(np.int64)
-                for at in np.flatnonzero(scores >= floor).tolist():
-                    found = (int(scores[at]), -int(self.ids[low + at]))
+                for at, score in self._scores(self.low[node], self.high[node], queries[i], exact_q, whole[i], floor):
+                    found = (score, -int(self.ids[at]))
                     if -found[1] == int(query_ids[i]):
                         continue
                     if len(best) < k:
@@ -99,33 +145,48 @@ class Tree:
         return out
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, steps: int) -> DataFrame:
-    """(id, v): vectors with components floor(steps * x); those null, empty, or with a null, non-finite or too large component are left out."""
-    x = F.col(vector_col)
-
-    def fits(c: Column) -> Column:
-        return c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * steps) < LARGEST)
-
-    good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: F.coalesce(fits(c), F.lit(False))) & F.col(id_col).isNotNull()
-    rows = vectors.where(good)
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * steps).cast("int")).alias("v"))
-
-
-def _search(first: bool, k: int):
-    def task(key: tuple, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        columns = {"query_id": [], "vec_id": [], "score": []}
-        if len(shard) and len(queries):
-            tree = Tree(shard["id"].to_numpy(), np.stack(shard["v"].to_list()))
-            for low in range(0, len(queries), BLOCK_ROWS):
-                part = queries.iloc[low : low + BLOCK_ROWS]
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v): vectors of doubles; those null, empty, or with a null or non-finite component are left out, and so are rows without an id."""
+    x = F.transform(vector_col, lambda c: c.cast("double"))
+    finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
+    rows = vectors.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.col(id_col).isNotNull() & finite)
+    return rows.select(F.col(id_col).cast("long").alias("id"), x.alias("v"))
+
+
+def _trees(rows: DataFrame, steps: int) -> DataFrame:
+    """(width, shard, path) of the trees of rows (width, shard, id, v), each in a file of its own; those of the attempts that Spark commits are listed."""
+    out = scratch(rows.sparkSession, "trees")
+
+    def task(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(shard["id"].to_numpy(), np.stack(shard["v"].to_list()), steps)
+        uri = f"{out}/{key[0]}-{key[1]}-{TaskContext.get().taskAttemptId()}.npz"
+        fs, path = file_system(uri)
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(path) as sink:
+            sink.write(tree.dump())
+        return pd.DataFrame({"width": [key[0]], "shard": [key[1]], "path": [uri]})
+
+    return written(rows.groupBy("width", "shard").applyInPandas(task, "width int, shard int, path string"), "tree-list")
+
+
+def _search(k: int):
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, tree = None, None
+        for batch in batches:
+            columns: dict[str, list[int]] = {"query_id": [], "vec_id": [], "score": []}
+            for uri, part in batch.groupby("path", sort=False):
+                if uri != held:
+                    fs, path = file_system(uri)
+                    with fs.open_input_stream(path) as source:
+                        held, tree = uri, Tree.load(source.read())
                 ids = part["id"].to_numpy()
-                floors = np.full(len(part), NONE) if first else part["floor"].to_numpy()
+                floors = [None if pd.isna(x) else int(x) for x in part["floor"].tolist()]
                 for query_id, best in zip(ids.tolist(), tree.search(ids, np.stack(part["v"].to_list()), k, floors), strict=True):
                     for score, minus in best:
                         columns["query_id"].append(query_id)
                         columns["vec_id"].append(-minus)
-                        columns["score"].append(score)
-        return pd.DataFrame(columns, dtype="int64")
+                        columns["score"].append(max(-HIGHEST - 1, min(HIGHEST, score)))
+            yield pd.DataFrame(columns, dtype="int64")
 
     return task
 
@@ -140,32 +201,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, steps: int = 1024,
 
     Ties go to the smaller id; fewer rows are returned where there are fewer.  Vectors are
     compared with those of the same length.  Rows that repeat an id count each for itself,
-    and a query never meets rows of its own id.
+    and a query never meets rows of its own id.  Components of any finite size are taken and
+    scores are added up exactly; a score beyond a long is cut to its range, where ties again
+    go to the smaller id.  Other columns, whatever their names, are not looked at.
     """
-    rows = written(usable(vectors.withColumn("_q", is_query), id_col, vector_col, steps), "vectors")
-    asked = usable(vectors.where(is_query), id_col, vector_col, steps)
+    (flag,) = fresh(vectors, "q")
+    marked = vectors.withColumn(flag, F.coalesce(is_query, F.lit(False)))
     width = F.size("v").alias("width")
-    shards = {r["width"]: -(-r["n"] // SHARD_ROWS) for r in rows.groupBy(width).agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = rows.sparkSession.createDataFrame([(w, s) for w, s in shards.items()], "width int, shards int")
-    rows = rows.withColumn("width", width).join(F.broadcast(sizes), "width")
-    rows = rows.select("id", "v", "width", F.pmod(F.xxhash64("id", F.lit(1)), F.col("shards")).cast("int").alias("shard"))
-    # blocks of queries: a shard's tree meets one block at a time, so neither grows with the table
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("n_queries") / BLOCK_ROWS)).cast("int")
-    asked = asked.withColumn("width", width)
-    counts = asked.groupBy("width").agg(F.count(F.lit(1)).alias("n_queries"))
-    asked = asked.join(counts, "width").join(F.broadcast(sizes), "width").withColumn("blocks", n_blocks)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
-    asked = written(asked.select("id", "v", "width", "shards", "block", "blocks"), "queries")
-    per_width = asked.select("width", "blocks").distinct()
-    dealt = rows.join(F.broadcast(per_width), "width").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
-    key = ["width", "shard", "block"]
-    schema = "query_id long, vec_id long, score long"
-    home = F.pmod(F.col("block"), F.col("shards")).cast("int")
-    first = asked.withColumn("shard", home).select(*key, "id", "v")
-    at_home = dealt.join(F.broadcast(asked.select("width", "block", home.alias("shard")).distinct()), key, "left_semi")
-    near = written(_best(at_home.groupBy(key).cogroup(first.groupBy(key)).applyInPandas(_search(True, k), schema), k).drop("rank"), "near")
-    floors = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NONE)).alias("floor"))
-    rest = asked.join(floors, asked["id"] == floors["query_id"], "left").withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).where(F.col("shard") != home)
-    rest = rest.select(*key, "id", "v", F.coalesce("floor", F.lit(NONE)).alias("floor")).toDF(*key, "id", "v", "floor")
-    far = dealt.groupBy(key).cogroup(rest.groupBy(key)).applyInPandas(_search(False, k), schema)
-    return _best(near.unionByName(far), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rows = written(usable(marked, id_col, vector_col).select("*", width), "vectors")
+    asked = usable(marked.where(flag), id_col, vector_col).select("*", width)
+    large = F.exists("v", lambda x: F.abs(x) * steps >= float(1 << 20))
+    # one row per length of vectors; large vectors have shards of their own, after the others
+    n_of = lambda c: F.ceil(F.count(F.when(c, 1)) / SHARD_ROWS).cast("int")
+    sizes = written(rows.groupBy("width").agg(n_of(~large).alias("small"), n_of(large).alias("more")), "shard-counts")
+    sizes = F.broadcast(sizes) if sizes.count() <= MANY_WIDTHS else sizes
+    n_shards = sizes.agg(F.sum(F.col("small") + F.col("more"))).first()[0] or 0
+    bucket = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(n, F.lit(1))).cast("int")
+    dealt = rows.join(sizes, "width").withColumn("shard", F.when(large, F.col("small") + bucket(F.col("more"))).otherwise(bucket(F.col("small"))))
+    trees = _trees(dealt.select("width", "shard", "id", "v"), steps)
+    asked = written(asked.join(sizes, "width").withColumn("shards", F.col("small") + F.col("more")).select("id", "v", "width", "shards"), "queries")
+    parts = -(-asked.count() // PART_QUERIES) or 1
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts)).cast("int")).withColumn("home", F.pmod(F.xxhash64("id", F.lit(3)), F.col("shards")).cast("int"))
+    key = ["width", "shard", "part"]
+    of_parts = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def search(queries: DataFrame) -> DataFrame:
+        rows = queries.join(of_parts, key).select(*key, "path", "id", "v", "floor")
+        rows = rows.repartition(max(1, min(n_shards * parts, MOST_TASKS)), *key).sortWithinPartitions(*key)
+        return rows.mapInPandas(_search(k), "query_id long, vec_id long, score long")
+
+    first = asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(None).cast("long"))
+    near = written(_best(search(first), k).drop("rank"), "near")
+    floors = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    rest = asked.join(floors, "id", "left").withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).where("shard <> home")
+    return _best(near.unionByName(search(rest)), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,8 +1,11 @@
 """Hot groups, very long texts, clashing columns, repeated rows and hash collisions in the corpus operators."""
 
+import collections
+import math
 import random
 import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from planwalk.llm import bitpack, decontaminate, encoder, linededup, neardup, packing, secrets, store, wordhash
+from planwalk.llm import bitpack, decontaminate, encoder, langid, linededup, neardup, packing, secrets, store, topk, wordhash
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -227,3 +230,71 @@ def test_decontamination_of_clashing_columns(spark):
     assert all(r[c] == c for r in got for c in ("_s", "_d", "_k", "doc", "text_key", "item_id"))
     assert [r["doc_id"] for r in decontaminate.drop_documents(docs, bench).orderBy("doc_id").collect()] == [1, 2]
     assert len(decontaminate.report(docs.unionAll(docs), bench).collect()) == 6
+
+
+# ---- top k
+
+
+def brute_top(rows, k, steps=1024):
+    """query_id to [(vec_id, score)], in whole numbers of any size."""
+    whole = [(i, [math.floor(Fraction(x) * steps) for x in v]) for i, v in rows]
+    out = {}
+    for q, v in whole:
+        if q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in whole if c != q and len(w) == len(v))
+            out[q] = [(c, -s) for s, c in scores[:k]]
+    return out
+
+
+@pytest.mark.parametrize("shard, part", [(16_384, 65_536), (20, 2)])
+def test_top_k_over_shards_and_sizes(spark, monkeypatch, shard, part):
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard)
+    monkeypatch.setattr(topk, "PART_QUERIES", part)
+    rng = np.random.default_rng(7)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(160, 5)).round(1))] + [(k, v.tolist()) for k, v in zip(range(200, 260), rng.normal(size=(60, 5)) * 1e5, strict=True)]
+    rows += [(300, [70000.0] * 5), (301, [1e6, -1e6, 1e6, 0.5, 0.0]), (302, [2.0**22, 1.0, -1.0, 0.0, 1.0]), (400, [1.0, 0.0]), (401, [70000.0, 0.0]), (402, [2.0, 0.0])]
+    rows += [(k, [0.5] * 5) for k in range(500, 530)]  # ties at the last rank, in several shards
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(c) for c in ("_q", "id", "v", "width")})
+    got = {}
+    for r in topk.top_k(df.repartition(5), F.col("vec_id") % 100 == 0, k=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute_top(rows, 6)
+
+
+def test_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [1e300]), (1, [1e300]), (2, [-1e300]), (3, [1.0])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, topk.HIGHEST), (3, topk.HIGHEST), (2, -topk.HIGHEST - 1)]
+
+
+# ---- language
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    rows = [("the cat and the dog", "en"), ("and then the end", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("x", "aa"), (None, "de"), ("y", None)]
+    asked = ["the dog", "die katze", "é 漢字 chat", "x", "  the\n", "9 !", "", None]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    buckets = lambda t: [b for _, _, found in langid.grams(*wordhash.text_buffer(pa.array([t]))) for part, _ in found for b in part.tolist()]
+    assert len(buckets("ab")) == 4 + 3 + 2  # n-grams of line feed, a, b, line feed
+    counts = {x: collections.Counter() for x in ("aa", "de", "en", "fr")}
+    for t, x in rows:
+        if t is not None and x is not None:
+            counts[x].update(buckets(t))
+    n = {"aa": 1, "de": 1, "en": 2, "fr": 1}
+    for r in langid.predict(spark.createDataFrame([(t,) for t in asked], "text string").withColumn("score", F.lit("clash")), model).collect():
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        log = {x: math.log(n[x] / 5) + sum(math.log((counts[x][b] + langid.SMOOTHING) / (sum(counts[x].values()) + langid.SMOOTHING * langid.BUCKETS)) for b in buckets(r["text"])) for x in counts}
+        best = max(log, key=log.get)
+        assert r["lang_pred"] == best and abs(r["score"] - 1 / sum(math.exp(v - log[best]) for v in log.values())) < 1e-9
+
+
+def test_many_and_long_languages(spark):
+    rows = [(f"w{k} text", f"x{k:03d}") for k in range(300)] + [("the end " * 200_000, "en")] * 2
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 256 and "en" in model.languages and "x254" in model.languages and "x255" not in model.languages
+    got = langid.predict(docs.unionAll(docs), model).collect()
+    assert len(got) == 604 and [r["lang_pred"] for r in got if r["lang"] == "en"] == ["en"] * 4
+    assert langid.train(docs.where("false")).languages == ()
