@@ -3,12 +3,18 @@
 Of pages with equal payloads of at least `revisit_bytes` bytes, the one with the largest id
 is stored as a response and the others as revisits that refer to it; a revisit keeps the
 HTTP header (which has the payload's length) and the payload's digest, but no payload.
+
+The reader takes archives of other writers as well: records of all types, ids that are not
+those of pages, header fields in any case and folded, digests of any known algorithm in
+base 16 or 32, and records without digests.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 
@@ -20,8 +26,10 @@ from pyspark.sql import functions as F
 from planwalk.llm import store
 
 MANIFEST = "part int, path string, n_records long, n_bytes long"
-RECORDS = "{id} long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean, payload binary"
+RECORDS = "{id} long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean, payload binary, record_id string"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Says that a target URI, which had line breaks or outer white space, is written in percent codes.
+CODED = "X-Target-URI-Coded"
 #: Archives hold no clock of the run that wrote them.
 DATE = "1970-01-01T00:00:00Z"
 CHUNK = 1 << 16
@@ -40,8 +48,38 @@ def _record_id(page_id: int | None) -> str:
 
 
 def _page_id(record_id: str | None) -> int | None:
-    number = (record_id or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    """The page's id in a record id of this writer; null in any other."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", record_id or "")
+    return int(found[1]) if found else None
+
+
+def _digest(text: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, value) of a digest field, whose value is in base 16 or 32; null for one that cannot be read."""
+    name, _, value = (text or "").strip().partition(":")
+    name = name.lower().replace("-", "")
+    if name not in hashlib.algorithms_available or not (size := hashlib.new(name).digest_size):
+        return None
+    try:
+        return name, bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None
+
+
+def _holds(digest: tuple[str, bytes] | None, data: bytes) -> bool:
+    """Whether data has the digest; one that is absent or unknown is not held against it."""
+    return digest is None or hashlib.new(digest[0], data).digest() == digest[1]
+
+
+def _header(raw: bytes) -> dict[str, str]:
+    """Fields by lower-case name; a line that starts with white space carries the one before on, of repeated fields the first counts."""
+    fields: list[list[str]] = []
+    for line in raw.decode("utf-8", "surrogateescape").split("\r\n"):
+        if line[:1] in (" ", "\t") and fields:
+            fields[-1][1] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            fields.append([name.strip().lower(), value.strip()])
+    return {name: value for name, value in reversed(fields)}
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, level: int = 6) -> bytes:
@@ -58,7 +96,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("Content-Length", str(len(block))),
     ]
     if url is not None:
-        fields.append(("WARC-Target-URI", url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")))
+        coded = url != url.strip() or "\r" in url or "\n" in url
+        fields.append(("WARC-Target-URI", urllib.parse.quote(url, safe="") if coded else url))
+        if coded:
+            fields.append((CODED, "1"))
     if refers_to is not None:
         fields += [("WARC-Refers-To", _record_id(refers_to)), ("WARC-Profile", REVISIT_PROFILE)]
     raw = b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
@@ -88,30 +129,41 @@ def members(source) -> Iterator[tuple[int, bytes]]:
 
 
 def parse(raw: bytes) -> dict:
-    """The record in a member: header fields, and what content-length framing and the digests say."""
+    """The record in a member: header fields, and what content-length framing and the digests say.
+
+    The payload of an HTTP message is what follows its header, that of any other record its
+    block; a revisit has none, and its size and digest are those it declares, if any.
+    """
     head, mark, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-    if not mark or not lines[0].startswith("WARC/"):
+    version, _, head = head.partition(b"\r\n")
+    if not mark or not version.startswith(b"WARC/"):
         raise ValueError("no WARC header")
-    fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+    fields = _header(head)
     length = int(fields["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError(f"content-length {length} does not frame {len(rest)} bytes")
-    block = rest[:length]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    declared = next(int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    response = fields["warc-type"] == "response"
-    ok = fields.get("warc-block-digest") == _sha1(block) and (not response or (fields["warc-payload-digest"] == _sha1(payload) and declared == len(payload)))
+    block, kind = rest[:length], fields["warc-type"].lower()
+    http, payload = {}, block
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        first, _, payload = block.partition(b"\r\n\r\n")
+        http = _header(first.partition(b"\r\n")[2])
+    declared = http.get("content-length", "")
+    declared = int(declared) if declared.isdigit() and "transfer-encoding" not in http and "warc-truncated" not in fields else None
+    revisit = kind == "revisit"
+    digest = _digest(fields.get("warc-payload-digest"))
+    ok = _holds(_digest(fields.get("warc-block-digest")), block) and (revisit or (_holds(digest, payload) and declared in (None, len(payload))))
+    found = digest[1].hex() if digest and digest[0] == "sha1" else None if revisit else hashlib.sha1(payload).hexdigest()
     url = fields.get("warc-target-uri")
     return {
-        "page_id": _page_id(fields["warc-record-id"]),
-        "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
-        "payload_bytes": declared,
-        "payload_digest": base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex(),
-        "record_type": fields["warc-type"],
+        "page_id": _page_id(fields.get("warc-record-id")),
+        "url": urllib.parse.unquote(url) if url is not None and CODED.lower() in fields else url,
+        "payload_bytes": declared if revisit else len(payload) if declared is None else declared,
+        "payload_digest": found,
+        "record_type": kind,
         "refers_to": _page_id(fields.get("warc-refers-to")),
         "digest_ok": ok,
-        "payload": payload if response else None,
+        "payload": None if revisit else payload,
+        "record_id": fields.get("warc-record-id"),
     }
 
 
@@ -177,12 +229,12 @@ def read(spark: SparkSession, out: str, payloads: bool = True, id_col: str = "pa
 
 
 def _archive(uri: str, payloads: bool, id_col: str) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.string()]
     rows: list[dict] = []
     held = 0
 
     def batch() -> pa.RecordBatch:
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok", "payload"]
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok", "payload", "record_id"]
         columns = [pa.array([r[name] for r in rows], kind) for name, kind in zip(names, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(columns, names=[id_col, *names[1:]])
 
@@ -191,7 +243,7 @@ def _archive(uri: str, payloads: bool, id_col: str) -> Iterator[pa.RecordBatch]:
         for offset, raw in members(source):
             try:
                 row = parse(raw)
-            except (ValueError, KeyError, StopIteration) as e:
+            except (ValueError, KeyError) as e:
                 raise ValueError(f"{uri}, member at byte {offset}: {e}") from e
             if not payloads:
                 row["payload"] = None

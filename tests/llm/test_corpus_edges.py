@@ -1,6 +1,7 @@
 """Hot groups, very long texts, clashing columns, repeated rows and hash collisions in the corpus operators."""
 
 import collections
+import hashlib
 import math
 import random
 import time
@@ -14,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from planwalk.llm import bitpack, decontaminate, encoder, langid, linededup, neardup, packing, secrets, store, topk, wordhash
+from planwalk.llm import bitpack, decontaminate, encoder, langid, linededup, neardup, packing, secrets, store, topk, warc, wordhash
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -298,3 +299,38 @@ def test_many_and_long_languages(spark):
     got = langid.predict(docs.unionAll(docs), model).collect()
     assert len(got) == 604 and [r["lang_pred"] for r in got if r["lang"] == "en"] == ["en"] * 4
     assert langid.train(docs.where("false")).languages == ()
+
+
+# ---- archives
+
+
+def member(fields, block):
+    raw = "WARC/1.0\r\n" + "".join(f"{f}\r\n" for f in fields) + f"content-LENGTH:{len(block)}\r\n\r\n"
+    gz = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return gz.compress(raw.encode() + block + b"\r\n\r\n") + gz.flush()
+
+
+def test_archives_of_other_writers():
+    sha1 = hashlib.sha1(b"body").hexdigest()
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nX: y\r\n\r\nbody"
+    records = [
+        member(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-000000000001>"], b"software: x\r\n"),
+        member(["warc-type:request", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        member(["WARC-Type: response", "Content-Type: application/http;", " msgtype=response", "WARC-Target-URI: http://x/a%20b?c=%0A", f"WARC-Payload-Digest: SHA1:{sha1}"], http),
+        member(["WARC-Type: metadata", "WARC-Block-Digest: sha-256:" + hashlib.sha256(b"m").hexdigest()], b"m"),
+        member(["WARC-Type: resource", "Content-Type: text/plain", "WARC-Block-Digest: md5:" + hashlib.md5(b"other").hexdigest()], b"body"),
+        member(["WARC-Type: revisit", "WARC-Refers-To: <urn:uuid:x>", "WARC-Payload-Digest: strange:1"], b""),
+    ]
+    got = [warc.parse(raw) for _, raw in warc.members(pa.BufferReader(b"".join(records)))]
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "metadata", "resource", "revisit"]
+    assert [r["digest_ok"] for r in got] == [True, True, True, True, False, True] and {r["page_id"] for r in got} == {None}
+    assert got[0]["record_id"] == "<urn:uuid:00000000-0000-0000-0000-000000000001>" and got[2]["url"] == "http://x/a%20b?c=%0A"
+    assert (got[2]["payload"], got[2]["payload_digest"], got[2]["payload_bytes"]) == (b"body", sha1, 4) and got[5]["payload"] is None
+
+
+@pytest.mark.parametrize("url", ["http://x/a%20b", "http://a/%41\r\nx", " x ", "", "é%0A"])
+def test_uris_as_they_are(url):
+    ((_, raw),) = warc.members(pa.BufferReader(warc.record(1, url, b"p")))
+    assert warc.parse(raw)["url"] == url
+    if url == url.strip() and "\n" not in url:
+        assert f"WARC-Target-URI: {url}\r\n".encode() in raw
