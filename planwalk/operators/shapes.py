@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from planwalk.functions import geometry as g
 from planwalk.operators.components import connected_components
+from planwalk.sources.scratch import written
 
 KEY = ["import_id", "id"]
 #: Kinds that may be a wall whatever their proportions.
@@ -155,6 +156,20 @@ def closed_boundaries(shapes: DataFrame) -> DataFrame:
     return own.unionByName(cycles(shapes).select("import_id", F.lit("component-cycle").alias("source"), "ids", F.lit(None).cast("double").alias("area")))
 
 
+def enclosures(shapes: DataFrame) -> DataFrame:
+    """(import_id, ids, area, warning): the cycles that several shapes form, with the area of the traced ring; where the ring branches there is no area but a warning."""
+    key = lambda c: F.concat_ws("/", F.col("import_id").cast("string"), F.col(c).cast("string"))
+    found = written(cycles(shapes), "cycles")
+    links = edges(shapes).select("import_id", "id", key("from_node").alias("a"), key("to_node").alias("b"))
+    of_shape = found.select("import_id", "component", F.explode("ids").alias("id"))
+    links = links.join(of_shape, ["import_id", "id"])
+    at = nodes(shapes).select(key("node_no").alias("node"), "x", "y")
+    points = links.select("component", F.explode(F.array("a", "b")).alias("node")).distinct().join(at, "node")
+    area = trace_ring(points, links.select("component", "a", "b"))
+    rows = found.join(area, "component", "left")
+    return rows.select("import_id", "ids", "area", F.when(F.col("area").isNull(), "branching").alias("warning"))
+
+
 def walls_and_passages(shapes: DataFrame) -> DataFrame:
     """(import_id, id, kind, aspect_ratio): open shapes, and rects of at least the wall's proportions; those that touch nothing are passages."""
     size = shape_components(shapes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("import_id", "component"))).select("import_id", "id", "n")
@@ -207,6 +222,7 @@ def trace_ring(points: DataFrame, links: DataFrame, by: str = "component") -> Da
     """
     import pandas as pd
 
+    none = pd.DataFrame({by: pd.Series([], dtype=object), "area": pd.Series([], dtype=float)})
     both = links.select(by, F.col("a").alias("node"), F.col("b").alias("next")).unionByName(links.select(by, F.col("b").alias("node"), F.col("a").alias("next")))
     around = both.groupBy(by, "node").agg(F.collect_list("next").alias("around")).join(points, [by, "node"])
 
@@ -214,15 +230,15 @@ def trace_ring(points: DataFrame, links: DataFrame, by: str = "component") -> Da
         around_of = dict(zip(part["node"], part["around"], strict=True))
         at = {n: (x, y) for n, x, y in zip(part["node"], part["x"], part["y"], strict=True)}
         if any(len(v) != 2 for v in around_of.values()):
-            return pd.DataFrame({by: [], "area": []})
+            return none
         ring, last, here = [], None, min(at)
         while len(ring) < len(at):
             ring.append(at[here])
             a, b = around_of[here]
             last, here = here, (b if a == last else a)
         if here != min(at) or len(set(ring)) != len(at):
-            return pd.DataFrame({by: [], "area": []})
+            return none
         area = sum(ring[i][0] * ring[(i + 1) % len(ring)][1] - ring[(i + 1) % len(ring)][0] * ring[i][1] for i in range(len(ring)))
-        return pd.DataFrame({by: [part[by].iloc[0]], "area": [abs(area) / 2]})
+        return pd.DataFrame({by: pd.Series([part[by].iloc[0]], dtype=object), "area": [abs(area) / 2]})
 
     return around.groupBy(by).applyInPandas(task, f"{by} {dict(points.dtypes)[by]}, area double")

@@ -126,6 +126,22 @@ def closed_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.closed_boundaries(_clean(spark, sf_dir)).select("import_id", "source", F.array_join("ids", ",").alias("ids"), F.round("area", 6).alias("area"))
 
 
+@register(
+    oracle(
+        f"""WITH {_SEGS}, {_CYCLES},
+part AS (SELECT c.import_id, c.c, c.ids, min(n.node_no) AS s, bool_and(n.degree = 2) AS ring, count(*) AS n_nodes FROM cycles c JOIN ncomp m ON m.import_id = c.import_id AND m.c = c.c
+  JOIN nodes n ON n.import_id = m.import_id AND n.node_no = m.node_no WHERE c.n_edges >= c.n_nodes GROUP BY c.import_id, c.c, c.ids),
+walk AS (SELECT p.import_id, p.c, p.s, p.s AS a, min(u.q) AS b FROM part p JOIN nund u ON u.import_id = p.import_id AND u.p = p.s WHERE ring AND n_nodes > 2 GROUP BY p.import_id, p.c, p.s
+  UNION ALL SELECT w.import_id, w.c, w.s, w.b, u.q FROM walk w JOIN nund u ON u.import_id = w.import_id AND u.p = w.b AND u.q <> w.a WHERE w.b <> w.s),
+area AS (SELECT w.import_id, w.c, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area FROM walk w JOIN nodes a ON a.import_id = w.import_id AND a.node_no = w.a JOIN nodes b ON b.import_id = w.import_id AND b.node_no = w.b GROUP BY w.import_id, w.c)
+SELECT p.import_id, p.ids, round(CASE WHEN ring AND n_nodes = 2 THEN 0 ELSE area END, 6) AS area, CASE WHEN NOT ring THEN 'branching' END AS warning FROM part p LEFT JOIN area ON area.import_id = p.import_id AND area.c = p.c"""
+    )
+)
+def enclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of several shapes with the areas of their rings, or a warning where a ring branches."""
+    return shapes.enclosures(_clean(spark, sf_dir)).select("import_id", F.array_join("ids", ",").alias("ids"), F.round("area", 6).alias("area"), "warning")
+
+
 @register(
     oracle(
         f"""WITH {_COMPONENTS}, size AS (SELECT import_id, component, count(*) AS n FROM comp GROUP BY import_id, component)

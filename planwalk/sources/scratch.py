@@ -16,9 +16,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; where the session names none (tests on one machine), a new local folder."""
+    """URI of the shared folder; where a session on one machine names none, a new local folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         found = _own[0]
