@@ -75,6 +75,41 @@ SELECT * FROM (VALUES ('SEM-001', 'WALL', 'STRUCTURAL_WALL', 100, 1), ('SEM-002'
   ('SEM-003', 'OPENING', 'DOORWAY', 100, 3), ('SEM-004', 'ENCLOSURE', 'ROOM', 100, 4),
   ('SEM-005', 'VERTICAL_CONNECTION', 'VERTICAL_CONNECTOR', 100, 5)) AS t(rule_id, spatial_category, semantic_category, priority, rule_ord)""",
     "f_more_rules": "SELECT * FROM f_rules UNION ALL SELECT * FROM (VALUES ('SEM-101', 'WALL', 'PARTITION', 150, 6), ('SEM-102', 'PASSAGE', 'RAMP', 50, 7), ('SEM-103', 'ENCLOSURE', 'HALL', 100, 8)) AS t(rule_id, spatial_category, semantic_category, priority, rule_ord)",
+    "f_candidates": """
+SELECT p_partkey AS ord, CASE p_partkey % 6 WHEN 0 THEN 'candidateBoundaries' WHEN 1 THEN 'candidateEnclosures' WHEN 2 THEN 'candidateOpenings' WHEN 3 THEN 'candidateWalls' WHEN 4 THEN 'candidatePassages' ELSE 'candidateVerticalConnections' END AS collection,
+  CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 10 < 5 THEN concat('c-', cast(cast(floor(p_partkey / 12) AS bigint) AS string)) ELSE concat('p-', cast(p_partkey AS string)) END AS candidate_id,
+  CASE WHEN p_partkey % 4 > 0 THEN concat('el-', cast(p_partkey AS string)) END AS primitive_id, CASE WHEN p_partkey % 3 = 0 THEN concat('el-', cast(p_partkey + 1 AS string)) END AS partner_id FROM part""",
+    "f_semantic_input": """
+SELECT c_custkey AS ord, CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN c_custkey - 1 ELSE c_custkey END AS uso_id,
+  CASE c_custkey % 7 WHEN 0 THEN 'BOUNDARY' WHEN 1 THEN 'WALL' WHEN 2 THEN 'ENCLOSURE' WHEN 3 THEN 'OPENING' WHEN 4 THEN 'PASSAGE' WHEN 5 THEN 'VERTICAL_CONNECTION' ELSE 'UNKNOWN' END AS spatial_category FROM customer""",
+    "f_raw_positions": """
+SELECT event_id, CASE WHEN event_id % 17 > 0 THEN graph_id END AS graph_id, CASE WHEN event_id % 19 > 0 THEN source END AS source,
+  CASE WHEN event_id % 23 > 0 THEN recorded_at END AS recorded_at, CASE WHEN event_id % 29 > 0 THEN x END AS x, CASE WHEN event_id % 29 > 1 THEN y END AS y FROM f_positions""",
+    "f_graph_candidates": """
+SELECT o_orderpriority AS graph_id, o_orderkey AS candidate_id, CASE WHEN o_orderkey % 31 = 0 THEN -o_custkey ELSE o_orderkey END AS object_id,
+  CASE o_orderkey % 3 WHEN 0 THEN 'ROOM_ENTRY' WHEN 1 THEN 'DEAD_END' WHEN 2 THEN 'BUILDING_ENTRY' END AS candidate_type FROM orders""",
+    "f_graph_nodes": """
+SELECT graph_id, CASE WHEN candidate_id % 37 = 0 THEN -1 ELSE candidate_id END AS candidate_id, object_id, CASE WHEN candidate_id % 41 > 0 THEN candidate_type END AS node_type
+FROM f_graph_candidates WHERE NOT (candidate_id % 29 = 0 AND graph_id = '1-URGENT')""",
+    "f_stops": "SELECT l_orderkey AS route_id, rn AS place, l_suppkey AS node FROM f_lines",
+    "f_links": """
+SELECT DISTINCT node AS src, nxt AS dst, cast((node * 5 + nxt * 3) % 17 AS double) AS cost
+FROM (SELECT node, lead(node) OVER (PARTITION BY route_id ORDER BY place) AS nxt FROM f_stops) t WHERE nxt IS NOT NULL AND (node + nxt) % 23 > 0""",
+    "f_kinds": """
+SELECT o_custkey AS request_id, o_orderkey AS route_id, cast(o_orderkey % 7 AS int) AS context_id,
+  CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CASE o_orderkey % 5 WHEN 0 THEN 'SHORTEST' WHEN 1 THEN 'FASTEST' WHEN 2 THEN 'ACCESSIBLE' WHEN 3 THEN 'AVOID_STAIRS' ELSE 'PREFER_ELEVATORS' END END AS preference FROM orders""",
+    "f_hops": """
+SELECT t.route_id, t.place, t.node, t.nxt, e.cost AS base_cost, CASE WHEN k.preference = 'ACCESSIBLE' THEN e.cost * 2 WHEN k.preference = 'AVOID_STAIRS' AND e.dst % 5 = 3 THEN e.cost + 3 ELSE e.cost END AS cost
+FROM (SELECT route_id, place, node, lead(node) OVER (PARTITION BY route_id ORDER BY place) AS nxt FROM f_stops) t
+JOIN f_kinds k ON k.route_id = t.route_id LEFT JOIN f_links e ON e.src = t.node AND e.dst = t.nxt""",
+    "f_offers": """
+SELECT k.request_id, k.route_id, k.context_id, k.preference, s.n_hops + CASE WHEN k.route_id % 11 = 0 THEN 1 ELSE 0 END AS hop_count,
+  s.summed + CASE WHEN k.route_id % 13 = 0 THEN 1 ELSE 0 END AS total_cost
+FROM f_kinds k JOIN (SELECT route_id, count(nxt) AS n_hops, coalesce(sum(cost), cast(0 AS double)) AS summed FROM f_hops GROUP BY route_id) s ON s.route_id = k.route_id""",
+    "f_asked": """
+SELECT r.request_id, min(CASE WHEN s.place = 1 THEN s.node END) AS origin, min(CASE WHEN s.place = r.n THEN s.node END) AS destination
+FROM (SELECT k.request_id, k.route_id, (SELECT max(place) FROM f_stops z WHERE z.route_id = k.route_id) AS n FROM (SELECT request_id, min(route_id) AS route_id FROM f_offers GROUP BY request_id) k) r
+JOIN f_stops s ON s.route_id = r.route_id GROUP BY r.request_id""",
 }
 
 
