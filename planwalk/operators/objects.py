@@ -80,8 +80,8 @@ def promote(objects: DataFrame, violations: DataFrame) -> DataFrame:
 
 
 def match_rules(objects: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every rule that fires on every object; rules are a short table of categories."""
-    return objects.join(F.broadcast(rules), "spatial_category")
+    """Every rule that fires on every object."""
+    return objects.join(rules, "spatial_category")
 
 
 def resolve_conflicts(matches: DataFrame) -> DataFrame:

@@ -113,8 +113,8 @@ def effective_costs(edges: DataFrame, contexts: DataFrame, policies: dict[str, C
     effective = cost
     for preference, policy in (policies or {}).items():
         effective = F.when(F.col("preference") == preference, policy).otherwise(effective)
-    # contexts are a handful of rows that a request names
-    return edges.crossJoin(F.broadcast(contexts)).select("graph_id", "context_id", "preference", "edge_id", "src", "dst", cost.alias("base_cost"), effective.alias("cost"))
+    # no hint: Spark broadcasts the contexts where they are small
+    return edges.crossJoin(contexts).select("graph_id", "context_id", "preference", "edge_id", "src", "dst", cost.alias("base_cost"), effective.alias("cost"))
 
 
 def cost_summary(edges: DataFrame, *by: str) -> DataFrame:

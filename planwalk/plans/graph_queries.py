@@ -184,7 +184,7 @@ def cost_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _preference_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One route per graph and preference; preferences of one policy share one search."""
     found = _far_paths(_tree(spark, sf_dir))
-    return found.crossJoin(F.broadcast(view(spark, sf_dir, "f_contexts")))
+    return found.crossJoin(view(spark, sf_dir, "f_contexts"))
 
 
 @register(oracle(f"WITH {_TREE} SELECT h.graph_id, preference, string_agg(target, '>' ORDER BY seq) AS route, max(t.d) AS total_cost FROM hops h JOIN tree t ON t.graph_id = h.graph_id AND t.node = h.dest CROSS JOIN f_contexts GROUP BY h.graph_id, preference"))
