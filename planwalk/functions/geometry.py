@@ -198,3 +198,20 @@ def title_case(text: Column) -> Column:
 
 def is_uuid(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), F.lit(False))
+
+
+def geojson_points(text: Column) -> tuple[Column, Column]:
+    """(type, points) of a GeoJSON geometry: points is an array of (x, y) of a Point, a LineString or the outer ring of a Polygon.
+
+    Other types, text that is no JSON, and positions of fewer than two numbers give null points.
+    """
+    kind = F.get_json_object(text, "$.type")
+    inner = F.get_json_object(text, "$.coordinates")
+    read = lambda schema: F.from_json(inner, schema)
+    raw = (
+        F.when(kind == "Point", F.array(read("array<double>")))
+        .when(kind == "LineString", read("array<array<double>>"))
+        .when(kind == "Polygon", F.get(read("array<array<array<double>>>"), F.lit(0)))
+    )
+    points = F.transform(raw, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    return kind, F.when(F.forall(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), points)

@@ -242,3 +242,10 @@ def trace_ring(points: DataFrame, links: DataFrame, by: str = "component") -> Da
         return pd.DataFrame({by: pd.Series([part[by].iloc[0]], dtype=object), "area": [abs(area) / 2]})
 
     return around.groupBy(by).applyInPandas(task, f"{by} {dict(points.dtypes)[by]}, area double")
+
+
+def extent(shapes: DataFrame) -> DataFrame:
+    """(import_id, n_shapes, BOX): number of shapes of each plan and the box around all of theirs; null corners where no shape has a box."""
+    rows = shapes.select("import_id", box_column().alias("box"))
+    ends = {"min_x": F.min, "min_y": F.min, "max_x": F.max, "max_y": F.max}
+    return rows.groupBy("import_id").agg(F.count(F.lit(1)).alias("n_shapes"), *(f(f"box.{c}").alias(c) for c, f in ends.items()))

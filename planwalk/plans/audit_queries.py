@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwalk.operators import audits, objects, routing
-from planwalk.plans.session_queries import _REPORTS, _STEPS, _snapshots
+from planwalk.functions import geometry
+from planwalk.operators import audits, objects, routing, sessions, shapes
+from planwalk.plans.object_queries import _models
+from planwalk.plans.session_queries import _REPORTS, _STEPS, _TOTALS, _reports, _snapshots
+from planwalk.plans.shape_queries import _BOX
 from planwalk.plans.views import oracle, view
 from planwalk.registry import register
 
@@ -174,3 +177,87 @@ def policy_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = routing.effective_costs(view(spark, sf_dir, "f_edges").join(kinds, ["graph_id", "dst"]), contexts, policies)
     origins = view(spark, sf_dir, "f_origins").crossJoin(contexts.select("preference"))
     return routing.shortest_costs(priced, origins, ("graph_id", "preference")).select("graph_id", "preference", "node_id", "cost")
+
+
+@register(
+    oracle(
+        """WITH m AS (SELECT o.uso_id, r.semantic_category AS c, CASE WHEN r.rule_id IS NULL THEN 0 ELSE 1 END AS conf FROM f_objects o LEFT JOIN f_rules r ON r.spatial_category = o.spatial_category),
+f AS (SELECT CASE WHEN uso_id % 17 = 0 THEN -uso_id WHEN uso_id % 19 = 0 THEN uso_id - 1 ELSE uso_id END AS uso_id, c, CASE WHEN uso_id % 23 = 0 THEN 1.5 WHEN uso_id % 29 = 0 THEN 0 ELSE conf END AS conf FROM m)
+SELECT 'orphan' AS check_name, uso_id FROM f WHERE uso_id NOT IN (SELECT uso_id FROM f_objects) UNION ALL SELECT 'duplicate', uso_id FROM f GROUP BY uso_id HAVING count(*) > 1
+UNION ALL SELECT 'confidence_range', uso_id FROM f WHERE conf > 1 UNION ALL SELECT 'no_confidence', uso_id FROM f WHERE c IS NOT NULL AND conf = 0"""
+    )
+)
+def semantic_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the semantic audit finds in models of which some have wrong objects and confidences."""
+    u = F.col("uso_id")
+    conf = F.when(u % 23 == 0, 1.5).when(u % 29 == 0, 0.0).otherwise(F.col("confidence"))
+    faulty = _models(spark, sf_dir).withColumn("confidence", conf).withColumn("uso_id", F.when(u % 17 == 0, -u).when(u % 19 == 0, u - 1).otherwise(u))
+    return objects.semantic_audit(view(spark, sf_dir, "f_objects"), faulty)
+
+
+@register(
+    oracle(
+        f"""WITH {_TOTALS}, {_REPORTS}, f AS (SELECT route_id, step, total, step / total * 100 + CASE WHEN route_id % 7 = 0 THEN 30 ELSE 0 END AS pct, total - step + CASE WHEN route_id % 11 = 0 THEN 1 ELSE 0 END AS remaining,
+  CASE WHEN step > 0 AND route_id % 13 > 0 THEN step END AS segment, step = total AS done FROM rep)
+SELECT 'percentage_range' AS check_name, route_id, step FROM f WHERE pct > 100 UNION ALL SELECT 'remaining_segments', route_id, step FROM f WHERE remaining <> total - step
+UNION ALL SELECT 'completed', route_id, step FROM f WHERE done <> (pct = 100) UNION ALL SELECT 'no_segment', route_id, step FROM f WHERE step > 0 AND segment IS NULL"""
+    )
+)
+def progress_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the progress audit finds in reports of which some have wrong percentages, remainders and segments."""
+    r = F.col("route_id")
+    faulty = _reports(spark, sf_dir).withColumns(
+        {
+            "percentage": F.col("percentage") + F.when(r % 7 == 0, 30).otherwise(0),
+            "remaining_segments": F.col("remaining_segments") + F.when(r % 11 == 0, 1).otherwise(0),
+            "current_segment": F.when(r % 13 > 0, F.col("current_segment")),
+        }
+    )
+    return sessions.progress_audit(faulty, sessions.totals(view(spark, sf_dir, "f_segments")))
+
+
+@register(
+    oracle(
+        """WITH p AS (SELECT route_id AS destination, arg_min(node, place) AS fst, arg_max(node, place) AS lst, count(nxt) AS n_hops, count_if(nxt IS NOT NULL AND base_cost IS NULL) AS missing, coalesce(sum(base_cost), 0) AS cost FROM f_hops GROUP BY route_id)
+SELECT 'endpoints' AS check_name, destination AS route_id FROM p WHERE destination % 7 = 0
+UNION ALL SELECT DISTINCT 'unknown_node', route_id FROM f_stops WHERE node % 10 = 0
+UNION ALL SELECT 'missing_edge', destination FROM p WHERE missing > 0
+UNION ALL SELECT 'cost_sum', destination FROM p WHERE n_hops > 0 AND missing = 0 AND destination % 13 = 0"""
+    )
+)
+def path_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the path audit finds in routes through the suppliers of an order, of which some have wrong ends, nodes, edges or costs."""
+    hops = view(spark, sf_dir, "f_hops")
+    stops = hops.groupBy("route_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda s: s["node"]).alias("path"), F.coalesce(F.sum("base_cost"), F.lit(0.0)).alias("cost"))
+    first = F.element_at("path", 1)
+    found = stops.select(
+        F.col("route_id"), F.when(F.col("route_id") % 7 == 0, -first).otherwise(first).alias("origin"), F.element_at("path", -1).alias("destination"), "path", (F.col("cost") + F.when(F.col("route_id") % 13 == 0, 1).otherwise(0)).alias("total_cost")
+    )
+    known = found.select("route_id", F.explode("path").alias("node_id")).distinct().where("node_id % 10 > 0")
+    links = hops.where("base_cost IS NOT NULL").select("route_id", F.col("node").alias("src"), F.col("nxt").alias("dst"), F.col("base_cost").alias("cost")).distinct()
+    return routing.path_audit(found, known, links, ("route_id",)).select("check_name", "route_id")
+
+
+@register(oracle(f"WITH b AS (SELECT import_id, {_BOX} FROM f_clean) SELECT import_id, count(*) AS n_shapes, min(x0) AS min_x, min(y0) AS min_y, max(x1) AS max_x, max(y1) AS max_y FROM b GROUP BY import_id"))
+def plan_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of each plan after cleaning, and the box around them."""
+    return shapes.extent(shapes.clean(view(spark, sf_dir, "f_prims")))
+
+
+@register(
+    oracle(
+        """SELECT import_id, id, CASE type WHEN 'line' THEN 'LineString' WHEN 'circle' THEN 'Point' ELSE 'Polygon' END AS kind, cast(CASE type WHEN 'line' THEN 2 WHEN 'circle' THEN 1 ELSE 5 END AS int) AS n_points,
+  x AS first_x, y AS first_y, CASE type WHEN 'line' THEN x2 ELSE x END AS last_x, CASE type WHEN 'line' THEN y2 ELSE y END AS last_y FROM f_prims"""
+    )
+)
+def geojson_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes written as GeoJSON geometries and read back."""
+    at = lambda x, y: F.concat(F.lit("["), F.expr(x).cast("string"), F.lit(","), F.expr(y).cast("string"), F.lit("]"))
+    ring = F.concat_ws(",", at("x", "y"), at("x + w", "y"), at("x + w", "y + h"), at("x", "y + h"), at("x", "y"))
+    kind = F.when(F.col("type") == "line", "LineString").when(F.col("type") == "circle", "Point").otherwise("Polygon")
+    inner = F.when(kind == "Point", at("x", "y")).when(kind == "LineString", F.concat(F.lit("["), at("x", "y"), F.lit(","), at("x2", "y2"), F.lit("]"))).otherwise(F.concat(F.lit("[["), ring, F.lit("]]")))
+    text = F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), inner, F.lit("}"))
+    told, points = geometry.geojson_points(text)
+    rows = view(spark, sf_dir, "f_prims").select("import_id", "id", told.alias("kind"), points.alias("p"))
+    first, last = F.element_at("p", 1), F.element_at("p", -1)
+    return rows.select("import_id", "id", "kind", F.size("p").alias("n_points"), *(e[c].alias(f"{n}_{c}") for n, e in (("first", first), ("last", last)) for c in "xy"))
