@@ -231,7 +231,7 @@ def path_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = hops.groupBy("route_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda s: s["node"]).alias("path"), F.coalesce(F.sum("base_cost"), F.lit(0.0)).alias("cost"))
     first = F.element_at("path", 1)
     found = stops.select(
-        F.col("route_id"), F.when(F.col("route_id") % 7 == 0, -first).otherwise(first).alias("origin"), F.element_at("path", -1).alias("destination"), "path", (F.col("cost") + F.when(F.col("route_id") % 13 == 0, 1).otherwise(0)).alias("total_cost")
+        F.col("route_id"), F.when(F.col("route_id") % 7 == 0, -first - 1).otherwise(first).alias("origin"), F.element_at("path", -1).alias("destination"), "path", (F.col("cost") + F.when(F.col("route_id") % 13 == 0, 1).otherwise(0)).alias("total_cost")
     )
     known = found.select("route_id", F.explode("path").alias("node_id")).distinct().where("node_id % 10 > 0")
     links = hops.where("base_cost IS NOT NULL").select("route_id", F.col("node").alias("src"), F.col("nxt").alias("dst"), F.col("base_cost").alias("cost")).distinct()
