@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwalk.llm import decontaminate, langid, linededup, neardup, packing
+from planwalk.llm.store import fresh
 from planwalk.sources.scratch import written
 
 #: A document stays if its language is found with at least this posterior probability.
 LEAST_SCORE = 0.5
+#: And if that language makes its n-grams at least as likely as chance, a mean over all of them whatever the length.
+LEAST_GAIN = 0.0
 SHINGLE_WORDS = 5
 PERCENT = 80
 WINDOW = 10
@@ -23,10 +26,15 @@ END_ID = 2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages learned from the rows that are not held out; null texts, texts without a letter and doubtful ones go."""
+    """Documents whose text is in one of the languages learned from the rows that are not held out; null texts, texts without a letter, doubtful ones and those that no learned language explains better than chance go.
+
+    Empty tables give no rows, and so do tables without a labelled text to learn from; repeated
+    rows all stay or all go.  Whole texts of any length are looked at, and nothing else.
+    """
+    names = lang, score, gain = fresh(docs, "lang", "score", "gain")
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.select(*docs.columns)
+    found = langid.predict(docs, model, names=tuple(names))
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE) & (F.col(gain) >= LEAST_GAIN)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +49,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are told apart by their texts.  Of rows that repeat id and text, the one with the smallest
     other columns stays.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    (key,) = fresh(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     # repeated rows have one key: both sides are made distinct, so no key meets itself many times
-    group = neardup.groups(keyed, size=SHINGLE_WORDS, percent=PERCENT, id_col="_key").select("_key", "component_id").distinct()
-    ids = keyed.select("_key", "doc_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
-    kept = ids.join(group, "_key").groupBy("component_id").agg(first.alias("first")).select(F.col("first._key").alias("_key")).distinct()
+    group = neardup.groups(keyed, size=SHINGLE_WORDS, percent=PERCENT, id_col=key).select(key, "component_id").distinct()
+    ids = keyed.select(key, "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key))
+    kept = ids.join(group, key).groupBy("component_id").agg(first.alias("first")).select(F.col("first")[key].alias(key)).distinct()
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = keyed.join(kept, "_key", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    rows = keyed.join(kept, key, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
     return rows.select("doc_id", "text", "rest.*").select(*docs.columns)
 
 

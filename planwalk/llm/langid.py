@@ -107,40 +107,53 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     return Model(languages, np.log(counts / counts.sum(axis=0)) if code else counts, np.log(prior / prior.sum()) if code else prior)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, the posterior probability of lang_pred, in place of any columns of these names.
-
-    A null text, one without a letter, or a model without languages gives `und` and score 0.
-    Nothing but the text is looked at.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "gain")) -> DataFrame:
+    """docs with three columns, in place of any columns of these `names`: language, score and gain.
+
+    The score is the posterior probability of the language among those learned, near 1 for any
+    text of some length.  The gain is the mean over the n-grams of the text of how much more
+    likely (natural logarithm) the language makes them than chance, where all buckets are alike;
+    below 0 no learned language explains the text, as with encoded data or other scripts (made-up
+    words of common letters between blanks stay above 0).  A null text, one without a letter, or a
+    model without languages gives `und`, score 0 and a null gain.  Nothing but the text is looked at.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    lowered = {n.lower() for n in names}
+    kept = [c for c in docs.columns if c.lower() not in lowered]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = kept.index(text_col)
-    schema = docs.select(kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(kept).schema
+    for name, kind in zip(names, ("string", "double", "double"), strict=True):
+        schema = schema.add(name, kind)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         by_language = [np.ascontiguousarray(m.log_p[:, k]) for k in range(len(m.languages))]
         for batch in batches:
             data, offsets = wordhash.text_buffer(batch.column(at))
-            names: list[str] = []
+            langs: list[str] = []
             scores: list[float] = []
+            gains: list[float | None] = []
             for i, j, found in grams(data, offsets) if m.languages else ():
                 points = np.tile(m.log_prior, (j - i, 1))
+                n_grams = np.zeros(j - i)
                 for buckets, counts in found:
+                    n_grams += counts
                     begins = (np.cumsum(counts) - counts)[counts > 0]
                     for k in range(len(m.languages)):
                         points[counts > 0, k] += np.add.reduceat(by_language[k][buckets], begins)
                 best = points.argmax(axis=1)
                 posterior = 1 / np.exp(points - points.max(axis=1, keepdims=True)).sum(axis=1)
+                gain = (points.max(axis=1) - m.log_prior[best]) / n_grams + np.log(BUCKETS)
                 for r in range(j - i):
                     text = data[offsets[i + r] : offsets[i + r + 1]].tobytes().decode("utf-8", "replace")
                     known = has_letter(text)
-                    names.append(m.languages[best[r]] if known else UNKNOWN)
+                    langs.append(m.languages[best[r]] if known else UNKNOWN)
                     scores.append(float(posterior[r]) if known else 0.0)
+                    gains.append(float(gain[r]) if known else None)
             if not m.languages:
-                names, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+                langs, scores, gains = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, [None] * batch.num_rows
+            added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gains, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*kept, *names])
 
     return docs.select(kept).mapInArrow(task, schema)
 
