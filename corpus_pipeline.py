@@ -16,8 +16,6 @@ from planwalk.sources.scratch import written
 
 #: A document stays if its language is found with at least this posterior probability.
 LEAST_SCORE = 0.5
-#: And if that language makes its n-grams at least as likely as chance, a mean over all of them whatever the length.
-LEAST_GAIN = 0.0
 SHINGLE_WORDS = 5
 PERCENT = 80
 WINDOW = 10
@@ -26,15 +24,17 @@ END_ID = 2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages learned from the rows that are not held out; null texts, texts without a letter, doubtful ones and those that no learned language explains better than chance go.
+    """Documents whose text is in one of the languages learned from the rows that are not held out; null texts, texts without a letter, doubtful ones and those that no learned language explains (a mean over n-grams, calibrated on labelled texts) go.
 
     Empty tables give no rows, and so do tables without a labelled text to learn from; repeated
     rows all stay or all go.  Whole texts of any length are looked at, and nothing else.
     """
     names = lang, score, gain = fresh(docs, "lang", "score", "gain")
-    model = langid.train(docs.where(~langid.held_out()))
+    labelled = docs.where(~langid.held_out())
+    model = langid.train(labelled)
+    least = langid.least_gain(labelled, model)
     found = langid.predict(docs, model, names=tuple(names))
-    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE) & (F.col(gain) >= LEAST_GAIN)).select(*docs.columns)
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE) & (F.col(gain) >= least)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

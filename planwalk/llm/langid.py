@@ -26,6 +26,9 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Languages that a model learns, the most frequent ones of the labelled rows; the matrix then takes 32 MB.
 MOST_LANGUAGES = 256
+#: Share of labelled texts that may lie under the calibrated gain, and how far below it a text has to be.
+RARE = 1e-4
+MARGIN = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -158,6 +161,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     return docs.select(kept).mapInArrow(task, schema)
 
 
+def least_gain(labelled: DataFrame, model: Model, text_col: str = "text", share: float = RARE, margin: float = MARGIN) -> float:
+    """The gain under which a text is none of the learned languages: `margin` below the one that `share` of all labelled texts do not reach, and never above chance (0).
+
+    Short texts full of numbers and addresses have low gains in any language, so the labelled
+    rows tell how low they get.  Without labelled texts it is 0.
+    """
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col("lang").isNotNull()).select(F.col(text_col).alias("text"))
+    low = predict(rows, model).agg(F.percentile_approx("gain", share, 100_000).alias("low")).first()["low"]
+    return 0.0 if low is None else min(0.0, low - margin)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that the model never learns from: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -33,6 +33,16 @@ def test_noise_goes_and_prose_stays(spark):
     assert corpus_pipeline.language_id(spark, docs.where("false"), "").count() == 0
 
 
+def test_least_gain_keeps_what_labelled_texts_look_like(spark):
+    real = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.train(real)
+    assert langid.least_gain(real, model) == 0.0  # never above chance
+    assert langid.least_gain(real.where("false"), model) == 0.0
+    odd = real.limit(1).select(F.lit("+1 (654) 555-4136 4397110767823743 of 53.121.55.90").alias("text"), F.lit("en").alias("lang"))
+    (row,) = langid.predict(odd, model).collect()
+    assert langid.least_gain(odd, model) == min(0.0, row["gain"] - langid.MARGIN)
+
+
 def test_gain_is_the_mean_log_ratio_to_chance(spark):
     model = langid.train(spark.createDataFrame([("aab aab", "x"), ("ccd", "y")], "text string, lang string"))
     docs = spark.createDataFrame([("aab",), ("zzzz qq",), (None,), ("77",)], "text string")
