@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwalk.llm import bitpack, decontaminate, langid, linededup, neardup, packing, secrets, store, topk, urlfilter, warc
+from planwalk.llm import bitpack, decontaminate, langid, linededup, mixing, neardup, orchard, packing, secrets, store, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +188,38 @@ SELECT d.doc_id, cast(coalesce(n_assign, 0) AS bigint) AS n_assign, cast(coalesc
   cast(coalesce(n_hex, 0) AS bigint) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
 FROM documents d LEFT JOIN listed ON listed.doc_id = d.doc_id
 """
+
+
+@query
+def op11_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in 16 parts, with codebooks of 64 entries after two rounds."""
+    return orchard.quantize(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def _code_rounds() -> str:
+    """The assignment of all parts and the next codebook, twice, and the last assignment."""
+    assign = """, a{k} AS (SELECT vec_id, label, p.part, x, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS bigint) * 64 + e) AS m
+    FROM p JOIN c{k} ON c{k}.part = p.part GROUP BY vec_id, label, p.part, x)"""
+    refine = """, s{k} AS (SELECT part, e, list(v ORDER BY i) AS c FROM (SELECT part, m % 64 AS e, i, floor(sum(x[i]) / count(*)) AS v
+      FROM a{k}, range(1, 65) r(i) WHERE i <= len(x) GROUP BY part, m % 64, i) t GROUP BY part, e),
+  c{n} AS (SELECT c{k}.part, c{k}.e, coalesce(s{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN s{k} ON s{k}.part = c{k}.part AND s{k}.e = c{k}.e)"""
+    return "".join((assign + refine).format(k=k, n=k + 1) for k in range(2)) + assign.format(k=2)
+
+
+ORACLES["op11_orchard_codes"] = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS (SELECT vec_id, label, i AS part, v[i * (len(v) // 16) + 1:(i + 1) * (len(v) // 16)] AS x FROM v, range(16) r(i)),
+  c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS c
+    FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)){_code_rounds()},
+  done AS (SELECT vec_id, label, string_agg(printf('%02x', m % 64), '' ORDER BY part) AS code, sum(m // 64) AS error FROM a2 GROUP BY vec_id, label),
+  book AS (SELECT sha256(string_agg(s, ',' ORDER BY part, e)) AS h
+    FROM (SELECT part, e, array_to_string(list_transform(c, lambda x: cast(cast(x AS bigint) AS varchar)), ',') AS s FROM c2) t)
+SELECT vec_id, code, cast(error AS bigint) AS error, cast(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, h AS codebooks_sha256 FROM done, book
+"""
+
+
+@query
+def op13_budgeted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes all documents' sources to their targets."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
