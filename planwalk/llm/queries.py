@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwalk.llm import bitpack, decontaminate, langid, linededup, mixing, neardup, orchard, packing, secrets, store, topk, urlfilter, warc
+from planwalk.llm import bitpack, decontaminate, langid, lexical, linededup, mixing, neardup, orchard, packing, secrets, store, topk, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -223,3 +223,27 @@ SELECT vec_id, code, cast(error AS bigint) AS error, cast(sum(error) OVER (PARTI
 def op13_budgeted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents' sources to their targets."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op12_length_strata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for each benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+ORACLES["op12_length_strata_search"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+  b AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS w FROM benchmark),
+  q AS (SELECT item_id, w, count(*) AS c FROM b GROUP BY item_id, w),
+  size AS (SELECT count(*) AS n_docs, sum(len(ws)) AS total FROM d WHERE len(ws) > 0),
+  tf AS (SELECT doc_id, n, w, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM d) t
+    WHERE w IN (SELECT w FROM q) GROUP BY doc_id, n, w),
+  weight AS (SELECT w, floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1))) AS x FROM tf, size GROUP BY w),
+  gain AS (SELECT doc_id, tf.w, cast(x AS bigint) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + cast((25 * n * n_docs) // total AS bigint)))) AS g
+    FROM tf JOIN weight ON weight.w = tf.w, size),
+  s AS (SELECT item_id, doc_id, cast(sum(c * g) AS bigint) AS score FROM q JOIN gain ON gain.w = q.w GROUP BY item_id, doc_id)
+SELECT item_id, cast(rank AS integer) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) t WHERE rank <= 20
+"""

@@ -11,8 +11,9 @@ from planwalk.llm import wordhash
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = np.zeros(256, dtype=bool)
 ASCII_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+#: A-Z lower-cased, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def _chain(h: np.ndarray, n: int) -> np.ndarray:
@@ -31,7 +32,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int
     """
     for i, j in wordhash.segments(offsets):
         low = offsets[i]
-        part = _LOWER[data[low : offsets[j]]]
+        part = LOWER[data[low : offsets[j]]]
         starts, ends, rows = wordhash.words(part, offsets[i : j + 1] - low, ASCII_SPACE)
         h = wordhash.hashes(part, starts, ends)
         n_words = np.bincount(rows, minlength=j - i)

@@ -1,8 +1,8 @@
 """Vectorised word boundaries and 64-bit word hashes over Arrow text buffers.
 
 All helpers work on the raw UTF-8 buffer of a string column, so no Python string is made
-per row or per word.  Work is done in segments of about a megabyte, cut between words, so
-that memory does not depend on the length of a text.
+per row or per word.  segments() keeps rows whole; pieces() also cuts long rows between words
+into about a megabyte each, so that what is made of a piece does not grow with the text.
 """
 
 from __future__ import annotations
@@ -66,6 +66,27 @@ def segments(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def cut_at(data: np.ndarray, flags: np.ndarray, low: int, high: int) -> int:
+    """The first place from low on whose byte is flagged, or high."""
+    while low < high:
+        found = np.flatnonzero(flags[data[low : min(low + SEGMENT_BYTES, high)]])
+        if len(found):
+            return low + int(found[0])
+        low += SEGMENT_BYTES
+    return high
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, end row, low, high): segments, and pieces of longer rows one after the other, each cut before a space."""
+    for i, j in segments(offsets):
+        low, high = int(offsets[i]), int(offsets[j])
+        while high - low > 2 * SEGMENT_BYTES:
+            cut = cut_at(data, is_space, low + SEGMENT_BYTES, high)
+            yield i, j, low, cut
+            low = cut
+        yield i, j, low, high
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rows of the maximal runs of bytes that are no space; is_space is a table of 256 flags."""
     n = len(data)
