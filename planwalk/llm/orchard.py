@@ -265,7 +265,8 @@ def train(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int =
     rows = kept(vectors, id_col, vector_col, None)
     started = []
     for (width,) in rows.where(F.col("id").isNotNull()).select("width").distinct().orderBy("width").collect():
-        first = whole(np.array(_first(rows, width, entries), dtype=float).reshape(-1, width), scale).tolist()
+        first = _first(rows, width, entries)
+        first = whole(np.array(first, dtype=float).reshape(len(first), width), scale).tolist()
         started.append(Codebooks(width, [[row[a:b] for row in first] for a, b in bounds(width, parts)]))
     out = []
     for block in _blocks(started):
@@ -305,7 +306,7 @@ def encode(vectors: DataFrame, codebooks: list[Codebooks], scale: int = 256, id_
 
 
 def _long(total: Column) -> Column:
-    return F.least(total, F.lit(HIGHEST).cast("decimal(38,0)")).cast("long")
+    return F.when(total.isNotNull(), F.least(total, F.lit(HIGHEST).cast("decimal(38,0)"))).cast("long")
 
 
 def quantize(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
