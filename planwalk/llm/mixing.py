@@ -32,7 +32,7 @@ SPACES = " \t\n\x0b\f\r"
 #: Sums that the dynamic programming looks at, beyond the shortest document's size.
 SUMS = 1 << 20
 #: Entries of a source and size that are ranked in one bucket.
-BUCKET = 32_768
+BUCKET = 512
 #: Copies of one row that one task writes.
 COPIES = 16_384
 
