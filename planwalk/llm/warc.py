@@ -198,7 +198,8 @@ def write(pages: DataFrame, out: str, revisit_bytes: int = 1000, id_col: str = "
                 if sink is None:
                     fs, path = store.file_system(uri)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    sink = fs.open_output_stream(path)
+                    # the name ends in .gz, but the members are gzip as they are
+                    sink = fs.open_output_stream(path, compression=None)
                 raw = record(page_id.as_py(), url.as_py(), html.as_py(), refers_to.as_py())
                 sink.write(raw)
                 n_records, n_bytes = n_records + 1, n_bytes + len(raw)
@@ -211,12 +212,17 @@ def write(pages: DataFrame, out: str, revisit_bytes: int = 1000, id_col: str = "
 
 
 def read(spark: SparkSession, out: str, payloads: bool = True, id_col: str = "page_id") -> DataFrame:
-    """All records of the archives under `out`, in the columns of RECORDS; payload is null for revisits and unless asked for.
+    """All records of the archives that write() left under `out`: those of its manifest, as read_archives() gives them."""
+    return read_archives(spark.read.schema(MANIFEST).parquet(f"{out}/manifest"), payloads, id_col)
 
-    Each archive is one sequential pass.  A record whose digest does not hold comes with
-    digest_ok false; a broken header, frame or member fails with the archive's name.
+
+def read_archives(archives: DataFrame, payloads: bool = True, id_col: str = "page_id", path_col: str = "path") -> DataFrame:
+    """All records of the archives whose URIs stand in path_col, any writer's, in the columns of RECORDS; payload is null for revisits and unless asked for.
+
+    Each archive is one sequential pass, and one that is named twice is read twice.  A record
+    whose digest does not hold comes with digest_ok false; a broken header, frame or member
+    fails with the archive's name and the place of the member.
     """
-    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
     schema = RECORDS.format(id=id_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +230,26 @@ def read(spark: SparkSession, out: str, payloads: bool = True, id_col: str = "pa
             for uri in batch.column("path").to_pylist():
                 yield from _archive(uri, payloads, id_col)
 
-    n = max(1, manifest.count())
-    return manifest.select("path").repartitionByRange(n, "path").mapInArrow(task, schema)
+    paths = archives.where(F.col(path_col).isNotNull()).select(F.col(path_col).alias("path"))
+    n = max(1, paths.count())
+    return paths.repartitionByRange(n, "path").mapInArrow(task, schema)
+
+
+def _records(uri: str) -> Iterator[dict]:
+    """The records of an archive; whatever is wrong with one is told with the archive's name and the member's place."""
+    fs, path = store.file_system(uri)
+    # bytes as they are: the members are inflated one by one here
+    with fs.open_input_stream(path, compression=None) as source:
+        found, offset = members(source), 0
+        while True:
+            try:
+                offset, raw = next(found)
+                row = parse(raw)
+            except StopIteration:
+                return
+            except (ValueError, KeyError, zlib.error) as e:
+                raise ValueError(f"{uri}, member at or after byte {offset}: {e}") from e
+            yield row
 
 
 def _archive(uri: str, payloads: bool, id_col: str) -> Iterator[pa.RecordBatch]:
@@ -238,19 +262,13 @@ def _archive(uri: str, payloads: bool, id_col: str) -> Iterator[pa.RecordBatch]:
         columns = [pa.array([r[name] for r in rows], kind) for name, kind in zip(names, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(columns, names=[id_col, *names[1:]])
 
-    fs, path = store.file_system(uri)
-    with fs.open_input_stream(path) as source:
-        for offset, raw in members(source):
-            try:
-                row = parse(raw)
-            except (ValueError, KeyError) as e:
-                raise ValueError(f"{uri}, member at byte {offset}: {e}") from e
-            if not payloads:
-                row["payload"] = None
-            rows.append(row)
-            held += 256 + len(row["payload"] or b"")
-            if held >= BATCH_BYTES:
-                yield batch()
-                rows, held = [], 0
+    for row in _records(uri):
+        if not payloads:
+            row["payload"] = None
+        rows.append(row)
+        held += 256 + len(row["payload"] or b"")
+        if held >= BATCH_BYTES:
+            yield batch()
+            rows, held = [], 0
     if rows:
         yield batch()
