@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planwalk.llm.store import written
+from planwalk.llm.store import fresh, written
 
 ORDER = 3
 #: Weight of the next shorter context, in observations.
@@ -81,9 +81,9 @@ def _signs(text: Column) -> Column:
     return F.concat(F.lit(START * ORDER), known, F.lit(END))
 
 
-def _positions(rows: DataFrame) -> DataFrame:
-    """One row per predicted sign: its place in `signs`, counted from 1."""
-    return rows.withColumn("i", F.explode(F.expr(f"sequence({ORDER} + 1, length(signs))")))
+def _last_grams() -> Column:
+    """All runs of ORDER + 1 signs, one for each predicted sign, in one pass over the text."""
+    return F.regexp_extract_all("signs", F.lit(f"(?=(.{{{ORDER + 1}}}))"), F.lit(1))
 
 
 def train(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +93,9 @@ def train(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     q of the rejected model; escape is what a sign that never followed a known context adds
     to its score after the next shorter one.
     """
-    grams = _positions(decided).select("accepted", F.explode(F.expr(f"transform(sequence(0, {ORDER}), k -> substring(signs, i - k, k + 1))")).alias("gram"))
+    # neither these rows nor those of score() carry the text, so work and memory are linear in it
+    last = decided.select("accepted", F.explode(_last_grams()).alias("g"))
+    grams = last.select("accepted", F.explode(F.array(*(F.expr(f"right(g, {k + 1})") for k in range(ORDER + 1)))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("b"))
     counts = written(counts.withColumn("k", F.length("gram") - 1), "gram-counts")
     alphabet = len(SIGNS) + 4
@@ -126,18 +128,21 @@ def _unit(x: Column) -> Column:
 
 def score(rows: DataFrame, grams: DataFrame, escapes: DataFrame) -> DataFrame:
     """rows (with signs) with total and n: the summed score and the number of predicted signs; equal rows are kept apart by `copies`."""
-    columns = rows.columns
-    at = _positions(rows)
+    d, e = fresh(rows, "d", "e")
+    once = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("int").alias("copies")).withColumns({d: F.xxhash64("signs"), e: F.xxhash64(F.lit(5), "signs")})
+    at = once.select(d, e, F.explode(_last_grams()).alias("g"))
     for k in range(ORDER + 1):
-        at = at.join(F.broadcast(grams.select(F.col("gram").alias(f"g{k}"), F.col("score").alias(f"s{k}"))), F.expr(f"substring(signs, i - {k}, {k + 1}) = g{k}"), "left")
+        at = at.join(F.broadcast(grams.select(F.col("gram").alias(f"g{k}"), F.col("score").alias(f"s{k}"))), F.expr(f"right(g, {k + 1}) = g{k}"), "left")
         if k:
-            at = at.join(F.broadcast(escapes.select(F.col("context").alias(f"c{k}"), F.col("escape").alias(f"e{k}"))), F.expr(f"substring(signs, i - {k}, {k}) = c{k}"), "left")
+            at = at.join(F.broadcast(escapes.select(F.col("context").alias(f"c{k}"), F.col("escape").alias(f"e{k}"))), F.expr(f"substring(g, {ORDER + 1 - k}, {k}) = c{k}"), "left")
     value = F.coalesce("s0", F.lit(0))
     for k in range(1, ORDER + 1):
         value = F.coalesce(F.col(f"s{k}"), F.coalesce(f"e{k}", F.lit(0)) + value)
-    found = at.groupBy(*columns).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+    found = at.groupBy(d, e).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("_n"))
+    # different rows may have the same signs: each of them added its grams to the sum
     own = F.length("signs") - ORDER
-    return found.withColumn("copies", (F.col("n") / own).cast("int")).withColumn("total", (F.col("total") / F.col("copies")).cast("long")).withColumn("n", own)
+    joined = once.join(found, [d, e]).withColumn("n", own)
+    return joined.withColumn("total", F.expr("total div (_n div n)")).select(*rows.columns, "total", "n", "copies")
 
 
 def threshold(decided: DataFrame) -> int:
@@ -160,7 +165,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     """One row per page: id_col, host, path, rule, verdict, score (mean, in millionths; null where a rule decides).
 
     A null url, or one without `://`, has neither host nor path and is scored as an empty
-    text.  Repeated rows each get their row.  Where no URL is accepted, or none rejected, by
+    text.  Repeated rows each get their row; urls may be of any length, the work grows in
+    proportion.  A mean that equals the threshold is allowed.  Where no URL is accepted, or none rejected, by
     a rule, the method accepts all.
     """
     rows = with_rule(pages.select(id_col, url_col), rules, url_col).select(id_col, "host", "path", "rule", "action")
