@@ -38,8 +38,8 @@ def length_with_unit(text: Column) -> Column:
 
 
 def point_list(text: Column) -> Column:
-    """`x,y x,y` as points; an odd count or a value that is no number gives an empty array."""
-    numbers = F.transform(F.filter(F.split(F.trim(text), r"[\s,]+"), lambda s: s != ""), lambda s: s.try_cast("double"))
+    """`x,y x,y` as points; numbers may carry a unit; an odd count, an empty place or a value that is no number gives an empty array."""
+    numbers = F.transform(F.split(F.trim(text), r"[\s,]+"), prefix_number)
     n = F.size(numbers)
     ok = (n > 0) & (n % 2 == 0) & F.forall(numbers, is_finite)
     points = F.transform(F.sequence(F.lit(0), F.greatest(n / 2 - 1, F.lit(0)).cast("int")), lambda i: F.struct(F.get(numbers, 2 * i).alias("x"), F.get(numbers, 2 * i + 1).alias("y")))

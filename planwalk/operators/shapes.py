@@ -22,6 +22,11 @@ def box_column() -> Column:
     return g.box_of_shape(F.col("type"), *(F.col(c) for c in ("x", "y", "w", "h", "r", "x2", "y2")))
 
 
+def _box(shapes: DataFrame) -> Column:
+    """The box that a shape brings along, as shapes of all kinds do, or else that of a simple one."""
+    return F.col("box") if "box" in shapes.columns else box_column()
+
+
 def segments_column() -> Column:
     """Straight segments of a line or rect; round shapes and texts have none."""
     def s(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -47,9 +52,11 @@ def invalid() -> Column:
 
 def with_reason(shapes: DataFrame) -> DataFrame:
     """Adds reason: why a shape is removed, null if it stays; of shapes with one geometry in one layer the first by ord stays."""
-    same = Window.partitionBy("import_id", "type", F.coalesce("layer", F.lit("")), "x", "y", "w", "h", "r", "bad").orderBy("ord")
+    geometry = ["key"] if "key" in shapes.columns else ["x", "y", "w", "h", "r"]
+    same = Window.partitionBy("import_id", "type", F.coalesce("layer", F.lit("")), *geometry, "bad").orderBy("ord")
     bad = F.when(invalid(), "missing or malformed").when(degenerate(), "zero-length or degenerate")
-    rows = shapes.withColumn("bad", bad).withColumn("rn", F.row_number().over(same))
+    rows = shapes if "bad" in shapes.columns else shapes.withColumn("bad", bad)
+    rows = rows.withColumn("rn", F.row_number().over(same))
     return rows.withColumn("reason", F.coalesce("bad", F.when(F.col("rn") > 1, "duplicate"))).drop("bad", "rn")
 
 
@@ -65,7 +72,7 @@ def counts(shapes: DataFrame) -> DataFrame:
 
 def _ends(shapes: DataFrame) -> DataFrame:
     """(import_id, ord, id, seg, x1, y1, x2, y2)."""
-    return shapes.select("import_id", "ord", "id", F.posexplode(segments_column()).alias("seg", "s")).select("import_id", "ord", "id", "seg", "s.*")
+    return shapes.select("import_id", "ord", "id", F.posexplode(F.col("segments") if "segments" in shapes.columns else segments_column()).alias("seg", "s")).select("import_id", "ord", "id", "seg", "s.*")
 
 
 def nodes(shapes: DataFrame) -> DataFrame:
@@ -102,6 +109,7 @@ def grid_join(rows: DataFrame, columns: list[str], reach: float, cell: float) ->
     size = F.greatest(*(high[c] - low[c] for c in "xy"))
     own = F.greatest(F.lit(0), F.ceil(F.log2(size / cell))).cast("int")
     rows = rows.where(F.coalesce(*(F.col(c) for c in BOX)).isNotNull()).withColumn("own", F.coalesce(own, F.lit(0)))
+    rows = written(rows, "boxes")  # read for the levels and for both sides
     levels = sorted(r[0] for r in rows.select("own").distinct().collect())  # a few dozen at most: powers of two
     width = F.pow(F.lit(2.0), F.col("level")) * cell
     dealt = rows.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array(F.lit(0)))).where("level >= own")
@@ -129,10 +137,11 @@ def _key(column: str) -> Column:
     return F.concat_ws("/", F.col("import_id").cast("string"), column)
 
 
-def shape_components(shapes: DataFrame) -> DataFrame:
-    """(import_id, id, ord, component): component is the smallest ord that touching or a shared node leads to."""
+def shape_components(shapes: DataFrame, touching: DataFrame | None = None) -> DataFrame:
+    """(import_id, id, ord, component): component is the smallest ord that touching or a shared node leads to; touching may be given."""
     # shapes that share a node touch, so touching pairs are all the links there are
-    labels = connected_components(touching_pairs(shapes).select(_key("a").alias("a"), _key("b").alias("b")))
+    touching = touching_pairs(shapes) if touching is None else touching
+    labels = connected_components(touching.select(_key("a").alias("a"), _key("b").alias("b")))
     rows = shapes.withColumn("node", _key("id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = rows.groupBy("label").agg(F.min("ord").alias("component"))
     return rows.join(first, "label").select("import_id", "id", "ord", "component")
@@ -149,17 +158,18 @@ def cycles(shapes: DataFrame) -> DataFrame:
     return parts.join(ends, "component").where((F.size("ids") > 1) & (F.col("n_edges") >= F.col("n_nodes"))).select("import_id", "component", "ids", "n_nodes", "n_edges")
 
 
-def closed_boundaries(shapes: DataFrame) -> DataFrame:
-    """(import_id, source, ids, area): closed shapes, and cycles that several shapes form."""
-    closed = shapes.where(F.col("type").isin("rect", "circle", "ellipse", "polygon"))
-    own = closed.select("import_id", F.lit("primitive").alias("source"), F.array("id").alias("ids"), g.shape_area(F.col("type"), F.col("w"), F.col("h"), F.col("r")).alias("area"))
-    return own.unionByName(cycles(shapes).select("import_id", F.lit("component-cycle").alias("source"), "ids", F.lit(None).cast("double").alias("area")))
+def closed_boundaries(shapes: DataFrame, rings: DataFrame | None = None) -> DataFrame:
+    """(import_id, source, ids, area): closed shapes, and cycles that several shapes form; the cycles may be given."""
+    closed = shapes.where(F.col("closed") if "closed" in shapes.columns else F.col("type").isin("rect", "circle", "ellipse", "polygon"))
+    area = F.col("area") if "area" in shapes.columns else g.shape_area(F.col("type"), F.col("w"), F.col("h"), F.col("r"))
+    own = closed.select("import_id", F.lit("primitive").alias("source"), F.array("id").alias("ids"), area.alias("area"))
+    return own.unionByName((cycles(shapes) if rings is None else rings).select("import_id", F.lit("component-cycle").alias("source"), "ids", F.lit(None).cast("double").alias("area")))
 
 
-def enclosures(shapes: DataFrame) -> DataFrame:
+def enclosures(shapes: DataFrame, rings: DataFrame | None = None) -> DataFrame:
     """(import_id, ids, area, warning): the cycles that several shapes form, with the area of the traced ring; where the ring branches there is no area but a warning."""
     key = lambda c: F.concat_ws("/", F.col("import_id").cast("string"), F.col(c).cast("string"))
-    found = written(cycles(shapes), "cycles")
+    found = written(cycles(shapes), "cycles") if rings is None else rings
     links = edges(shapes).select("import_id", "id", key("from_node").alias("a"), key("to_node").alias("b"))
     of_shape = found.select("import_id", "component", F.explode("ids").alias("id"))
     links = links.join(of_shape, ["import_id", "id"])
@@ -170,19 +180,20 @@ def enclosures(shapes: DataFrame) -> DataFrame:
     return rows.select("import_id", "ids", "area", F.when(F.col("area").isNull(), "branching").alias("warning"))
 
 
-def walls_and_passages(shapes: DataFrame) -> DataFrame:
+def walls_and_passages(shapes: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """(import_id, id, kind, aspect_ratio): open shapes, and rects of at least the wall's proportions; those that touch nothing are passages."""
-    size = shape_components(shapes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("import_id", "component"))).select("import_id", "id", "n")
+    components = shape_components(shapes) if components is None else components
+    size = components.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("import_id", "component"))).select("import_id", "id", "n")
     ratio = F.greatest("w", "h") / F.greatest(F.least("w", "h"), F.lit(g.LEAST_DIMENSION))
     rows = shapes.withColumn("aspect_ratio", F.when(F.col("type") == "rect", ratio)).where(F.col("type").isin(*OPEN_KINDS) | (F.col("aspect_ratio") >= g.WALL_ASPECT_RATIO))
     return rows.join(size, KEY).select("import_id", "id", F.when(F.col("n") == 1, "passage").otherwise("wall").alias("kind"), "aspect_ratio")
 
 
-def openings(shapes: DataFrame) -> DataFrame:
+def openings(shapes: DataFrame, components: DataFrame | None = None, rings: DataFrame | None = None) -> DataFrame:
     """(import_id, component, gap_width): components of several shapes, none of them a closed cycle, with exactly two loose ends."""
-    comp = shape_components(shapes)
+    comp = shape_components(shapes) if components is None else components
     sets = comp.groupBy("import_id", "component").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
-    open_sets = sets.join(cycles(shapes).select("import_id", "ids"), ["import_id", "ids"], "left_anti")
+    open_sets = sets.join((cycles(shapes) if rings is None else rings).select("import_id", "ids"), ["import_id", "ids"], "left_anti")
     e = _ends(shapes)
     at = e.select(*KEY, F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(e.select(*KEY, F.col("x2").alias("x"), F.col("y2").alias("y")))
     loose = nodes(shapes).where("degree = 1").join(at, ["import_id", "x", "y"]).join(comp.select(*KEY, "component"), KEY)
@@ -200,13 +211,96 @@ def box_relation(a: Column, b: Column) -> Column:
 
 def box_relationships(shapes: DataFrame, cell: float = 40.0) -> DataFrame:
     """(import_id, a, b, relation) of shapes that do not touch."""
-    rows = shapes.select("import_id", "ord", "id", box_column().alias("box")).select("import_id", "ord", "id", *(F.col(f"box.{c}").alias(c) for c in BOX))
+    rows = shapes.select("import_id", "ord", "id", _box(shapes).alias("box")).select("import_id", "ord", "id", *(F.col(f"box.{c}").alias(c) for c in BOX))
     pairs = grid_join(rows, ["id"], g.ADJACENT_GAP, cell)
     a, b = (F.struct(*(F.col(f"{c}_{x}").alias(c) for c in BOX)) for x in "ab")
     pairs = pairs.select("import_id", F.col("id_a").alias("a"), F.col("id_b").alias("b"), box_relation(a, b).alias("relation"))
     return pairs.where("relation IS NOT NULL").join(touching_pairs(shapes), ["import_id", "a", "b"], "left_anti")
 
 
+#: The kinds of candidates in the order in which they are listed.
+CANDIDATES = {"BOUNDARY": 1, "ENCLOSURE": 2, "OPENING": 3, "WALL": 4, "PASSAGE": 5}
+
+
+class Topology:
+    """What cleaned shapes form together, each table computed once and kept in the shared folder: touching pairs, components, cycles."""
+
+    def __init__(self, shapes: DataFrame):
+        self.shapes = written(shapes, "cleaned")
+        self.touching = written(touching_pairs(self.shapes), "touching")
+        self.components = written(shape_components(self.shapes, self.touching), "components")
+        self.rings = written(cycles(self.shapes), "cycles")
+
+
+def candidates(topology: Topology) -> DataFrame:
+    """(import_id, candidate_id, candidate_type, place, ids, digest, BOX, size): what classification finds, as sets of shapes.
+
+    Closed shapes and cycles are boundaries; those whose area is known are enclosures too; then
+    openings, walls and passages.  A candidate is known by its type and a digest of its sorted
+    members, so one set is one candidate of a type; an opening, which has no members and no
+    box, is known by its component.  place orders a plan's candidates by type.  size is the
+    area, the gap, or the aspect ratio.
+    """
+    t = topology
+
+    def kind(rows: DataFrame, name: str | Column, ids: Column, size: Column) -> DataFrame:
+        return rows.select("import_id", (F.lit(name) if isinstance(name, str) else name).alias("candidate_type"), ids.alias("ids"), size.alias("size"))
+
+    closed = closed_boundaries(t.shapes, t.rings)
+    areas = enclosures(t.shapes, t.rings).where("warning IS NULL")
+    own = F.array_sort("ids")
+    found = kind(closed, "BOUNDARY", own, F.lit(None).cast("double"))
+    found = found.unionByName(kind(closed.where("source = 'primitive' AND area IS NOT NULL"), "ENCLOSURE", own, F.col("area")))
+    found = found.unionByName(kind(areas, "ENCLOSURE", own, F.col("area")))
+    found = found.unionByName(kind(walls_and_passages(t.shapes, t.components), F.upper("kind"), F.array("id"), F.col("aspect_ratio")))
+    found = found.withColumn("digest", F.md5(F.concat_ws(",", "ids")))
+    gaps = openings(t.shapes, t.components, t.rings)
+    gaps = gaps.select("import_id", F.lit("OPENING").alias("candidate_type"), F.array().cast("array<string>").alias("ids"), F.col("gap_width").alias("size"), F.col("component").cast("string").alias("digest"))
+    found = found.unionByName(gaps).groupBy("import_id", "candidate_type", "digest").agg(F.first("ids").alias("ids"), F.max("size").alias("size"))
+    found = written(found.withColumn("candidate_id", F.concat_ws("-", F.lower("candidate_type"), "digest")), "candidates")
+    boxes = t.shapes.select("import_id", "id", _box(t.shapes).alias("box"))
+    members = found.select("import_id", "candidate_id", F.explode("ids").alias("id")).join(boxes, KEY)
+    ends = {"min_x": F.min, "min_y": F.min, "max_x": F.max, "max_y": F.max}
+    around = members.groupBy("import_id", "candidate_id").agg(*(f(f"box.{c}").alias(c) for c, f in ends.items()))
+    place = F.element_at(F.create_map(*(F.lit(x) for kv in CANDIDATES.items() for x in kv)), F.col("candidate_type"))
+    return written(found.withColumn("place", place).join(around, ["import_id", "candidate_id"], "left"), "candidate-boxes")
+
+
+def candidate_relationships(topology: Topology, found: DataFrame, cell: float = 40.0) -> DataFrame:
+    """(import_id, type, from_id, to_id, from_type, to_type): TOUCHES of candidates whose shapes touch, then for other pairs how their boxes lie.
+
+    Pairs of candidates that touch in either order, or consist of the same shapes, have no box
+    relation.  CONTAINS leads from the outer one; INTERSECTS and ADJACENT lead from the one
+    that is listed first.
+    """
+    members = found.select("import_id", "candidate_id", F.explode("ids").alias("id"))
+    touch = written(candidate_touches(topology.touching, members), "candidate-touches")
+    rows = found.where("min_x IS NOT NULL").withColumn("ord", F.struct("place", "candidate_id"))
+    pairs = grid_join(rows.select("import_id", "ord", "candidate_id", "digest", *BOX), ["candidate_id", "digest"], g.ADJACENT_GAP, cell).where("digest_a <> digest_b")
+    a, b = (F.struct(*(F.col(f"{c}_{x}").alias(c) for c in BOX)) for x in "ab")
+    pairs = pairs.select("import_id", F.col("candidate_id_a").alias("a"), F.col("candidate_id_b").alias("b"), box_relation(a, b).alias("relation")).where("relation IS NOT NULL")
+    met = touch.select("import_id", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(met, ["import_id", "x", "y"], "left_anti")
+    turned = F.col("relation") == "CONTAINED"
+    boxed = pairs.select("import_id", F.when(turned, "CONTAINS").otherwise(F.col("relation")).alias("type"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("from_id"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("to_id"))
+    out = touch.select("import_id", F.lit("TOUCHES").alias("type"), F.col("a").alias("from_id"), F.col("b").alias("to_id")).unionByName(boxed)
+    kind = lambda c: F.upper(F.substring_index(c, "-", 1))
+    return out.withColumns({"from_type": kind("from_id"), "to_type": kind("to_id")})
+
+
+def model_counts(shapes: DataFrame, topology: Topology, found: DataFrame) -> DataFrame:
+    """One row per plan: shapes given, removed and left, nodes, edges, touching pairs, components, closed boundaries, and candidates of each type."""
+    per = lambda rows, name: rows.groupBy("import_id").agg(F.count(F.lit(1)).alias(name))
+    judged = with_reason(shapes).groupBy("import_id").agg(F.count(F.lit(1)).alias("n_shapes"), F.count_if(F.col("reason") == "duplicate").alias("n_duplicates"), F.count_if((F.col("reason") != "duplicate") & F.col("reason").isNotNull()).alias("n_invalid"))
+    out = judged.withColumn("n_cleaned", F.col("n_shapes") - F.col("n_duplicates") - F.col("n_invalid"))
+    t = topology
+    tables = {"n_nodes": nodes(t.shapes), "n_edges": _ends(t.shapes), "n_touching": t.touching, "n_components": t.components.select("import_id", "component").distinct(), "n_closed": closed_boundaries(t.shapes, t.rings)}
+    for name, rows in tables.items():
+        out = out.join(per(rows, name), "import_id", "left")
+    of_type = found.groupBy("import_id").agg(*(F.count_if(F.col("candidate_type") == c).alias(f"n_{c.lower()}") for c in CANDIDATES))
+    return out.join(of_type, "import_id", "left").na.fill(0)
+
+
 def candidate_touches(touching: DataFrame, members: DataFrame) -> DataFrame:
     """(import_id, a, b): touching shapes lifted to the candidates (candidate_id, id) that they belong to; no candidate touches itself."""
     out = touching
@@ -246,6 +340,6 @@ def trace_ring(points: DataFrame, links: DataFrame, by: str = "component") -> Da
 
 def extent(shapes: DataFrame) -> DataFrame:
     """(import_id, n_shapes, BOX): number of shapes of each plan and the box around all of theirs; null corners where no shape has a box."""
-    rows = shapes.select("import_id", box_column().alias("box"))
+    rows = shapes.select("import_id", _box(shapes).alias("box"))
     ends = {"min_x": F.min, "min_y": F.min, "max_x": F.max, "max_y": F.max}
     return rows.groupBy("import_id").agg(F.count(F.lit(1)).alias("n_shapes"), *(f(f"box.{c}").alias(c) for c, f in ends.items()))

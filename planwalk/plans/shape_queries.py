@@ -214,3 +214,70 @@ def shape_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.array(p("x", "y"), p("x + w", "y"), p("x + w", "y + h"), p("x", "y + h"))
     wkt = F.when(F.col("type") == "line", g.line_wkt(line)).when(F.col("type") == "circle", g.point_wkt(p("x", "y"))).otherwise(g.polygon_wkt(ring))
     return view(spark, sf_dir, "f_prims").select("import_id", "id", wkt.alias("wkt"))
+
+
+_CANDIDATES = f"""{_COMPONENTS}, {_CYCLES}, size AS (SELECT import_id, component, count(*) AS n FROM comp GROUP BY import_id, component),
+ring AS (SELECT c.import_id, c.c, c.ids, bool_and(n.degree = 2) AS plain FROM cycles c JOIN ncomp m ON m.import_id = c.import_id AND m.c = c.c JOIN nodes n ON n.import_id = m.import_id AND n.node_no = m.node_no
+  WHERE c.n_edges >= c.n_nodes GROUP BY c.import_id, c.c, c.ids),
+kinds AS (SELECT import_id, 1 AS place, 'BOUNDARY' AS t, id AS ids FROM f_clean WHERE type IN ('rect', 'circle') UNION SELECT import_id, 1, 'BOUNDARY', ids FROM ring
+  UNION SELECT import_id, 2, 'ENCLOSURE', id FROM f_clean WHERE type IN ('rect', 'circle') UNION SELECT import_id, 2, 'ENCLOSURE', ids FROM ring WHERE plain
+  UNION SELECT f.import_id, CASE WHEN n = 1 THEN 5 ELSE 4 END, CASE WHEN n = 1 THEN 'PASSAGE' ELSE 'WALL' END, f.id FROM f_clean f JOIN comp c ON c.import_id = f.import_id AND c.ord = f.ord
+    JOIN size s ON s.import_id = c.import_id AND s.component = c.component WHERE type = 'line' OR (type = 'rect' AND greatest(w, h) / greatest(least(w, h), 0.001) >= 4)),
+cand AS MATERIALIZED (SELECT import_id, place, t, ids, concat(lower(t), '-', md5(ids)) AS cid FROM kinds),
+member AS MATERIALIZED (SELECT import_id, place, t, cid, unnest(string_split(ids, ',')) AS id FROM cand),
+box AS (SELECT import_id, id, {_BOX} FROM f_clean),
+cbox AS MATERIALIZED (SELECT m.import_id, place, cid, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(c.ids) AS ids FROM member m JOIN box b ON b.import_id = m.import_id AND b.id = m.id
+  JOIN (SELECT import_id AS i, cid AS k, ids FROM cand) c ON c.i = m.import_id AND c.k = m.cid GROUP BY m.import_id, place, cid)"""
+_GAPS = """sets AS (SELECT f.import_id, component, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM f_clean f JOIN comp c ON c.import_id = f.import_id AND c.ord = f.ord GROUP BY f.import_id, component),
+loose AS (SELECT DISTINCT c.import_id, c.component, n.x, n.y FROM nodes n JOIN ends e ON e.import_id = n.import_id AND e.x = n.x AND e.y = n.y JOIN comp c ON c.import_id = e.import_id AND c.ord = e.ord WHERE n.degree = 1),
+gaps AS (SELECT l.import_id, l.component FROM loose l JOIN sets s ON s.import_id = l.import_id AND s.component = l.component
+WHERE s.n > 1 AND NOT EXISTS (SELECT 1 FROM ring k WHERE k.import_id = s.import_id AND k.ids = s.ids) GROUP BY l.import_id, l.component HAVING count(*) = 2)"""
+
+
+@register(
+    oracle(
+        f"""WITH {_CANDIDATES}, {_GAPS} SELECT c.import_id, c.t AS candidate_type, c.cid AS candidate_id, cast(len(string_split(c.ids, ',')) AS bigint) AS n_members, x0 AS min_x, y0 AS min_y, x1 AS max_x, y1 AS max_y
+FROM cand c JOIN cbox b ON b.import_id = c.import_id AND b.cid = c.cid UNION ALL SELECT import_id, 'OPENING', concat('opening-', cast(component AS varchar)), 0, NULL, NULL, NULL, NULL FROM gaps"""
+    )
+)
+def geometry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that classification finds, as sets of shapes with the boxes around them."""
+    found = shapes.candidates(shapes.Topology(_clean(spark, sf_dir)))
+    return found.select("import_id", "candidate_type", "candidate_id", F.size("ids").cast("long").alias("n_members"), *shapes.BOX)
+
+
+@register(
+    oracle(
+        f"""WITH {_CANDIDATES},
+met AS MATERIALIZED (SELECT DISTINCT t.import_id, x.cid AS a, y.cid AS b FROM touch t JOIN member x ON x.import_id = t.import_id AND x.id = t.a JOIN member y ON y.import_id = t.import_id AND y.id = t.b WHERE x.cid <> y.cid),
+rel AS (SELECT a.import_id, a.cid AS a, b.cid AS b, CASE WHEN a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1 THEN 'CONTAINS' WHEN b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1 THEN 'CONTAINED'
+  WHEN a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 THEN 'INTERSECTS' ELSE 'ADJACENT' END AS r FROM cbox a JOIN cbox b ON a.import_id = b.import_id AND (a.place < b.place OR (a.place = b.place AND a.cid < b.cid)) AND a.ids <> b.ids
+  WHERE sqrt(pow(greatest(a.x0 - b.x1, b.x0 - a.x1, 0), 2) + pow(greatest(a.y0 - b.y1, b.y0 - a.y1, 0), 2)) <= 5),
+new AS (SELECT rel.* FROM rel LEFT JOIN met m ON m.import_id = rel.import_id AND m.a = rel.a AND m.b = rel.b LEFT JOIN met n ON n.import_id = rel.import_id AND n.a = rel.b AND n.b = rel.a WHERE m.a IS NULL AND n.a IS NULL),
+whole AS (SELECT import_id, 'TOUCHES' AS type, a AS from_id, b AS to_id FROM met UNION ALL SELECT import_id, CASE r WHEN 'CONTAINED' THEN 'CONTAINS' ELSE r END, CASE r WHEN 'CONTAINED' THEN b ELSE a END, CASE r WHEN 'CONTAINED' THEN a ELSE b END FROM new)
+SELECT import_id, type, from_id, to_id, upper(string_split(from_id, '-')[1]) AS from_type, upper(string_split(to_id, '-')[1]) AS to_type FROM whole"""
+    )
+)
+def candidate_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOUCHES, then CONTAINS, INTERSECTS and ADJACENT of the candidates that classification finds."""
+    topology = shapes.Topology(_clean(spark, sf_dir))
+    return shapes.candidate_relationships(topology, shapes.candidates(topology))
+
+
+@register(
+    oracle(
+        f"""WITH {_CANDIDATES}, {_GAPS},
+per AS (SELECT import_id, 'n_nodes' AS k, count(*) AS n FROM nodes GROUP BY import_id UNION ALL SELECT import_id, 'n_edges', count(*) FROM segs GROUP BY import_id UNION ALL SELECT import_id, 'n_touching', count(*) FROM touch GROUP BY import_id
+  UNION ALL SELECT import_id, 'n_components', count(DISTINCT component) FROM comp GROUP BY import_id UNION ALL SELECT import_id, 'n_closed', count(*) FROM f_clean WHERE type IN ('rect', 'circle') GROUP BY import_id
+  UNION ALL SELECT import_id, 'n_closed', count(*) FROM ring GROUP BY import_id UNION ALL SELECT import_id, concat('n_', lower(t)), count(*) FROM cand GROUP BY import_id, t UNION ALL SELECT import_id, 'n_opening', count(*) FROM gaps GROUP BY import_id
+  UNION ALL SELECT import_id, 'n_cleaned', count(*) FROM f_clean GROUP BY import_id UNION ALL SELECT import_id, 'n_shapes', count(*) FROM f_prims GROUP BY import_id
+  UNION ALL SELECT import_id, 'n_invalid', count_if(coalesce(CASE type WHEN 'circle' THEN r = 0 WHEN 'rect' THEN w = 0 OR h = 0 ELSE w = 0 AND h = 0 END, false)) FROM f_prims GROUP BY import_id),
+t AS (SELECT import_id, {", ".join(f"cast(coalesce(sum(CASE WHEN k = '{k}' THEN n END), 0) AS bigint) AS {k}" for k in ("n_shapes", "n_invalid", "n_cleaned", "n_nodes", "n_edges", "n_touching", "n_components", "n_closed", "n_boundary", "n_enclosure", "n_opening", "n_wall", "n_passage"))} FROM per GROUP BY import_id)
+SELECT *, n_shapes - n_invalid - n_cleaned AS n_duplicates FROM t"""
+    )
+)
+def plan_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every stage from the shapes to the candidates, one row per plan."""
+    given = view(spark, sf_dir, "f_prims")
+    topology = shapes.Topology(shapes.clean(given))
+    return shapes.model_counts(given, topology, shapes.candidates(topology))

@@ -64,6 +64,21 @@ FROM (SELECT p_partkey AS ord, import_id, k, CASE WHEN k % 5 < 2 THEN 'line' WHE
     "f_clean": """
 SELECT import_id, ord, id, type, layer, x, y, w, h, r, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY import_id, type, coalesce(layer, ''), x, y, coalesce(w, -1), coalesce(h, -1), coalesce(r, -1) ORDER BY ord) AS rn
   FROM f_prims WHERE NOT coalesce(CASE type WHEN 'circle' THEN r = 0 WHEN 'rect' THEN w = 0 OR h = 0 ELSE w = 0 AND h = 0 END, false)) t WHERE rn = 1""",
+    "f_drawn": """
+SELECT import_id, ord, concat('el-', cast(row_number() OVER (PARTITION BY import_id ORDER BY ord) - 1 AS string)) AS id, v, cast(10 * (k % 40) AS double) AS x, cast(10 * (cast(floor(k / 40) AS bigint) % 25) AS double) AS y, k, concat('L', cast(k % 3 AS string)) AS layer,
+  CASE WHEN v < 2 THEN 'line' WHEN v = 2 THEN 'rect' WHEN v = 3 THEN 'circle' WHEN v = 4 THEN 'ellipse' WHEN v IN (5, 11) THEN 'polyline' WHEN v IN (6, 10) THEN 'polygon' WHEN v < 9 THEN 'path' ELSE 'text' END AS type
+FROM (SELECT ord, import_id, k, k % 12 AS v FROM (SELECT p_partkey AS ord, cast(floor(p_partkey / 400) AS bigint) AS import_id,
+    CASE WHEN p_partkey % 17 = 0 AND p_partkey % 400 >= 5 THEN p_partkey % 400 - 5 ELSE p_partkey % 400 END AS k FROM part) a) b""",
+    "f_strokes": """
+SELECT import_id, ord, id, type, layer, seg, x + ax AS x1, y + ay AS y1, x + bx AS x2, y + bz AS y2 FROM f_drawn
+JOIN (SELECT * FROM (VALUES (0, 0, 0, 0, 10, 0), (1, 0, 0, 0, 0, 10), (2, 0, 0, 0, 40, 0), (2, 1, 40, 0, 40, 4), (2, 2, 40, 4, 0, 4), (2, 3, 0, 4, 0, 0),
+  (5, 0, 0, 0, 10, 0), (5, 1, 10, 0, 10, 10), (6, 0, 0, 0, 10, 0), (6, 1, 10, 0, 10, 10), (6, 2, 10, 10, 0, 0), (7, 0, 0, 0, 10, 0), (7, 1, 10, 0, 10, 10), (7, 2, 10, 10, 0, 10), (7, 3, 0, 10, 0, 0),
+  (8, 0, 0, 0, 10, 0), (8, 1, 10, 0, 10, 10), (8, 2, 10, 10, 12, 13), (8, 3, 12, 13, 13.5, 12.5), (11, 0, 0, 0, 0, 0)) AS t(w, seg, ax, ay, bx, bz)) s ON s.w = v
+UNION ALL SELECT import_id, ord, id, type, layer, 4 + i, x + 13.5 + 0.25 * i, y + 12.5, x + 13.75 + 0.25 * i, y + 12.5 FROM f_drawn JOIN (SELECT CAST(n_nationkey AS int) AS i FROM nation) n ON v = 8 AND i < k % 23""",
+    "f_shapes": """
+SELECT import_id, ord, id, v, type, layer, x, y, k, n_segments, CASE WHEN v = 10 THEN 'missing or malformed' WHEN flat THEN 'zero-length or degenerate' WHEN rn > 1 THEN 'duplicate' END AS reason
+FROM (SELECT *, row_number() OVER (PARTITION BY import_id, type, layer, flat, v = 10, CASE WHEN type = 'path' THEN concat('n', cast(n_segments AS string)) ELSE concat(cast(v AS string), '/', cast(x AS string), '/', cast(y AS string), '/', cast(CASE WHEN v = 3 THEN k % 6 WHEN v = 4 THEN k % 7 ELSE 0 END AS string)) END ORDER BY ord) AS rn
+  FROM (SELECT d.*, coalesce(n, 0) AS n_segments, v = 11 OR (v = 3 AND k % 6 = 0) OR (v = 4 AND k % 7 = 0) AS flat FROM f_drawn d LEFT JOIN (SELECT ord AS o, count(*) AS n FROM f_strokes GROUP BY ord) s ON s.o = d.ord) a) b""",
     "f_objects": """
 SELECT c_custkey AS uso_id, CASE c_custkey % 6 WHEN 0 THEN 'BOUNDARY' WHEN 1 THEN 'WALL' WHEN 2 THEN 'ENCLOSURE'
   WHEN 3 THEN 'OPENING' WHEN 4 THEN 'PASSAGE' ELSE 'VERTICAL_CONNECTION' END AS spatial_category FROM customer""",

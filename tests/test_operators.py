@@ -86,14 +86,71 @@ def test_rejects(spark):
     assert [r["reason"] for r in shapes.with_reason(shape_rows(spark, rows)).orderBy("ord").collect()] == ["missing or malformed", "zero-length or degenerate", None, "duplicate"]
 
 
-@pytest.mark.parametrize(("d", "n"), [("M0 0 L10 0 M20 0 L30 0", 3), ("M0 0 C1 1 2 2 3 3", 1), ("M0 0 h5 v5 z", 3), ("", 0), (None, 0), ("M0 0 1 1 2 2", 2)])
-def test_path_segments(d, n):
-    assert len(svg.path_segments(d)[0]) == n
+def traced(spark, *ds):
+    """Segments and closedness of each path."""
+    rows = spark.createDataFrame([(1, k, d) for k, d in enumerate(ds)], "import_id long, ord long, d string")
+    out = {k: ([], False) for k in range(len(ds))}
+    for r in svg.path_segments(rows).orderBy("ord", "seg").collect():
+        assert r["seg"] == len(out[r["ord"]][0])
+        out[r["ord"]] = ([*out[r["ord"]][0], (r["x1"], r["y1"], r["x2"], r["y2"])], r["closed"])
+    return [out[k] for k in range(len(ds))]
 
 
-def test_path_details():
-    assert svg.path_segments("M0 0 L10 0 M20 0 L30 0")[0][1] == (10.0, 0.0, 20.0, 0.0)
-    assert svg.path_segments("m1 1 l2 0 z") == ([(1.0, 1.0, 3.0, 1.0), (3.0, 1.0, 1.0, 1.0)], True)
+def test_path_segments(spark):
+    cases = {"M0 0 L10 0 M20 0 L30 0": 3, "M0 0 C1 1 2 2 3 3": 1, "M0 0 h5 v5 z": 3, "": 0, None: 0, "M0 0 1 1 2 2": 2}
+    assert [len(found) for found, _ in traced(spark, *cases)] == list(cases.values())
+
+
+def test_path_details(spark):
+    later, closed = traced(spark, "M0 0 L10 0 M20 0 L30 0", "m1 1 l2 0 z")
+    assert later[0][1] == (10.0, 0.0, 20.0, 0.0)
+    assert closed == ([(1.0, 1.0, 3.0, 1.0), (3.0, 1.0, 1.0, 1.0)], True)
+
+
+def chain(*points):
+    return [(*map(float, a), *map(float, b)) for a, b in zip(points, points[1:], strict=False)]
+
+
+def test_path_points_by_hand(spark):
+    cases = {
+        "L5 5 h-2": chain((0, 0), (5, 5), (3, 5)),  # draws before any move
+        "l1 1 m2 2 l1 0": chain((0, 0), (1, 1)) + chain((3, 3), (4, 3)),  # a relative move from what was drawn; the first move is silent
+        "M1 1 l1 0 V9 h1 H0 v-1": chain((1, 1), (2, 1), (2, 9), (3, 9), (0, 9), (0, 8)),
+        "m1 1 h1 z l2 0 z m5 5 v1 z h1": chain((1, 1), (2, 1), (1, 1), (3, 1), (1, 1), (6, 6), (6, 7), (6, 6), (7, 6)),
+        "M10 10 h5 m1 1 1 1 m1 1 l-1 0": chain((10, 10), (15, 10), (16, 11), (17, 12), (18, 13), (17, 13)),
+        "M1 2 C 9 9 8 8 3 4 s7 7 1 1 Q0 0,5 5 t.5.5 a1 1 0 0 1 2 2": chain((1, 2), (3, 4), (4, 5), (5, 5), (5.5, 5.5), (7.5, 7.5)),
+        "M0,0L1e1,-2.5E-1 5": chain((0, 0), (10, -0.25)),  # a number too many counts for nothing
+        "z": [(0.0,) * 4], "M": [], "M3 3": [], "hello": [(0.0,) * 4][:0], "M1 1 L": [], "m1 1 V4 z m2 0 h1 V0 z": chain((1, 1), (1, 4), (1, 1), (3, 1), (4, 1), (4, 0), (3, 1)),
+    }
+    found = traced(spark, *cases)
+    assert [f for f, _ in found] == list(cases.values())
+    assert [c for _, c in found] == ["z" in d and bool(want) for d, want in cases.items()]
+
+
+def test_long_paths_take_linear_work(spark):
+    found = traced(spark, "M0 0" + "l1 0 0 1" * 30_000 + "z")[0]
+    assert len(found[0]) == 60_001 and found[0][-1] == (30_000.0, 30_000.0, 0.0, 0.0) and found[1]
+
+
+SHAPES = (
+    b'<svg><line id="a" x1="0" y1="0" x2="3.0005px" y2="4"/><rect id="b" x="1" y="1" width="2" height="3"/><circle id="c" cx="5" cy="5" r="2"/><ellipse id="d" cx="5" cy="5" rx="2" ry="1"/>'
+    b'<polyline id="e" points="0,0 1,0 1,1"/><polygon id="f" points="0 0 4 0 4 3"/><path id="g" d="M0 0 h2 v2 z"/><text id="h" x="1" y="2">t</text>'
+    b'<rect id="i" x="1" y="1" width="-2" height="3"/><polygon id="j" points="0 0 1 1"/><polyline id="k" points="0 0 1"/><polyline id="l" points="2,2 2,2"/><path id="m" d="M1 1"/><ellipse id="n" cx="1" cy="1" rx="2" ry="0"/>'
+    b'<path id="o" d="M9 9 h1 v1 h1"/><path id="p" d="M50 50 v1 v1 v1"/><polygon id="q" points="0,0,4,0,4,3"/><line id="r" x1="0" y1="0" x2="1"/><text id="s" x="1"/></svg>'
+)
+
+
+def test_shapes_of_all_kinds(spark):
+    rows = svg.drawn(svg.elements(spark.createDataFrame([(1, SHAPES)], "import_id long, content binary")))
+    found = {r["id"]: r for r in shapes.with_reason(rows).collect()}
+    assert {k: len(r["segments"]) for k, r in found.items() if r["reason"] is None} == {"a": 1, "b": 4, "c": 0, "d": 0, "e": 2, "f": 3, "g": 3, "h": 0}
+    # a path is known by the number of its segments alone
+    malformed, degenerate = "missing or malformed", "zero-length or degenerate"
+    # a path is known by the number of its segments alone
+    assert {k: r["reason"] for k, r in found.items() if r["reason"]} == {"i": malformed, "j": malformed, "k": malformed, "m": malformed, "r": malformed, "s": malformed, "l": degenerate, "n": degenerate, "o": "duplicate", "p": "duplicate", "q": "duplicate"}
+    assert found["a"]["x2"] == 3.001 and [found[k]["area"] for k in "bfeg"] == [6.0, 6.0, None, None] and found["d"]["area"] == pytest.approx(2 * 3.141592653589793)
+    assert [tuple(found[k]["box"]) for k in "adfgh"] == [(0.0, 0.0, 3.001, 4.0), (3.0, 4.0, 7.0, 6.0), (0.0, 0.0, 4.0, 3.0), (0.0, 0.0, 2.0, 2.0), (1.0, 2.0, 1.0, 2.0)]
+    assert [k for k in "abcdefgho" if found[k]["closed"]] == list("bcdfg")
 
 
 def test_svg_documents(spark):
