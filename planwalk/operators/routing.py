@@ -15,14 +15,45 @@ from planwalk.sources.scratch import written
 TOLERANCE = 1e-9
 
 
-def shortest_costs(edges: DataFrame, origins: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
-    """(keys, origin, node_id, cost) of every node reachable from an origin; edges: keys, src, dst, cost.
+def _chains(steps: DataFrame, origins: DataFrame, k: list[str]) -> tuple[DataFrame, DataFrame] | None:
+    """(passed, ways): the nodes that are passed through, and (keys, node, next, end, back): where it ends to go on from a node by the next one, and what the way from that end back to the node costs; null if no two nodes in a row are passed through.
 
-    Each round extends only what the last one improved; rounds end when nothing improves, so
-    their number is that of the edges of the longest cheapest path, plus one.
+    A node with at most two neighbours that is no origin is passed through.  Whoever arrives
+    at one goes on to its other neighbour; each step points to the one after it, and pointers
+    are doubled until all have arrived at a node that is not passed through.  Ways into dead
+    ends, and rings without any other node, which are out of reach, have no row.
     """
-    k = list(keys)
-    steps = written(edges.select(*k, "src", "dst", F.col("cost").alias("w")), "edges")
+    both = steps.select(*k, F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(steps.select(*k, F.col("dst").alias("node"), F.col("src").alias("next"))).distinct()
+    near = both.groupBy(*k, "node").agg(F.count(F.lit(1)).alias("n"), F.min("next").alias("low"), F.max("next").alias("high"))
+    starts = origins.select(*k, F.col("origin").alias("node")).distinct()
+    passed = written(near.where("n <= 2").drop("n").join(starts, [*k, "node"], "left_anti"), "passed")
+    at = passed.select(*k, F.col("node").alias("next"), "low", "high", F.lit(True).alias("goes_on"))
+    marked = both.join(at, [*k, "next"], "left").join(passed.select(*k, "node", F.lit(True).alias("inner")), [*k, "node"], "left")
+    if marked.where("goes_on AND inner").isEmpty():
+        return None
+    other = F.when(F.col("node") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    after = F.when(F.col("goes_on") & (other != F.col("node")), other)
+    back = steps.select(*k, F.col("dst").alias("node"), F.col("src").alias("next"), F.col("w").alias("back"))
+    ways = marked.where("goes_on OR inner").join(back, [*k, "node", "next"], "left")
+    # the step that this one points to is (at, to); the last step of a way has an end instead
+    ways = ways.select(*k, "node", "next", F.coalesce("back", F.lit(float("inf"))).alias("back"), F.when(F.col("goes_on").isNull(), F.col("next")).alias("end"), F.when(after.isNotNull(), F.col("next")).alias("at"), after.alias("to"))
+    ways = written(ways.where("end IS NOT NULL OR to IS NOT NULL"), "ways")
+    moving = ways.where("end IS NULL").count()
+    while moving:
+        ahead = ways.select(*k, F.col("node").alias("at"), F.col("next").alias("to"), F.col("back").alias("b"), F.col("end").alias("e"), F.col("at").alias("a"), F.col("to").alias("t"))
+        # what points into a dead end finds no step there and is gone
+        moved = ways.where("end IS NULL").drop("end").join(ahead, [*k, "at", "to"])
+        moved = moved.select(*k, "node", "next", (F.col("back") + F.col("b")).alias("back"), F.col("e").alias("end"), F.col("a").alias("at"), F.col("t").alias("to"))
+        ways = written(ways.where("end IS NOT NULL").unionByName(moved), "ways")
+        left = ways.where("end IS NULL").count()
+        if left == moving:
+            break  # rings
+        moving = left
+    return passed.select(*k, "node"), ways.where("end IS NOT NULL AND back < double('infinity')").select(*k, "node", "next", "end", "back")
+
+
+def _searched(steps: DataFrame, origins: DataFrame, k: list[str]) -> DataFrame:
+    """(keys, origin, node_id, cost) over steps (keys, src, dst, w), round by round."""
     best = written(origins.select(*k, "origin", F.col("origin").alias("node_id"), F.lit(0.0).alias("cost")).distinct(), "costs")
     frontier = best
     while True:
@@ -35,31 +66,75 @@ def shortest_costs(edges: DataFrame, origins: DataFrame, keys: tuple[str, ...] =
         best = written(best.join(frontier, [*k, "origin", "node_id"], "left_anti").unionByName(frontier), "costs")
 
 
+def shortest_costs(edges: DataFrame, origins: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """(keys, origin, node_id, cost) of every node reachable from an origin; edges: keys, src, dst, cost.
+
+    Chains of nodes with two neighbours become single steps before the search and are filled
+    in after it, so a corridor is one hop.  Each round of the search extends only what the
+    last one improved; rounds end when nothing improves, so their number is that of the steps
+    of the longest cheapest path over what is left, plus one.  Costs along a chain are added
+    up from its end, which may change their last digit where they are no whole numbers.
+    """
+    k = list(keys)
+    # an edge without a cost is closed
+    steps = written(edges.where("src <> dst AND cost IS NOT NULL").groupBy(*k, "src", "dst").agg(F.min("cost").alias("w")), "edges")
+    found = _chains(steps, origins, k)
+    if found is None:
+        return _searched(steps, origins, k)
+    passed, ways = found
+    for end in ("src", "dst"):
+        steps = steps.join(passed.withColumnRenamed("node", end), [*k, end], "left_anti")
+    # from the end of a way back to a node that is not passed through itself
+    through = ways.where("node <> end").join(passed, [*k, "node"], "left_anti").select(*k, F.col("end").alias("src"), F.col("node").alias("dst"), F.col("back").alias("w"))
+    core = written(steps.select(*k, "src", "dst", "w").unionByName(through).groupBy(*k, "src", "dst").agg(F.min("w").alias("w")), "core")
+    costs = _searched(core, origins, k)
+    inner = ways.join(passed, [*k, "node"], "left_semi").join(costs.withColumnRenamed("node_id", "end"), [*k, "end"])
+    filled = inner.groupBy(*k, "origin", F.col("node").alias("node_id")).agg(F.min(F.col("cost") + F.col("back")).alias("cost"))
+    return written(costs.unionByName(filled), "costs")
+
+
 def shortest_tree(edges: DataFrame, origins: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
-    """(keys, origin, node_id, cost, predecessor): null for the origin itself."""
+    """(keys, origin, node_id, cost, predecessor): null for the origin itself.
+
+    Ways that differ by rounding alone, less than TOLERANCE of the cost, count as equal.
+    """
     k = list(keys)
     cost = shortest_costs(edges, origins, keys)
     before = cost.select(*k, "origin", F.col("node_id").alias("src"), F.col("cost").alias("d"))
-    ways = before.join(edges.select(*k, "src", F.col("dst").alias("node_id"), F.col("cost").alias("w")), [*k, "src"])
-    ways = ways.join(cost, [*k, "origin", "node_id"]).where("d + w = cost")
+    ways = before.join(edges.where("src <> dst").select(*k, "src", F.col("dst").alias("node_id"), F.col("cost").alias("w")), [*k, "src"])
+    ways = ways.join(cost, [*k, "origin", "node_id"]).where(f"node_id <> origin AND d < cost AND d + w <= cost * (1 + {TOLERANCE})")
     first = ways.groupBy(*k, "origin", "node_id").agg(F.min("src").alias("predecessor"))
     return written(cost.join(first, [*k, "origin", "node_id"], "left"), "tree")
 
 
-def paths(tree: DataFrame, destinations: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
-    """(keys, origin, destination, total_cost, path): path holds the node ids from origin to destination; unreachable ones have no row."""
+def path_nodes(tree: DataFrame, destinations: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """(keys, origin, destination, total_cost, left, node): every node of the path to each destination, with the number of hops left to it.
+
+    Pointers to the predecessor are doubled: each round adds, to the nodes found, those that
+    lie as far before them again, so a path of n hops takes log2(n) rounds.  Destinations out
+    of reach have no row.
+    """
     k = [*keys, "origin"]
-    step = tree.select(*k, F.col("node_id").alias("at"), "predecessor")
     cost = tree.select(*k, F.col("node_id").alias("destination"), F.col("cost").alias("total_cost"))
-    open_rows = destinations.select(*k, "destination").distinct().join(cost, [*k, "destination"])
-    open_rows = written(open_rows.withColumn("at", F.col("destination")).withColumn("path", F.array("destination")), "paths")
-    done = None
-    while not open_rows.isEmpty():
-        ended = open_rows.where(F.col("at") == F.col("origin")).drop("at")
-        done = ended if done is None else done.unionByName(ended)
-        moved = open_rows.where(F.col("at") != F.col("origin")).join(step, [*k, "at"])
-        open_rows = written(moved.withColumn("at", F.col("predecessor")).withColumn("path", F.concat(F.array("predecessor"), "path")).drop("predecessor"), "paths")
-    return open_rows.drop("at") if done is None else done
+    asked = destinations.select(*k, "destination").distinct().join(cost, [*k, "destination"])
+    found = written(asked.select("*", F.lit(0).cast("long").alias("left"), F.col("destination").alias("node")), "path-nodes")
+    up = tree.where("predecessor IS NOT NULL").select(*k, F.col("node_id").alias("node"), F.col("predecessor").alias("to"))
+    far = 1
+    while True:
+        further = found.join(up, [*k, "node"]).select(*k, "destination", "total_cost", (F.col("left") + far).alias("left"), F.col("to").alias("node"))
+        further = written(further, "further")
+        if further.isEmpty():
+            return found
+        found = written(found.unionByName(further), "path-nodes")
+        up = written(up.join(up.select(*k, F.col("node").alias("to"), F.col("to").alias("then")), [*k, "to"]).select(*k, "node", F.col("then").alias("to")), "pointers")
+        far *= 2
+
+
+def paths(tree: DataFrame, destinations: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """(keys, origin, destination, total_cost, path): path holds the node ids from origin to destination; unreachable ones have no row."""
+    nodes = path_nodes(tree, destinations, keys)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "node")))
+    return nodes.groupBy(*keys, "origin", "destination", "total_cost").agg(F.transform(ordered, lambda s: s["node"]).alias("path"))
 
 
 def route_segments(found: DataFrame) -> DataFrame:
@@ -108,13 +183,13 @@ def route_status(violations: DataFrame, routes: DataFrame, route: str = "route_i
 
 
 def effective_costs(edges: DataFrame, contexts: DataFrame, policies: dict[str, Column] | None = None) -> DataFrame:
-    """Every edge under every routing context; a preference without a policy keeps the base cost."""
+    """Every edge under every routing context of its graph (graph_id, context_id, preference); a preference without a policy keeps the base cost."""
     cost = F.col("cost")
     effective = cost
     for preference, policy in (policies or {}).items():
         effective = F.when(F.col("preference") == preference, policy).otherwise(effective)
-    # no hint: Spark broadcasts the contexts where they are small
-    return edges.crossJoin(contexts).select("graph_id", "context_id", "preference", "edge_id", "src", "dst", cost.alias("base_cost"), effective.alias("cost"))
+    named = [c for c in ("edge_id",) if c in edges.columns]
+    return edges.join(contexts, "graph_id").select("graph_id", "context_id", "preference", *named, "src", "dst", cost.alias("base_cost"), effective.alias("cost"))
 
 
 def cost_summary(edges: DataFrame, *by: str) -> DataFrame:
@@ -136,10 +211,27 @@ def cost_audit(edges: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return out.unionByName(known.join(edges.select(key), key, "left_anti").select(*violation("unprocessed_edge", key)))
 
 
+def preference_routes(edges: DataFrame, contexts: DataFrame, asked: DataFrame, policies: dict[str, Column]) -> DataFrame:
+    """(graph_id, context_id, place, preference, origin, destination, total_cost, hop_count, path): the cheapest route of every context of a graph over the costs that its preference's policy gives.
+
+    contexts: graph_id, context_id, preference; asked: graph_id, origin, destination.  place
+    counts a reply's routes in the order of context_id; a context under which the destination
+    is out of reach is left out.  Contexts of one preference share one search.
+    """
+    k = ("graph_id", "preference")
+    wanted = contexts.join(asked, "graph_id")
+    kinds = contexts.select(*k).distinct().withColumn("context_id", F.lit(None).cast("int"))
+    tree = shortest_tree(effective_costs(edges, kinds, policies), wanted.select(*k, "origin"), k)
+    found = paths(tree, wanted.select(*k, "origin", "destination"), k).withColumn("hop_count", (F.size("path") - 1).cast("long"))
+    reply = Window.partitionBy("graph_id", "origin", "destination").orderBy("context_id")
+    found = wanted.join(found, [*k, "origin", "destination"]).withColumn("place", F.row_number().over(reply))
+    return found.select("graph_id", "context_id", "place", "preference", "origin", "destination", "total_cost", "hop_count", "path")
+
+
 def comparison_summary(found: DataFrame) -> DataFrame:
-    """Per graph: routes found, distinct preferences, average cost and hops."""
+    """Per graph: routes found, distinct preferences, different ways, least and average cost and average hops."""
     return found.groupBy("graph_id").agg(
-        F.count(F.lit(1)).alias("n_routes"), F.countDistinct("preference").alias("n_preferences"), F.avg("total_cost").alias("avg_cost"), F.avg(F.size("path") - 1).alias("avg_hops")
+        F.count(F.lit(1)).alias("n_routes"), F.countDistinct("preference").alias("n_preferences"), F.countDistinct("path").alias("n_ways"), F.min("total_cost").alias("min_cost"), F.avg("total_cost").alias("avg_cost"), F.avg(F.size("path") - 1).alias("avg_hops")
     )
 
 

@@ -168,17 +168,63 @@ r0 AS (SELECT graph_id, preference, origin AS node, cast(0 AS double) AS d FROM
 )
 
 
+POLICIES = {"ACCESSIBLE": F.expr("cost * 2"), "AVOID_STAIRS": F.expr("CASE WHEN node_type = 'VERTICAL_CONNECTOR' THEN cost + 10 ELSE cost END")}
+
+
+def _typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with the type of the node that they lead to."""
+    kinds = view(spark, sf_dir, "f_nodes").select("graph_id", F.col("node_id").alias("dst"), "node_type")
+    return view(spark, sf_dir, "f_edges").join(kinds, ["graph_id", "dst"])
+
+
 @register(oracle(f"WITH {_PRICED} SELECT graph_id, preference, node AS node_id, d AS cost FROM r{_ROUNDS}"))
 def policy_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest costs from each graph's origin under every preference, searched over the costs that its policy gives."""
-    kinds = view(spark, sf_dir, "f_nodes").select("graph_id", F.col("node_id").alias("dst"), "node_type")
-    policies = {"ACCESSIBLE": F.col("cost") * 2, "AVOID_STAIRS": F.when(F.col("node_type") == "VERTICAL_CONNECTOR", F.col("cost") + 10).otherwise(F.col("cost"))}
-    contexts = view(spark, sf_dir, "f_contexts")
-    priced = routing.effective_costs(view(spark, sf_dir, "f_edges").join(kinds, ["graph_id", "dst"]), contexts, policies)
-    origins = view(spark, sf_dir, "f_origins").crossJoin(contexts.select("preference"))
+    contexts = view(spark, sf_dir, "f_graph_contexts")
+    priced = routing.effective_costs(_typed_edges(spark, sf_dir), contexts, POLICIES)
+    origins = view(spark, sf_dir, "f_origins").join(contexts, "graph_id").select("graph_id", "preference", "origin")
     return routing.shortest_costs(priced, origins, ("graph_id", "preference")).select("graph_id", "preference", "node_id", "cost")
 
 
+_ROUTES = f"""{_PRICED},
+ptree AS MATERIALIZED (SELECT v.graph_id, v.preference, v.node, v.d, min(u.node) AS pred FROM r{_ROUNDS} v
+  LEFT JOIN priced e ON e.graph_id = v.graph_id AND e.preference = v.preference AND e.dst = v.node
+  LEFT JOIN r{_ROUNDS} u ON u.graph_id = e.graph_id AND u.preference = e.preference AND u.node = e.src AND u.d + e.cost = v.d
+  WHERE v.d = 0 OR u.node IS NOT NULL GROUP BY v.graph_id, v.preference, v.node, v.d),
+pfar AS (SELECT graph_id, preference, max(node) AS dest FROM ptree GROUP BY graph_id, preference),
+pwalk AS (SELECT graph_id, preference, dest, dest AS node, 0 AS back FROM pfar
+  UNION ALL SELECT w.graph_id, w.preference, w.dest, t.pred, w.back + 1 FROM pwalk w JOIN ptree t ON t.graph_id = w.graph_id AND t.preference = w.preference AND t.node = w.node WHERE t.pred IS NOT NULL),
+ways AS (SELECT w.graph_id, w.preference, string_agg(w.node, '>' ORDER BY back DESC) AS route, max(back) AS hop_count, max(t.d) AS total_cost FROM pwalk w
+  JOIN ptree t ON t.graph_id = w.graph_id AND t.preference = w.preference AND t.node = w.dest GROUP BY w.graph_id, w.preference)"""
+
+
+def _preference_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes from each graph's origin to its last reachable node under each of its contexts."""
+    # what is reachable does not depend on the policy: costs stay positive
+    origins = view(spark, sf_dir, "f_origins")
+    edges = _typed_edges(spark, sf_dir)
+    reach = routing.shortest_costs(edges, origins).groupBy("graph_id", "origin").agg(F.max("node_id").alias("destination"))
+    return routing.preference_routes(edges, view(spark, sf_dir, "f_graph_contexts"), reach, POLICIES)
+
+
+@register(oracle(f"WITH {_ROUTES} SELECT w.graph_id, c.context_id, cast(c.context_id AS integer) AS place, w.preference, route, cast(hop_count AS bigint) AS hop_count, total_cost FROM ways w JOIN f_contexts c ON c.preference = w.preference"))
+def preference_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest route of each graph under each context's policy, in the order of the contexts."""
+    return _preference_routes(spark, sf_dir).select("graph_id", "context_id", "place", "preference", F.array_join("path", ">").alias("route"), "hop_count", "total_cost")
+
+
+@register(
+    oracle(
+        f"""WITH {_ROUTES} SELECT graph_id, count(*) AS n_routes, count(DISTINCT preference) AS n_preferences, count(DISTINCT route) AS n_ways, min(total_cost) AS min_cost, round(avg(total_cost), 6) AS avg_cost, round(avg(hop_count), 6) AS avg_hops
+FROM ways GROUP BY graph_id"""
+    )
+)
+def route_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes, preferences, different ways, least and mean cost and mean hops of each graph's comparison."""
+    found = routing.comparison_summary(_preference_routes(spark, sf_dir))
+    return found.withColumn("avg_cost", F.round("avg_cost", 6)).withColumn("avg_hops", F.round("avg_hops", 6))
+
+
 @register(
     oracle(
         """WITH m AS (SELECT o.uso_id, r.semantic_category AS c, CASE WHEN r.rule_id IS NULL THEN 0 ELSE 1 END AS conf FROM f_objects o LEFT JOIN f_rules r ON r.spatial_category = o.spatial_category),

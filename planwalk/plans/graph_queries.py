@@ -169,8 +169,8 @@ def node_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(oracle("SELECT graph_id, context_id, preference, edge_id, cost AS base_cost, cost FROM f_edges CROSS JOIN f_contexts"))
 def effective_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every edge under every preference."""
-    found = routing.effective_costs(_edges(spark, sf_dir), view(spark, sf_dir, "f_contexts"))
+    """Every edge under every preference that its graph's contexts have."""
+    found = routing.effective_costs(_edges(spark, sf_dir), view(spark, sf_dir, "f_graph_contexts"))
     return found.select("graph_id", "context_id", "preference", "edge_id", "base_cost", "cost")
 
 
@@ -181,31 +181,6 @@ def cost_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.cost_audit(edges, edges.select("edge_ord"), "edge_ord")
 
 
-def _preference_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One route per graph and preference; preferences of one policy share one search."""
-    found = _far_paths(_tree(spark, sf_dir))
-    return found.crossJoin(view(spark, sf_dir, "f_contexts"))
-
-
-@register(oracle(f"WITH {_TREE} SELECT h.graph_id, preference, string_agg(target, '>' ORDER BY seq) AS route, max(t.d) AS total_cost FROM hops h JOIN tree t ON t.graph_id = h.graph_id AND t.node = h.dest CROSS JOIN f_contexts GROUP BY h.graph_id, preference"))
-def preference_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest route of each graph under each preference."""
-    return _preference_routes(spark, sf_dir).select("graph_id", "preference", F.array_join("path", ">").alias("route"), "total_cost")
-
-
-@register(
-    oracle(
-        f"""WITH {_TREE}
-SELECT h.graph_id, 5 * count(DISTINCT h.dest) AS n_routes, cast(5 AS bigint) AS n_preferences, round(max(t.d), 6) AS avg_cost, round(cast(count(*) - 1 AS double), 6) AS avg_hops
-FROM hops h JOIN tree t ON t.graph_id = h.graph_id AND t.node = h.dest GROUP BY h.graph_id"""
-    )
-)
-def route_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes, preferences, mean cost and mean hops of each graph's comparison."""
-    found = routing.comparison_summary(_preference_routes(spark, sf_dir))
-    return found.withColumn("avg_cost", F.round("avg_cost", 6)).withColumn("avg_hops", F.round("avg_hops", 6))
-
-
 @register(
     oracle(
         """WITH b AS (SELECT route_id, sequence, source, target FROM f_segments WHERE NOT (sequence = 2 AND route_id % 3 = 0)),

@@ -32,6 +32,7 @@ FROM (SELECT g, lag(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY rn) AS a,
 WHERE a IS NOT NULL AND a <> b GROUP BY g, a, b""",
     "f_origins": "SELECT graph_id, min(src) AS origin FROM f_edges GROUP BY graph_id",
     "f_contexts": "SELECT * FROM (VALUES (1, 'SHORTEST'), (2, 'FASTEST'), (3, 'ACCESSIBLE'), (4, 'AVOID_STAIRS'), (5, 'PREFER_ELEVATORS')) AS t(context_id, preference)",
+    "f_graph_contexts": "SELECT graph_id, context_id, preference FROM f_origins CROSS JOIN f_contexts",
     "f_dirty_nodes": "SELECT DISTINCT o_orderpriority AS graph_id, concat('N', lpad(cast(n_nationkey AS string), 3, '0')) AS node_id FROM orders CROSS JOIN nation",
     "f_dirty_edges": """
 SELECT o_orderpriority AS graph_id, o_orderkey AS edge_ord, concat('N', lpad(cast(o_custkey % 30 AS string), 3, '0')) AS src,
