@@ -29,6 +29,8 @@ MOST_LANGUAGES = 256
 #: Share of labelled texts that may lie under the calibrated gain, and how far below it a text has to be.
 RARE = 1e-4
 MARGIN = 0.5
+#: Bytes that start a character.
+FIRST_BYTE = (np.arange(256) & 0xC0) != 0x80
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -36,15 +38,58 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
+def _some_letter(data: np.ndarray) -> bool:
+    """Whether a text, read in pieces, has a letter."""
+    low = 0
+    while low < len(data):
+        high = wordhash.cut_at(data, FIRST_BYTE, low + wordhash.SEGMENT_BYTES, len(data)) if len(data) - low > wordhash.SEGMENT_BYTES else len(data)
+        if has_letter(data[low:high].tobytes().decode("utf-8", "replace")):
+            return True
+        low = high
+    return False
+
+
+def _bucket(chained: np.ndarray) -> np.ndarray:
+    return ((chained ^ (chained >> np.uint64(29))) * np.uint64(wordhash.MIX_1)) >> np.uint64(50)
+
+
+def _points(raw: np.ndarray) -> np.ndarray:
+    return np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
+
+
+def _long_grams(data: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(bytes, n-grams) of one text in pieces that are cut between characters; an n-gram belongs to the piece in which it ends."""
+    low, carried = 0, np.zeros(0, np.uint64)
+    while low < len(data):
+        high = wordhash.cut_at(data, FIRST_BYTE, low + wordhash.SEGMENT_BYTES, len(data)) if len(data) - low > wordhash.SEGMENT_BYTES else len(data)
+        raw = data[low:high]
+        ends = [10] if low == 0 else [], [10] if high == len(data) else []
+        padded = np.concatenate((carried, *(np.array(x, dtype=np.uint64) for x in (ends[0], _points(raw), ends[1]))))
+        found, chained = [], np.zeros(len(padded), np.uint64)
+        for n in range(1, max(ORDERS) + 1):
+            chained = chained[: max(len(padded) - n + 1, 0)] * np.uint64(wordhash.BASE) + padded[n - 1 :] + np.uint64(n)
+            if n in ORDERS:
+                own = _bucket(chained[max(len(carried) - n + 1, 0) :]).astype(np.int32)
+                found.append((own, np.array([len(own)])))
+        yield raw, found
+        carried = padded[len(padded) - min(len(padded), max(ORDERS) - 1) :]
+        low = high
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
     """(first row, end row, n-grams) for runs of rows; n-grams: for each order the buckets of all of them, row after row, and how many each row has.
 
-    A text is seen between two line feeds, so that its ends count as word ends.
+    A text is seen between two line feeds, so that its ends count as word ends.  A long row
+    comes alone, and as often as it has pieces.
     """
     for i, j in wordhash.segments(offsets):
         low = offsets[i]
+        if offsets[j] - low > 2 * wordhash.SEGMENT_BYTES:
+            for _, found in _long_grams(data[low : offsets[j]]):
+                yield i, j, found
+            continue
         raw = data[low : offsets[j]]
-        points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
+        points = _points(raw)
         # characters before each row: bytes that do not continue one
         starts = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets[i : j + 1] - low]
         lengths = np.diff(starts)
@@ -59,7 +104,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, lis
             chained = chained[: len(padded) - n + 1] * np.uint64(wordhash.BASE) + padded[n - 1 :] + np.uint64(n)
             if n not in ORDERS:
                 continue
-            bucket = ((chained ^ (chained >> np.uint64(29))) * np.uint64(wordhash.MIX_1)) >> np.uint64(50)
+            bucket = _bucket(chained)
             # an n-gram that starts in the last n - 1 places of a row would reach into the next
             whole = np.ones(len(padded), dtype=bool)
             for k in range(1, n):
@@ -123,7 +168,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     lowered = {n.lower() for n in names}
     kept = [c for c in docs.columns if c.lower() not in lowered]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = kept.index(text_col)
+    text_at = kept.index(text_col)
     schema = docs.select(kept).schema
     for name, kind in zip(names, ("string", "double", "double"), strict=True):
         schema = schema.add(name, kind)
@@ -132,24 +177,25 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
         m = shared.value
         by_language = [np.ascontiguousarray(m.log_p[:, k]) for k in range(len(m.languages))]
         for batch in batches:
-            data, offsets = wordhash.text_buffer(batch.column(at))
+            data, offsets = wordhash.text_buffer(batch.column(text_at))
             langs: list[str] = []
             scores: list[float] = []
             gains: list[float | None] = []
+            points = np.tile(m.log_prior, (batch.num_rows, 1))
+            n_grams = np.zeros(batch.num_rows)
             for i, j, found in grams(data, offsets) if m.languages else ():
-                points = np.tile(m.log_prior, (j - i, 1))
-                n_grams = np.zeros(j - i)
                 for buckets, counts in found:
-                    n_grams += counts
+                    n_grams[i:j] += counts
                     begins = (np.cumsum(counts) - counts)[counts > 0]
+                    at = i + np.flatnonzero(counts)
                     for k in range(len(m.languages)):
-                        points[counts > 0, k] += np.add.reduceat(by_language[k][buckets], begins)
+                        points[at, k] += np.add.reduceat(by_language[k][buckets], begins) if len(begins) else 0.0
+            if m.languages:
                 best = points.argmax(axis=1)
                 posterior = 1 / np.exp(points - points.max(axis=1, keepdims=True)).sum(axis=1)
-                gain = (points.max(axis=1) - m.log_prior[best]) / n_grams + np.log(BUCKETS)
-                for r in range(j - i):
-                    text = data[offsets[i + r] : offsets[i + r + 1]].tobytes().decode("utf-8", "replace")
-                    known = has_letter(text)
+                gain = (points.max(axis=1) - m.log_prior[best]) / np.maximum(n_grams, 1) + np.log(BUCKETS)
+                for r in range(batch.num_rows):
+                    known = _some_letter(data[offsets[r] : offsets[r + 1]])
                     langs.append(m.languages[best[r]] if known else UNKNOWN)
                     scores.append(float(posterior[r]) if known else 0.0)
                     gains.append(float(gain[r]) if known else None)
