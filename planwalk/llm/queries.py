@@ -180,7 +180,8 @@ ORACLES["op7_linked_secrets"] = f"""
 WITH parts AS ({_secret_parts()}),
   found AS (SELECT doc_id, ord, kind, start, stop, base FROM parts p WHERE base
       OR EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.role <> p.role
-        AND abs(q.start - p.start) <= {secrets.SCOPE})),
+        AND abs(q.start - p.start) <= {secrets.SCOPE} AND (q.stop <= p.start OR p.stop <= q.start
+          OR (p.kind = 'endpoint' AND p.start <= q.start AND q.stop <= p.stop) OR (q.kind = 'endpoint' AND q.start <= p.start AND p.stop <= q.stop)))),
   listed AS (SELECT doc_id, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
       string_agg(CASE WHEN base THEN concat(kind, ':', start, ':', stop) END, ',' ORDER BY start, ord) AS b,
       string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, ord, stop) AS s FROM found GROUP BY doc_id)

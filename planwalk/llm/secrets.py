@@ -95,18 +95,21 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The parts to report: base spans, and weak candidates with a complementary part that starts at most `scope` characters away.
+    """The parts to report: base spans, and weak candidates with a complementary part that starts at most `scope` characters away and shares no character with them; but a secret may stand inside an endpoint.
 
-    An interval join in linear time: starts are dealt into buckets of `scope` characters, a
-    bucket is reduced to the first and the last start of each role, and a weak candidate
-    meets its own bucket and the two beside it.
+    An interval join: starts are dealt into buckets of `scope` characters, and a weak candidate
+    looks for one complement in its own bucket and the two beside it.  A bucket holds no more
+    parts than its characters allow, so the work grows with the number of parts.
     """
     bucket = F.floor(F.col("start") / scope)
-    spread = found.groupBy(*ROW, "role", bucket.alias("b")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
-    spread = spread.select(*ROW, "b", F.when(F.col("role") == "secret", "holder").otherwise("secret").alias("role"), "low", "high")
+    flipped = F.when(F.col("role") == "secret", "holder").otherwise("secret")
+    others = found.select(*(F.col(c).alias(f"o_{c}") for c in ROW), bucket.alias("o_b"), flipped.alias("o_role"), *(F.col(c).alias(f"o_{c}") for c in ("kind", "start", "stop")))
     weak = found.where("not base").withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    gap = F.least(F.abs(F.col("start") - F.col("low")), F.abs(F.col("start") - F.col("high")))
-    linked = weak.join(spread, [*ROW, "role", "b"]).where((gap <= scope) | (F.floor(F.col("start") / scope) == F.col("b"))).select(found.columns).distinct()
+    same = F.col("b") == F.col("o_b")
+    for c in (*ROW, "role"):
+        same &= F.col(c) == F.col(f"o_{c}")
+    apart = "o_stop <= start OR stop <= o_start OR kind = 'endpoint' AND start <= o_start AND o_stop <= stop OR o_kind = 'endpoint' AND o_start <= start AND stop <= o_stop"
+    linked = weak.join(others, same & (F.abs(F.col("start") - F.col("o_start")) <= scope) & F.expr(apart), "left_semi").select(found.columns).distinct()
     return found.where("base").unionByName(linked)
 
 
