@@ -38,16 +38,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand, to within a few edits, earlier in the corpus are taken out; n_chars follows the text."""
-    return linededup.apply(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Lines that stand, to within a few edits, earlier in the corpus are taken out; n_chars, where there is one, follows the text.
+
+    Of equal lines the one in the smallest document id stays, and of rows that repeat id and
+    text each keeps the same lines.  Null texts stay null, all columns stay, and so do all
+    rows but those that had a text and lost all its lines.
+    """
+    kept = linededup.apply(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, null ids last, and of equal ids the one with the smallest row key.
 
     A row is known by its key, a hash of id and text, so rows that share an id, or have none,
-    are told apart by their texts.  Of rows that repeat id and text, the one with the smallest
-    other columns stays.
+    are told apart by their texts.  Of rows that repeat id and text, the one whose other
+    columns, of any type, come first when written as JSON stays.
     """
     (key,) = fresh(docs, "key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
@@ -57,12 +63,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key))
     kept = ids.join(group, key).groupBy("component_id").agg(first.alias("first")).select(F.col("first")[key].alias(key)).distinct()
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = keyed.join(kept, key, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
-    return rows.select("doc_id", "text", "rest.*").select(*docs.columns)
+    rows = keyed.join(kept, key, "left_semi")
+    if not rest:
+        return rows.select(*docs.columns).distinct()
+    # columns are renamed inside, so that none clashes with another
+    others = F.struct(*(F.col(c).alias(f"c{n}") for n, c in enumerate(rest)))
+    rows = rows.groupBy("doc_id", "text").agg(F.min_by(others, F.to_json(others)).alias("rest"))
+    found = {c: F.col("rest")[f"c{n}"].alias(c) for n, c in enumerate(rest)}
+    return rows.select(*(found.get(c, F.col(c)) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; of rows that repeat id and text all stay or all go, null texts stay."""
     return decontaminate.drop_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW)
 
 
