@@ -84,6 +84,26 @@ def match_rules(objects: DataFrame, rules: DataFrame) -> DataFrame:
     return objects.join(rules, "spatial_category")
 
 
+def match_versions(objects: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every enabled version of a rule that was valid when an object was made, and fires on it.
+
+    objects: uso_id, spatial_category, made_at; rules: rule_id, version, enabled, valid_from and
+    valid_to (exclusive, null for open ends) beside what match_rules takes.  The category is an
+    equi-join; the interval is tested within it, over the few versions of a category's rules.
+    """
+    at = F.col("made_at")
+    valid = (F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (at < F.col("valid_to")))
+    return objects.join(rules.where("enabled"), "spatial_category").where(valid)
+
+
+def versioned_models(objects: DataFrame, winners: DataFrame) -> DataFrame:
+    """Every object with the category, rule and version of its winning match, and the reason; without one it is UNCLASSIFIED."""
+    won = winners.select("uso_id", "semantic_category", "rule_id", "version", "n_discarded")
+    has = F.col("rule_id").isNotNull()
+    reason = F.when(~has, "no enabled rule was valid").when(F.col("n_discarded") > 0, "highest priority").otherwise("only match")
+    return objects.select("uso_id").join(won, "uso_id", "left").select("uso_id", "semantic_category", "rule_id", "version", reason.alias("reason"), F.when(has, "CLASSIFIED").otherwise("UNCLASSIFIED").alias("status"))
+
+
 def resolve_conflicts(matches: DataFrame) -> DataFrame:
     """The match of highest priority of each object, then the earliest rule, with the number of matches it beat."""
     order = Window.partitionBy("uso_id").orderBy(F.desc("priority"), "rule_ord")

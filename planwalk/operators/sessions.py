@@ -110,3 +110,53 @@ def event_audit(events: DataFrame, *by: str) -> DataFrame:
     out = out.unionByName(marked.where("nth > 1").select(*violation("duplicate", *by, "place")))
     out = out.unionByName(marked.where("rank > 0 AND before > rank").select(*violation("order", *by, "place")))
     return out.unionByName(marked.where("event_type = 'DestinationReached' AND node IS NULL").select(*violation("no_node", *by, "place")))
+
+
+#: What an event of a type has to carry besides its type.
+NEEDED = {"SegmentEntered": ("segment", "node"), "SegmentCompleted": ("segment", "node"), "NodeReached": ("node",), "FloorChanged": ("node",), "DestinationReached": ("node",)}
+
+
+def batch_audit(events: DataFrame, batches: DataFrame, *by: str) -> DataFrame:
+    """(check_name, by, place): which of nine rules the batches of events break; place is null for rules over a whole batch.
+
+    events: by, place, event_type, segment, node; batches: by, state, completed.  Of an event:
+    unsupported_type; duplicate_type, a type told before in the batch; missing_field; order,
+    the event before comes later in EVENT_ORDER, unsupported ones come first.  Of a batch:
+    destination_not_completed; floor_changed, which nothing can tell; completed_without_entered
+    and node_without_entered, if no SegmentEntered stands before the first of them;
+    cancelled_state, a cancelled event of a session that is not.  Events of equal place are
+    taken in the order of their types.
+    """
+    kind = F.col("event_type")
+    rank = F.array_position(F.array(*map(F.lit, EVENT_ORDER)), kind)
+    order = Window.partitionBy(*by).orderBy("place", "event_type")
+    missing = F.lit(False)
+    for name, fields in NEEDED.items():
+        lacks = F.lit(False)
+        for c in fields:
+            lacks |= F.col(c).isNull()
+        missing |= (kind == name) & lacks
+    rows = events.withColumns({"rank": rank, "before": F.lag(rank).over(order), "nth": F.row_number().over(Window.partitionBy(*by, "event_type").orderBy("place")), "at": F.row_number().over(order), "lacks": missing})
+    checks = {"unsupported_type": F.coalesce(F.col("rank"), F.lit(0)) == 0, "duplicate_type": F.col("nth") > 1, "missing_field": F.col("lacks"), "order": F.col("before") > F.col("rank")}
+    told = F.array_compact(F.array(*(F.when(held, name) for name, held in checks.items())))
+    out = rows.select(F.explode(told).alias("check_name"), *by, "place")
+    first = {name: F.min(F.when(kind == name, F.col("at"))).alias(name) for name in EVENT_ORDER}
+    whole = rows.groupBy(*by).agg(*first.values()).join(batches, list(by), "left")
+    late = lambda c: F.col(c).isNotNull() & (F.col("SegmentEntered").isNull() | (F.col(c) < F.col("SegmentEntered")))
+    checks = {
+        "destination_not_completed": F.col("DestinationReached").isNotNull() & ~F.coalesce("completed", F.lit(False)),
+        "floor_changed": F.col("FloorChanged").isNotNull(),
+        "completed_without_entered": late("SegmentCompleted"),
+        "node_without_entered": late("NodeReached"),
+        "cancelled_state": F.col("SessionCancelled").isNotNull() & ~F.coalesce(F.col("state") == "CANCELLED", F.lit(False)),
+    }
+    told = F.array_compact(F.array(*(F.when(held, name) for name, held in checks.items())))
+    return out.unionByName(whole.select(F.explode(told).alias("check_name"), *by, F.lit(None).cast("long").alias("place")))
+
+
+def batch_reports(faults: DataFrame, events: DataFrame, *by: str) -> DataFrame:
+    """(by, valid, n_events, n_errors): one report a batch."""
+    n = events.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"))
+    bad = faults.groupBy(*by).agg(F.count(F.lit(1)).alias("n_errors"))
+    joined = n.join(bad, list(by), "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0).cast("long")))
+    return joined.withColumn("valid", F.col("n_errors") == 0)

@@ -38,12 +38,43 @@ def unique_violations(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+#: Bits of the bitmap of a table's keys: 4 MB whatever the number of rows.
+KEY_BITS = 1 << 25
+
+
+def _new_keys(rows: DataFrame, existing: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """rows with `_has`: whether the table has their key.  Only rows whose bit is set in a bitmap of the table's keys take part in the join."""
+    bit = F.pmod(F.xxhash64(*key), F.lit(KEY_BITS)) + 1
+    bits = existing.select(bit.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("_bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    marked = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("_k"), "left").withColumn("_may", may).drop("_k", "_bits")
+    held = existing.select(*(F.col(c).alias(f"_e{n}") for n, c in enumerate(key))).distinct().withColumn("_there", F.lit(True))
+    same = F.lit(True)
+    for n, c in enumerate(key):
+        same &= F.col(c).eqNullSafe(F.col(f"_e{n}"))
+    asked = marked.where("_may").join(held, same, "left").withColumn("_has", F.coalesce("_there", F.lit(False))).drop("_there", *(f"_e{n}" for n in range(len(key))))
+    return asked.unionByName(marked.where("NOT _may").withColumn("_has", F.lit(False))).drop("_may")
+
+
 def insert_unique(rows: DataFrame, new: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of the new rows: rejected ones repeat a key of the table or of an earlier new row in the order of all columns."""
-    rn = F.row_number().over(Window.partitionBy(*key).orderBy(*new.columns))
-    marked = new.withColumn("_rn", rn).join(rows.select(*key).distinct().withColumn("_has", F.lit(True)), list(key), "left")
-    clash = F.col("_has").isNotNull() | (F.col("_rn") > 1)
-    return marked.where(~clash).select(new.columns), marked.where(clash).select(new.columns)
+    """(accepted, rejected) of the new rows: rejected ones repeat a key of the table or of an earlier new row in the order of all columns.
+
+    Equal keys are compared with nulls equal.  Rows are counted and reduced to the first of
+    their key before anything is ordered, so a key that most rows share is in no one task.
+    """
+    columns = list(new.columns)
+    whole = F.struct(*columns)
+    counted = new.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    first = counted.groupBy(*(F.col(c).alias(f"_f{n}") for n, c in enumerate(key))).agg(F.min(whole).alias("_first"))
+    same = F.lit(True)
+    for n, c in enumerate(key):
+        same &= F.col(c).eqNullSafe(F.col(f"_f{n}"))
+    marked = _new_keys(counted.join(first, same), rows, key).withColumn("_ok", ~F.col("_has") & whole.eqNullSafe(F.col("_first")))
+    left = F.col("_n") - F.col("_ok").cast("long")
+    rejected = marked.where(left > 0).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), left)))
+    return marked.where("_ok").select(columns), rejected.select(columns)
 
 
 def import_versions(files: DataFrame, floor: str, order: str, content: str) -> DataFrame:

@@ -175,3 +175,52 @@ def nested_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes read with their ordered segments nested."""
     nested = tables.nest(view(spark, sf_dir, "f_lines"), "l_orderkey", "rn", "l_partkey")
     return nested.select("l_orderkey", F.array_join(F.transform("items", lambda s: F.concat_ws(":", s["rn"].cast("string"), s["l_partkey"].cast("string"))), ",").alias("segments"))
+
+
+_VERSIONS = """m AS (SELECT o.uso_id, r.rule_id, version, semantic_category, priority, rule_ord FROM f_made_objects o JOIN f_rule_versions r ON r.spatial_category = o.spatial_category
+  AND enabled AND (valid_from IS NULL OR valid_from <= made_at) AND (valid_to IS NULL OR made_at < valid_to)),
+w AS (SELECT *, count(*) OVER (PARTITION BY uso_id) AS n, row_number() OVER (PARTITION BY uso_id ORDER BY priority DESC, rule_ord, version DESC) AS rn FROM m)"""
+
+
+@register(oracle(f"WITH {_VERSIONS} SELECT uso_id, rule_id, cast(version AS integer) AS version, semantic_category FROM m"))
+def rule_version_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of rules that were enabled and valid when each object was made."""
+    found = objects.match_versions(view(spark, sf_dir, "f_made_objects"), view(spark, sf_dir, "f_rule_versions"))
+    return found.select("uso_id", "rule_id", "version", "semantic_category")
+
+
+@register(
+    oracle(
+        f"""WITH {_VERSIONS} SELECT o.uso_id, w.semantic_category, w.rule_id, cast(w.version AS integer) AS version, CASE WHEN w.rule_id IS NULL THEN 'no enabled rule was valid' WHEN n > 1 THEN 'highest priority' ELSE 'only match' END AS reason,
+CASE WHEN w.rule_id IS NULL THEN 'UNCLASSIFIED' ELSE 'CLASSIFIED' END AS status FROM f_made_objects o LEFT JOIN w ON w.uso_id = o.uso_id AND rn = 1"""
+    )
+)
+def versioned_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object with the rule and version that won, and why; of equal rules the newest version."""
+    made = view(spark, sf_dir, "f_made_objects")
+    found = objects.match_versions(made, view(spark, sf_dir, "f_rule_versions")).withColumn("rule_ord", F.struct("rule_ord", -F.col("version")))
+    return objects.versioned_models(made, objects.resolve_conflicts(found))
+
+
+def _inserted(name: str, key: str, columns: str, rows: str, held: str) -> str:
+    return f"""SELECT '{name}' AS table_name, {columns}, NOT (EXISTS (SELECT 1 FROM ({held}) h WHERE h.k = t.k) OR rn > 1) AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS rn FROM ({rows}) r) t"""
+
+
+_NEW_CANDIDATES = "SELECT concat(graph_id, '|', cast(object_id AS {s})) AS k, candidate_id AS ord FROM f_graph_candidates"
+_NEW_EDGES = "SELECT concat(graph_id, '|', src, '|', dst) AS k, edge_ord AS ord FROM f_dirty_edges"
+_NEW_SEGMENTS = "SELECT concat(cast(l_orderkey AS {s}), '|', cast(l_linenumber AS {s})) AS k, l_orderkey * 100000 + l_partkey AS ord FROM lineitem UNION ALL SELECT concat(cast(o_orderkey AS {s}), '|1') AS k, o_orderkey AS ord FROM orders"
+_INSERTS = {"candidates": (_NEW_CANDIDATES, "ord % 4 = 0"), "edges": (_NEW_EDGES, "ord % 3 = 0"), "segments": (_NEW_SEGMENTS, "ord % 50 = 0")}
+
+
+@register(oracle(" UNION ALL ".join(_inserted(n, "k", "k, ord", rows.format(s="varchar"), f"SELECT k FROM ({rows.format(s='varchar')}) x WHERE {held}") for n, (rows, held) in _INSERTS.items())))
+def unique_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, edges and segments offered to tables that hold some of them already: which are taken, and which repeat a key."""
+    out = None
+    for name, (sql, held) in _INSERTS.items():
+        for other in ("f_graph_candidates", "f_dirty_edges", "lineitem", "orders"):
+            view(spark, sf_dir, other).createOrReplaceTempView(other)
+        rows = spark.sql(sql.format(s="string"))
+        taken, left = tables.insert_unique(rows.where(held), rows.select("ord", "k"), "k")
+        both = taken.withColumn("accepted", F.lit(True)).unionByName(left.withColumn("accepted", F.lit(False))).select(F.lit(name).alias("table_name"), "k", "ord", "accepted")
+        out = both if out is None else out.unionByName(both)
+    return out

@@ -211,3 +211,55 @@ def filtered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of one source in all graphs, in ascending order of event_id."""
     return tables.filtered(view(spark, sf_dir, "f_positions"), "event_id", source="view", graph_id=None).select("event_id", "source", "x", "y")
+
+
+_FAULTY = f"""{_EVENTS},
+base AS (SELECT session_id, call_no, v.p AS p, v.e AS e, node FROM told),
+ev AS (SELECT session_id, call_no, CASE WHEN call_no % 13 = 0 THEN 10 - p ELSE p END AS place,
+    CASE WHEN call_no % 7 = 0 AND e = 'SegmentEntered' THEN 'SegmentSkipped' WHEN call_no % 11 = 0 AND e = 'NodeReached' THEN 'SegmentCompleted' WHEN call_no % 19 = 0 AND e = 'NodeReached' THEN 'FloorChanged'
+      WHEN call_no % 29 = 0 AND e = 'SessionStarted' THEN 'SessionCancelled' ELSE e END AS event_type, CASE WHEN call_no % 31 <> 0 AND e IN ('SegmentEntered', 'SegmentCompleted') THEN p END AS segment, CASE WHEN call_no % 37 <> 0 THEN node END AS node
+  FROM base WHERE NOT (call_no % 17 = 0 AND e = 'SegmentEntered')),
+m AS (SELECT *, coalesce(list_position(['SessionStarted', 'SegmentEntered', 'SegmentCompleted', 'NodeReached', 'FloorChanged', 'DestinationReached', 'SessionCancelled'], event_type), 0) AS rank,
+  row_number() OVER (PARTITION BY session_id, call_no, event_type ORDER BY place) AS nth, row_number() OVER (PARTITION BY session_id, call_no ORDER BY place, event_type) AS pos FROM ev),
+o AS (SELECT *, lag(rank) OVER (PARTITION BY session_id, call_no ORDER BY pos) AS before FROM m),
+w AS (SELECT session_id, call_no, min(CASE WHEN event_type = 'SegmentEntered' THEN pos END) AS entered, min(CASE WHEN event_type = 'SegmentCompleted' THEN pos END) AS completed, min(CASE WHEN event_type = 'NodeReached' THEN pos END) AS reached,
+  count_if(event_type = 'DestinationReached') AS ended, count_if(event_type = 'FloorChanged') AS floors, count_if(event_type = 'SessionCancelled') AS cancelled FROM m GROUP BY session_id, call_no),
+faults AS (SELECT 'unsupported_type' AS check_name, session_id, call_no, place FROM o WHERE rank = 0 UNION ALL SELECT 'duplicate_type', session_id, call_no, place FROM o WHERE nth > 1 UNION ALL SELECT 'order', session_id, call_no, place FROM o WHERE before > rank
+  UNION ALL SELECT 'missing_field', session_id, call_no, place FROM o WHERE (event_type IN ('SegmentEntered', 'SegmentCompleted') AND (segment IS NULL OR node IS NULL)) OR (event_type IN ('NodeReached', 'FloorChanged', 'DestinationReached') AND node IS NULL)
+  UNION ALL SELECT 'destination_not_completed', session_id, call_no, NULL FROM w WHERE ended > 0 AND call_no % 23 = 0 UNION ALL SELECT 'floor_changed', session_id, call_no, NULL FROM w WHERE floors > 0
+  UNION ALL SELECT 'completed_without_entered', session_id, call_no, NULL FROM w WHERE completed IS NOT NULL AND (entered IS NULL OR completed < entered) UNION ALL SELECT 'node_without_entered', session_id, call_no, NULL FROM w WHERE reached IS NOT NULL AND (entered IS NULL OR reached < entered)
+  UNION ALL SELECT 'cancelled_state', session_id, call_no, NULL FROM w WHERE cancelled > 0 AND call_no % 2 = 1)"""
+
+
+def _faulty_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(events, batches): all events of all calls, with wrong types, orders, fields and ends brought into some calls."""
+    n, e = F.col("call_no"), F.col("event_type")
+    steps, reports = _steps(spark, sf_dir), _reports(spark, sf_dir)
+    nodes = steps.join(reports.withColumnRenamed("route_id", "session_id"), ["session_id", "step"]).select("session_id", "call_no", F.col("current_node").alias("at_node"))
+    told = sessions.session_events(steps, reports).join(nodes, ["session_id", "call_no"]).where(~((n % 17 == 0) & (e == "SegmentEntered")))
+    # places as they are before an event is left out
+    p = F.when(e == "DestinationReached", 4).otherwise(F.array_position(F.array(*map(F.lit, sessions.EVENT_ORDER)), e) - F.when(e == "DestinationReached", 2).otherwise(1)).cast("long")
+    kind = F.when((n % 7 == 0) & (e == "SegmentEntered"), "SegmentSkipped").when((n % 11 == 0) & (e == "NodeReached"), "SegmentCompleted").when((n % 19 == 0) & (e == "NodeReached"), "FloorChanged").when((n % 29 == 0) & (e == "SessionStarted"), "SessionCancelled").otherwise(e)
+    segment = F.when((n % 31 != 0) & e.isin("SegmentEntered", "SegmentCompleted"), p)
+    events = told.select("session_id", "call_no", F.when(n % 13 == 0, 10 - p).otherwise(p).alias("place"), kind.alias("event_type"), segment.alias("segment"), F.when(n % 37 != 0, F.col("at_node")).alias("node"))
+    batches = steps.select("session_id", "call_no", F.when(n % 2 == 0, "CANCELLED").otherwise("ACTIVE").alias("state"), (n % 23 != 0).alias("completed"))
+    return events, batches
+
+
+@register(oracle(f"WITH {_FAULTY} SELECT check_name, session_id, call_no, cast(place AS bigint) AS place FROM faults"))
+def event_batch_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of nine rules the events of all calls break, some of them brought in on purpose."""
+    return sessions.batch_audit(*_faulty_batches(spark, sf_dir), "session_id", "call_no")
+
+
+@register(
+    oracle(
+        f"""WITH {_FAULTY} SELECT n.session_id, n.call_no, n_events, coalesce(n_errors, 0) AS n_errors, coalesce(n_errors, 0) = 0 AS valid
+FROM (SELECT session_id, call_no, count(*) AS n_events FROM ev GROUP BY session_id, call_no) n LEFT JOIN (SELECT session_id, call_no, count(*) AS n_errors FROM faults GROUP BY session_id, call_no) f ON f.session_id = n.session_id AND f.call_no = n.call_no"""
+    )
+)
+def event_batch_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each call's events: whether they are valid, how many there are and how many rules they break."""
+    events, batches = _faulty_batches(spark, sf_dir)
+    by = ("session_id", "call_no")
+    return sessions.batch_reports(sessions.batch_audit(events, batches, *by), events, *by)

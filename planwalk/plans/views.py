@@ -91,6 +91,11 @@ SELECT * FROM (VALUES ('SEM-001', 'WALL', 'STRUCTURAL_WALL', 100, 1), ('SEM-002'
   ('SEM-003', 'OPENING', 'DOORWAY', 100, 3), ('SEM-004', 'ENCLOSURE', 'ROOM', 100, 4),
   ('SEM-005', 'VERTICAL_CONNECTION', 'VERTICAL_CONNECTOR', 100, 5)) AS t(rule_id, spatial_category, semantic_category, priority, rule_ord)""",
     "f_more_rules": "SELECT * FROM f_rules UNION ALL SELECT * FROM (VALUES ('SEM-101', 'WALL', 'PARTITION', 150, 6), ('SEM-102', 'PASSAGE', 'RAMP', 50, 7), ('SEM-103', 'ENCLOSURE', 'HALL', 100, 8)) AS t(rule_id, spatial_category, semantic_category, priority, rule_ord)",
+    "f_rule_versions": """
+SELECT * FROM (VALUES ('SEM-001', 1, 'WALL', 'STRUCTURAL_WALL', 100, 1, true, 0, 40), ('SEM-001', 2, 'WALL', 'LOAD_BEARING_WALL', 100, 1, true, 40, NULL), ('SEM-002', 1, 'PASSAGE', 'CORRIDOR', 100, 2, true, NULL, 70),
+  ('SEM-003', 1, 'OPENING', 'DOORWAY', 100, 3, false, NULL, NULL), ('SEM-003', 2, 'OPENING', 'GATE', 90, 3, true, 10, 90), ('SEM-004', 1, 'ENCLOSURE', 'ROOM', 100, 4, true, NULL, 50), ('SEM-004', 2, 'ENCLOSURE', 'CHAMBER', 100, 4, true, 30, NULL),
+  ('SEM-005', 3, 'VERTICAL_CONNECTION', 'VERTICAL_CONNECTOR', 100, 5, true, 20, NULL), ('SEM-104', 1, 'ENCLOSURE', 'HALL', 150, 6, true, 45, 48)) AS t(rule_id, version, spatial_category, semantic_category, priority, rule_ord, enabled, valid_from, valid_to)""",
+    "f_made_objects": "SELECT uso_id, spatial_category, cast(uso_id * 7 % 100 AS int) AS made_at FROM f_objects",
     "f_candidates": """
 SELECT p_partkey AS ord, CASE p_partkey % 6 WHEN 0 THEN 'candidateBoundaries' WHEN 1 THEN 'candidateEnclosures' WHEN 2 THEN 'candidateOpenings' WHEN 3 THEN 'candidateWalls' WHEN 4 THEN 'candidatePassages' ELSE 'candidateVerticalConnections' END AS collection,
   CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 10 < 5 THEN concat('c-', cast(cast(floor(p_partkey / 12) AS bigint) AS string)) ELSE concat('p-', cast(p_partkey AS string)) END AS candidate_id,
