@@ -89,3 +89,27 @@ def window_counts(positions: DataFrame, width: str = "1 hour") -> DataFrame:
 
 def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
     return rows.withColumn("version", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+
+
+def as_of(calls: DataFrame, readings: DataFrame, session: str, at: str, tie: str, values: list[str], since: Column | None = None) -> DataFrame:
+    """calls with `values` of the latest reading of their session at or before them, by (at, tie); null where there is none.
+
+    Both tables have session, at and tie.  Time is cut into periods (`since` of `at`; days by
+    default): within one, calls and readings are ordered together, and a period's last reading
+    is carried on to the calls of later ones that come before any reading of their own.  So a
+    session of any length is dealt to many tasks.  Columns of calls may not be named like values.
+    """
+    period = F.date_trunc("day", F.col(at)) if since is None else since
+    key = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"))
+    read = F.struct(key.alias("key"), *values)
+    of_readings = readings.select(session, period.alias("_period"), key.alias("_key"), F.lit(0).alias("_last"), read.alias("_read"))
+    of_calls = calls.select(session, period.alias("_period"), key.alias("_key"), F.lit(1).alias("_last"), F.struct(*calls.columns).alias("_call"))
+    order = Window.partitionBy(session, "_period").orderBy("_key", "_last")
+    both = of_calls.unionByName(of_readings, allowMissingColumns=True)
+    within = both.withColumn("_own", F.last("_read", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_last = 1")
+    ends = of_readings.groupBy(session, "_period").agg(F.max("_read").alias("_end"))
+    periods = within.select(session, "_period").distinct().join(ends, [session, "_period"], "full")
+    before = Window.partitionBy(session).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    carried = periods.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).select(session, "_period", "_carried")
+    found = within.join(carried, [session, "_period"]).withColumn("_found", F.coalesce("_own", "_carried"))
+    return found.select("_call.*", *(F.col("_found")[v].alias(v) for v in values))

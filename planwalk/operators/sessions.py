@@ -27,20 +27,38 @@ def next_state(state: Column, action: Column) -> Column:
     return out
 
 
-def fold(calls: DataFrame, *by: str) -> DataFrame:
-    """Per session: final state, accepted and rejected actions, from calls in the order of call_no.
+#: Calls of a group that are folded at once.
+BLOCK = 1024
+STATES = ("CREATED", "READY", "ACTIVE", "PAUSED", "CANCELLED", "COMPLETED")
 
-    A session's calls are one array, so `by` should bound it (a session, or a session's day).
+
+def fold(calls: DataFrame, *by: str, block: int = BLOCK) -> DataFrame:
+    """Per group: final state, accepted and rejected actions, from calls in the order of call_no.
+
+    Actions compose: what a run of calls makes of each state it may start from can be told
+    without knowing where it starts.  So calls are folded in blocks of `block` numbers, the
+    first of a group from CREATED and any other from every state, and blocks are then chained.
+    A session of any length is dealt to many tasks, and the last step takes a row per block.
     """
-    steps = F.array_sort(F.collect_list(F.struct("call_no", "action")))
-    start = F.struct(F.lit("CREATED").alias("state"), F.lit(0).cast("long").alias("n_accepted"), F.lit(0).cast("long").alias("n_rejected"))
+    start = lambda s: F.struct(s.alias("state"), F.lit(0).cast("long").alias("n_accepted"), F.lit(0).cast("long").alias("n_rejected"))
 
     def step(acc: Column, call: Column) -> Column:
         after = next_state(acc["state"], call["action"])
         ok = (after != acc["state"]).cast("long")
         return F.struct(after.alias("state"), (acc["n_accepted"] + ok).alias("n_accepted"), (acc["n_rejected"] + 1 - ok).alias("n_rejected"))
 
-    folded = calls.groupBy(*by).agg(steps.alias("steps")).select(*by, F.aggregate("steps", start, step).alias("f"))
+    def chain(acc: Column, part: Column) -> Column:
+        went = F.get(part["ends"], F.when(F.size(part["ends"]) == 1, 0).otherwise(F.array_position(F.array(*map(F.lit, STATES)), acc["state"]).cast("int") - 1))
+        return F.struct(went["state"].alias("state"), *((acc[n] + went[n]).alias(n) for n in ("n_accepted", "n_rejected")))
+
+    blocks = calls.groupBy(*by, F.floor(F.col("call_no") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("call_no", "action"))).alias("steps"))
+    # the number of a group's first block, from narrow rows
+    first = calls.groupBy(*by).agg(F.floor(F.min("call_no") / block).alias("first"))
+    blocks = blocks.join(first, list(by))
+    every = F.transform(F.array(*map(F.lit, STATES)), lambda s: F.aggregate("steps", start(s), step))
+    ends = F.when(F.col("block") == F.col("first"), F.array(F.aggregate("steps", start(F.lit("CREATED")), step))).otherwise(every)
+    parts = F.array_sort(F.collect_list(F.struct("block", ends.alias("ends"))))
+    folded = blocks.groupBy(*by).agg(parts.alias("parts")).select(*by, F.aggregate("parts", start(F.lit("CREATED")), chain).alias("f"))
     return folded.select(*by, "f.state", "f.n_accepted", "f.n_rejected")
 
 

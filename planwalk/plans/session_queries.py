@@ -263,3 +263,34 @@ def event_batch_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, batches = _faulty_batches(spark, sf_dir)
     by = ("session_id", "call_no")
     return sessions.batch_reports(sessions.batch_audit(events, batches, *by), events, *by)
+
+
+_WHOLE = f"""c AS (SELECT session_id, call_no AS n, action FROM f_calls),
+run AS (SELECT session_id, n, action, s AS before, {_NEXT.replace("a =", "action =")} AS state FROM (SELECT *, 'CREATED' AS s FROM c WHERE n = 1) z
+  UNION ALL SELECT c.session_id, c.n, c.action, r.state, {_NEXT.replace("a =", "c.action =").replace("s IN", "r.state IN").replace("s =", "r.state =").replace("ELSE s", "ELSE r.state")}
+  FROM run r JOIN c ON c.session_id = r.session_id AND c.n = r.n + 1)"""
+
+
+@register(oracle(f"WITH {_WHOLE} SELECT session_id, arg_max(state, n) AS state, count_if(state <> before) AS n_accepted, count_if(state = before) AS n_rejected FROM run GROUP BY session_id"))
+def session_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final state and accepted and rejected actions of each session over all of its calls."""
+    return sessions.fold(view(spark, sf_dir, "f_calls"), "session_id")
+
+
+_READINGS = "readings AS (SELECT event_id, session_id, recorded_at, x, y FROM f_positions WHERE source = 'view' OR source = 'error')"
+
+
+@register(
+    oracle(
+        f"""WITH {_STEPS}, {_READINGS},
+met AS (SELECT c.session_id, c.call_no, arg_max(r.event_id, (r.recorded_at, r.event_id)) AS reading, arg_max(x, (r.recorded_at, r.event_id)) AS x, arg_max(y, (r.recorded_at, r.event_id)) AS y
+  FROM f_calls c JOIN readings r ON r.session_id = c.session_id AND (r.recorded_at < c.ts OR (r.recorded_at = c.ts AND r.event_id <= c.event_id)) GROUP BY c.session_id, c.call_no)
+SELECT c.session_id, c.call_no, s.step, m.reading, m.x, m.y FROM f_calls c LEFT JOIN steps s ON s.session_id = c.session_id AND s.call_no = c.call_no LEFT JOIN met m ON m.session_id = c.session_id AND m.call_no = c.call_no"""
+    )
+)
+def call_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call with the latest reading at or before it, and the step of its walk."""
+    calls = view(spark, sf_dir, "f_calls").select("session_id", "call_no", "event_id", F.col("ts").alias("recorded_at"))
+    readings = view(spark, sf_dir, "f_positions").where("source = 'view' OR source = 'error'").withColumn("reading", F.col("event_id"))
+    found = positioning.as_of(calls, readings, "session_id", "recorded_at", "event_id", ["reading", "x", "y"])
+    return found.join(_steps(spark, sf_dir), ["session_id", "call_no"], "left").select("session_id", "call_no", "step", "reading", "x", "y")
