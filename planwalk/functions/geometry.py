@@ -148,9 +148,11 @@ def pair_key(a: Column, b: Column) -> Column:
 
 
 def rolling_hash(text: Column) -> Column:
-    """Hash with multiplier 31 over the characters, wrapped to 32 signed bits, then made absolute."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-
+    """Hash with multiplier 31 over the text's UTF-16 units, wrapped to 32 signed bits, then made absolute."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    beyond = lambda c: c - 65536
+    units = lambda c: F.when(c < 65536, F.array(c)).otherwise(F.array(F.floor(beyond(c) / 1024) + 0xD800, beyond(c) % 1024 + 0xDC00))
+    codes = F.flatten(F.transform(points, units))
 
     def wrap(v: Column) -> Column:
         return v.bitwiseAND(F.lit(4294967295)).bitwiseXOR(F.lit(2147483648)) - F.lit(2147483648)

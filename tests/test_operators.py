@@ -267,3 +267,16 @@ def test_unique_inserts(spark):
     rows = spark.createDataFrame([(1, "a")], "k int, v string")
     ok, bad = tables.insert_unique(rows, spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k int, v string"), "k")
     assert [tuple(r) for r in ok.collect()] == [(2, "y")] and bad.count() == 2
+
+
+def test_rolling_hash_takes_utf16_units(spark):
+    texts = ["", "a", "wall-1", "Zürich", "\U0001f600", "x\U0001f6aay" * 5]
+
+    def plain(text):
+        raw, h = text.encode("utf-16-le"), 0
+        for k in range(0, len(raw), 2):
+            h = (h * 31 + int.from_bytes(raw[k : k + 2], "little") + 2**31) % 2**32 - 2**31
+        return abs(h)
+
+    found = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", g.rolling_hash(F.col("t")).alias("h")).orderBy("k").collect()
+    assert [r["h"] for r in found] == [plain(t) for t in texts]
