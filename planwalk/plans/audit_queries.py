@@ -168,7 +168,12 @@ r0 AS (SELECT graph_id, preference, origin AS node, cast(0 AS double) AS d FROM
 )
 
 
-POLICIES = {"ACCESSIBLE": F.expr("cost * 2"), "AVOID_STAIRS": F.expr("CASE WHEN node_type = 'VERTICAL_CONNECTOR' THEN cost + 10 ELSE cost END")}
+#: What an edge costs under a preference, by the type of the node that it leads to.
+POLICIES = {"ACCESSIBLE": "cost * 2", "AVOID_STAIRS": "CASE WHEN node_type = 'VERTICAL_CONNECTOR' THEN cost + 10 ELSE cost END"}
+
+
+def _policies() -> dict[str, Column]:
+    return {preference: F.expr(price) for preference, price in POLICIES.items()}
 
 
 def _typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +186,7 @@ def _typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest costs from each graph's origin under every preference, searched over the costs that its policy gives."""
     contexts = view(spark, sf_dir, "f_graph_contexts")
-    priced = routing.effective_costs(_typed_edges(spark, sf_dir), contexts, POLICIES)
+    priced = routing.effective_costs(_typed_edges(spark, sf_dir), contexts, _policies())
     origins = view(spark, sf_dir, "f_origins").join(contexts, "graph_id").select("graph_id", "preference", "origin")
     return routing.shortest_costs(priced, origins, ("graph_id", "preference")).select("graph_id", "preference", "node_id", "cost")
 
@@ -204,7 +209,7 @@ def _preference_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     origins = view(spark, sf_dir, "f_origins")
     edges = _typed_edges(spark, sf_dir)
     reach = routing.shortest_costs(edges, origins).groupBy("graph_id", "origin").agg(F.max("node_id").alias("destination"))
-    return routing.preference_routes(edges, view(spark, sf_dir, "f_graph_contexts"), reach, POLICIES)
+    return routing.preference_routes(edges, view(spark, sf_dir, "f_graph_contexts"), reach, _policies())
 
 
 @register(oracle(f"WITH {_ROUTES} SELECT w.graph_id, c.context_id, cast(c.context_id AS integer) AS place, w.preference, route, cast(hop_count AS bigint) AS hop_count, total_cost FROM ways w JOIN f_contexts c ON c.preference = w.preference"))
