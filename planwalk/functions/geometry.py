@@ -217,3 +217,42 @@ def geojson_points(text: Column) -> tuple[Column, Column]:
     )
     points = F.transform(raw, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
     return kind, F.when(F.forall(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), points)
+
+
+def geojson_shape(text: Column) -> tuple[Column, Column]:
+    """(type, points) as geojson_points gives them, a ring without the last point that closes it."""
+    kind, points = geojson_points(text)
+    return kind, F.when(kind == "Polygon", open_ring(points)).otherwise(points)
+
+
+#: The types that a written geometry may have, and the least number of points of those that hold a list.
+LEAST_POINTS = {"Line": 2, "Polygon": 3}
+GEOMETRY_TYPES = ("Point", *LEAST_POINTS)
+
+
+def geometry_reason(text: Column) -> Column:
+    """Why a JSON geometry {type, coordinates} is refused, else null.
+
+    `missing`: null, no JSON, or neither object nor list; `type`: none of GEOMETRY_TYPES;
+    `point`: coordinates of a Point that are not {x, y} with two finite numbers; `points`: those
+    of a Line or Polygon that are no list of at least so many points.  Numbers in quotes are none.
+    """
+    value = F.try_parse_json(text)
+
+    def number(v: Column) -> Column:
+        told = F.schema_of_variant(v)
+        return F.coalesce(told.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & is_finite(F.try_variant_get(v, "$", "double")), F.lit(False))
+
+    def point(v: Column) -> Column:
+        return number(F.try_variant_get(v, "$.x", "variant")) & number(F.try_variant_get(v, "$.y", "variant"))
+
+    kind = F.try_variant_get(value, "$.type", "string")
+    listed = F.try_variant_get(value, "$.coordinates", "array<variant>")
+    least = F.create_map(*(F.lit(x) for pair in LEAST_POINTS.items() for x in pair))[kind]
+    many = (F.size(listed) >= least) & F.forall(listed, point)
+    return (
+        F.when(~F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.lit(False)), "missing")
+        .when(~F.coalesce(kind.isin(*GEOMETRY_TYPES), F.lit(False)), "type")
+        .when((kind == "Point") & ~point(F.try_variant_get(value, "$.coordinates", "variant")), "point")
+        .when((kind != "Point") & ~F.coalesce(many, F.lit(False)), "points")
+    )

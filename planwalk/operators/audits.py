@@ -135,12 +135,12 @@ def routing_audit(routes: DataFrame, stops: DataFrame, asked: DataFrame, context
     return failing(rows, checks, "request_id", "route_id").unionByName(disorder.select(*violation("order", "request_id", F.lit(None).cast("long").alias("route_id"))))
 
 
-def runtime_audit(snapshots: DataFrame, *keys: str) -> DataFrame:
-    """What is wrong with reported snapshots: state, step, total, current_node, current_segment, remaining_segments, remaining_cost, percentage, completed."""
+def runtime_checks() -> dict[str, Column]:
+    """Checks of a snapshot's state, step, total, current_node, current_segment, remaining_segments, remaining_cost, percentage and completed."""
     per, done, left, cost = (F.col(c) for c in ("percentage", "completed", "remaining_segments", "remaining_cost"))
     full = F.abs(per - 100) < TOLERANCE
     within = per.between(0, 100)
-    checks = {
+    return {
         "state": F.col("state") != "ACTIVE",
         "no_node": F.col("current_node").isNull(),
         "no_segment": F.col("current_segment").isNull(),
@@ -153,4 +153,8 @@ def runtime_audit(snapshots: DataFrame, *keys: str) -> DataFrame:
         "full_not_completed": within & ~done & full,
         "step_percentage": F.abs(F.col("step") / F.col("total") * 100 - per) > TOLERANCE,
     }
-    return failing(snapshots, checks, *keys)
+
+
+def runtime_audit(snapshots: DataFrame, *keys: str) -> DataFrame:
+    """What is wrong with reported snapshots: state, step, total, current_node, current_segment, remaining_segments, remaining_cost, percentage, completed."""
+    return failing(snapshots, runtime_checks(), *keys)

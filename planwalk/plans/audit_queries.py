@@ -109,21 +109,20 @@ def _policy() -> Column:
     return F.when(F.col("preference") == "ACCESSIBLE", cost * 2).when((F.col("preference") == "AVOID_STAIRS") & (F.col("next") % 5 == 3), cost + 3).otherwise(cost)
 
 
-@register(
-    oracle(
-        """WITH facts AS (SELECT route_id, arg_min(node, place) AS fst, arg_max(node, place) AS lst, count(nxt) AS n_hops, count_if(nxt IS NOT NULL AND base_cost IS NULL) AS n_missing, count_if(base_cost IS NOT NULL AND NOT cost > 0) AS n_bad,
+_OFFERED = """facts AS (SELECT route_id, arg_min(node, place) AS fst, arg_max(node, place) AS lst, count(nxt) AS n_hops, count_if(nxt IS NOT NULL AND base_cost IS NULL) AS n_missing, count_if(base_cost IS NOT NULL AND NOT cost > 0) AS n_bad,
   coalesce(sum(CASE WHEN cost > 0 THEN cost END), 0) AS summed FROM f_hops GROUP BY route_id),
 m AS (SELECT o.*, a.origin, a.destination, f.fst, f.lst, f.n_hops, f.n_missing, f.n_bad, f.summed, c.context_id IS NOT NULL AS wanted, o.preference IS NOT NULL AS whole, lag(o.context_id) OVER (PARTITION BY o.request_id ORDER BY o.route_id) AS before,
   row_number() OVER (PARTITION BY o.request_id, o.context_id ORDER BY o.route_id) AS nc, row_number() OVER (PARTITION BY o.request_id, o.preference ORDER BY o.route_id) AS np
-  FROM f_offers o JOIN facts f ON f.route_id = o.route_id LEFT JOIN f_asked a ON a.request_id = o.request_id LEFT JOIN f_contexts c ON c.context_id = o.context_id)
-SELECT 'missing_field' AS check_name, request_id, route_id FROM m WHERE NOT whole UNION ALL SELECT 'foreign_context', request_id, route_id FROM m WHERE NOT wanted
+  FROM f_offers o JOIN facts f ON f.route_id = o.route_id LEFT JOIN f_asked a ON a.request_id = o.request_id LEFT JOIN f_contexts c ON c.context_id = o.context_id)"""
+_OFFER_FAULTS = """SELECT 'missing_field' AS check_name, request_id, route_id FROM m WHERE NOT whole UNION ALL SELECT 'foreign_context', request_id, route_id FROM m WHERE NOT wanted
 UNION ALL SELECT 'duplicate_context', request_id, route_id FROM m WHERE nc > 1 UNION ALL SELECT 'duplicate_preference', request_id, route_id FROM m WHERE np > 1
 UNION ALL SELECT 'origin', request_id, route_id FROM m WHERE whole AND fst <> origin UNION ALL SELECT 'destination', request_id, route_id FROM m WHERE whole AND lst <> destination
 UNION ALL SELECT 'hop_count', request_id, route_id FROM m WHERE whole AND hop_count <> n_hops UNION ALL SELECT 'missing_edge', request_id, route_id FROM m WHERE whole AND n_missing > 0
 UNION ALL SELECT 'bad_cost', request_id, route_id FROM m WHERE whole AND n_bad > 0 UNION ALL SELECT 'cost_sum', request_id, route_id FROM m WHERE whole AND n_missing + n_bad = 0 AND abs(summed - total_cost) > 1e-9
 UNION ALL SELECT DISTINCT 'order', request_id, cast(NULL AS bigint) FROM m WHERE NOT wanted OR context_id <= before"""
-    )
-)
+
+
+@register(oracle(f"WITH {_OFFERED} {_OFFER_FAULTS}"))
 def routing_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of the routes offered in reply to each customer's request, under policies that change costs."""
     routes, stops, asked, contexts, links = (view(spark, sf_dir, n) for n in ("f_offers", "f_stops", "f_asked", "f_contexts", "f_links"))
