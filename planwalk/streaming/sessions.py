@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planwalk.operators.sessions import TRANSITIONS
@@ -66,36 +66,97 @@ def lifecycle_batch(calls: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataF
     return followed.select("session_id", "event_id", "state", "accepted"), reached.unionByName(others)
 
 
-def drained_calls(calls: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], held: str, columns: str, name: str) -> DataFrame:
+#: Buckets of sessions by which kept state is written: a batch rewrites those alone in which it has calls.
+BUCKETS = 64
+
+
+def _there(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern matches, by the file system of the folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return [f.getPath().toString() for f in found or []]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Kept:
+    """State of sessions under a folder, in buckets by a hash of the session; for each batch a table tells which batch last wrote each bucket.
+
+    A batch reads and rewrites only the buckets in which it has calls.  Its table of versions is
+    written last, so a batch that was cut off is run again from the versions before it.  At
+    most one row per bucket comes to the driver.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, held: str, buckets: int):
+        self.spark, self.folder, self.schema, self.buckets = spark, folder, f"session_id long, held {held}", buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("session_id"), F.lit(self.buckets)).cast("int")
+
+    def versions(self, batch_id: int) -> dict[int, int]:
+        """Bucket to the batch that wrote it last, as of the end of a batch."""
+        if batch_id < 0:
+            return {}
+        return dict(self.spark.read.schema("bucket int, version long").parquet(f"{self.folder}/versions-{batch_id}").collect())
+
+    def of(self, calls: DataFrame, batch_id: int) -> tuple[DataFrame, list[int]]:
+        """What is kept of the sessions in the buckets of a batch's calls, and those buckets."""
+        touched = sorted(r[0] for r in calls.select(self.bucket().alias("b")).distinct().collect())
+        known = self.versions(batch_id - 1)
+        paths = [f"{self.folder}/kept-{known[b]}/bucket={b}" for b in touched if b in known]
+        return (self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)), touched
+
+    def put(self, keep: DataFrame, touched: list[int], batch_id: int) -> None:
+        """Writes the buckets of a batch, then its versions; then drops what no later run of a batch can ask for."""
+        keep.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/kept-{batch_id}")
+        before = self.versions(batch_id - 1)
+        now = before | dict.fromkeys(touched, batch_id)
+        self.spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions-{batch_id}")
+        # this batch may still be run again, from the versions before it; the one before may not
+        for b, version in self.versions(batch_id - 2).items() if batch_id >= 2 else ():
+            if before[b] != version:
+                _remove(self.spark, f"{self.folder}/kept-{version}/bucket={b}")
+
+    def rows(self) -> list[str]:
+        """Folders of the rows of all batches that were finished."""
+        return [f"{self.folder}/rows-{v.rsplit('-', 1)[1].split('/')[0]}" for v in _there(self.spark, f"{self.folder}/versions-*/_SUCCESS")]
+
+
+def drained_calls(calls: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], held: str, columns: str, name: str, folder: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Runs a stream of calls over all that is there: step(batch, kept) gives the rows of a batch and what is kept of each session.
 
     Within a batch, calls count in the order of (ts, event_id) whatever files and splits they
     come from; all that is there at the start is one batch.  Later batches carry on from what is kept.
-    A batch that is run again replaces its own folders.
+    A batch that is run again replaces its own folders.  `folder`, in storage that all executors
+    share, holds checkpoint, state and rows: a stream that is started again with the same folder
+    takes what is new, and all rows so far come back.  Without one, each call has its own.
     """
-    spark, out = calls.sparkSession, scratch(calls.sparkSession, name)
-    kept_of, done = f"session_id long, held {held}", []
+    spark = calls.sparkSession
+    out = folder or scratch(spark, name)
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        own = batch.sparkSession
-        kept = own.read.schema(kept_of).parquet(f"{out}/kept-{batch_id - 1}") if batch_id else own.createDataFrame([], kept_of)
-        rows, keep = step(written(batch, "calls"), kept)
+        state, new = Kept(batch.sparkSession, out, held, buckets), written(batch, "calls")
+        kept, touched = state.of(new, batch_id)
+        rows, keep = step(new, kept)
         rows.write.mode("overwrite").parquet(f"{out}/rows-{batch_id}")
-        keep.write.mode("overwrite").parquet(f"{out}/kept-{batch_id}")
-        done.append(f"{out}/rows-{batch_id}")
+        state.put(keep, touched, batch_id)
 
     calls.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(columns).parquet(*dict.fromkeys(done)) if done else spark.createDataFrame([], columns)
+    done = Kept(spark, out, held, buckets).rows()
+    return spark.read.schema(columns).parquet(*done) if done else spark.createDataFrame([], columns)
 
 
-def walk(calls: DataFrame) -> DataFrame:
-    """(session_id, event_id, call_no): a stream of calls (session_id, event_id, ts) numbered per session, run over all that is there."""
-    return drained_calls(calls, walk_batch, "long", "session_id long, event_id long, call_no long", "walk")
+def walk(calls: DataFrame, folder: str | None = None) -> DataFrame:
+    """(session_id, event_id, call_no): a stream of calls (session_id, event_id, ts) numbered per session, run over all that is there; with a folder it carries on from there."""
+    return drained_calls(calls, walk_batch, "long", "session_id long, event_id long, call_no long", "walk", folder)
 
 
-def lifecycle(calls: DataFrame) -> DataFrame:
-    """(session_id, event_id, state, accepted): every action of a stream (session_id, event_id, ts, action) with the state it leads to, run over all that is there."""
-    return drained_calls(calls, lifecycle_batch, "string", "session_id long, event_id long, state string, accepted boolean", "lifecycle")
+def lifecycle(calls: DataFrame, folder: str | None = None) -> DataFrame:
+    """(session_id, event_id, state, accepted): every action of a stream (session_id, event_id, ts, action) with the state it leads to, run over all that is there; with a folder it carries on from there."""
+    return drained_calls(calls, lifecycle_batch, "string", "session_id long, event_id long, state string, accepted boolean", "lifecycle", folder)
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:

@@ -75,3 +75,53 @@ def test_later_batches_carry_on(spark):
         for s in (1, 2, None):
             assert [r[column] for r in rows if r["session_id"] == s] == wanted
         assert {(r["session_id"], r["held"]) for r in kept.collect()} == {(s, wanted[-1]) for s in (1, 2, None)}
+
+
+def test_streams_resume_from_their_folder(spark, tmp_path):
+    """Files that come later are taken by streams started again; state of untouched buckets stays where it was written."""
+    rng = random.Random(8)
+    rows = [(k, k, rng.randrange(12) if k < 300 else 3, rng.choice(["START", "PAUSE", "RESUME", "CANCEL", "COMPLETE"])) for k in range(400)]
+    schema = "event_id long, ts int, session_id long, action string"
+    wanted, now = {}, {}
+    for e, _, s, a in rows:
+        n, state = now.get(s, (0, "CREATED"))
+        after = next((t for name, sources, t in TRANSITIONS if name == a and state in sources), None)
+        now[s] = (n + 1, after or state)
+        wanted[e] = (*now[s], after is not None)
+    source, walk_at, life_at = (f"file://{tmp_path}/{n}" for n in ("in", "walk", "life"))
+    for low, high in ((0, 150), (150, 300), (300, 350), (350, 400), (400, 400)):
+        if low < high:
+            spark.createDataFrame(rows[low:high], schema).coalesce(1).write.mode("append").parquet(source)
+        calls = spark.readStream.schema(schema).parquet(source)
+        steps = sessions.walk(calls.drop("action"), walk_at).collect()
+        assert {r["event_id"]: r["call_no"] for r in steps} == {e: wanted[e][0] for e in range(high)} and len(steps) == high
+        states = sessions.lifecycle(calls, life_at).collect()
+        assert {r["event_id"]: (r["state"], r["accepted"]) for r in states} == {e: wanted[e][1:] for e in range(high)}
+    # the last batches hold calls of one session alone
+    for kept in ("walk/kept-2", "walk/kept-3", "life/kept-3"):
+        assert len(list((tmp_path / kept).glob("bucket=*"))) == 1
+    assert not list((tmp_path / "walk/kept-0").glob("bucket=*"))
+
+
+def test_a_batch_cut_off_is_run_again(spark, tmp_path):
+    schema, folder = "session_id long, event_id long, ts int", f"file://{tmp_path}/walk"
+    source = f"file://{tmp_path}/in"
+    spark.createDataFrame([(1, 1, 1), (2, 2, 2)], schema).coalesce(1).write.mode("append").parquet(source)
+    calls = spark.readStream.schema(schema).parquet(source)
+    sessions.walk(calls, folder)
+    spark.createDataFrame([(1, 3, 3)], schema).coalesce(1).write.mode("append").parquet(source)
+    failing = {"left": 1}
+
+    def once(batch, kept):
+        rows, keep = sessions.walk_batch(batch, kept)
+        if failing["left"]:
+            failing["left"] = 0
+            rows.write.mode("overwrite").parquet(f"{folder}/rows-1")
+            raise RuntimeError("lost")
+        return rows, keep
+
+    columns = "session_id long, event_id long, call_no long"
+    with pytest.raises(Exception, match="lost"):
+        sessions.drained_calls(calls, once, "long", columns, "walk", folder)
+    found = sessions.drained_calls(calls, once, "long", columns, "walk", folder).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 1), (1, 3, 2), (2, 2, 1)]
