@@ -86,8 +86,3 @@ def validation_status(nodes: DataFrame, edges: DataFrame, violations: DataFrame)
     rows = degree_statistics(nodes, edges).join(parts, "graph_id").join(errors, "graph_id", "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0)))
     state = F.when(F.col("n_errors") > 0, "INVALID").when((F.col("n_isolated") > 0) | (F.col("n_components") > 1), "VALID_WITH_WARNINGS").otherwise("VALID")
     return rows.select("graph_id", "n_errors", "n_components", "n_isolated", state.alias("validation"), F.when(state == "INVALID", "FAILED").otherwise("READY").alias("status"))
-
-
-def one_to_one_audit(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n): keys that should be unique and are not."""
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

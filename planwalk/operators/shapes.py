@@ -64,6 +64,14 @@ def clean(shapes: DataFrame) -> DataFrame:
     return with_reason(shapes).where("reason IS NULL").drop("reason")
 
 
+def removal_warnings(shapes: DataFrame) -> DataFrame:
+    """(import_id, ord, place, warning): a text for each shape that cleaning removes; a plan's invalid ones come before its duplicates, each in order."""
+    gone = with_reason(shapes).where("reason IS NOT NULL")
+    text = F.format_string("%s '%s' removed: %s", "type", "id", "reason")
+    place = F.row_number().over(Window.partitionBy("import_id").orderBy(F.col("reason") == "duplicate", "ord"))
+    return gone.select("import_id", "ord", (place - 1).cast("long").alias("place"), text.alias("warning"))
+
+
 def counts(shapes: DataFrame) -> DataFrame:
     """Counts by type, by layer and in total, in one pass."""
     keyed = shapes.select("import_id", "type", F.coalesce("layer", F.lit("unlayered")).alias("layer_key"))
@@ -301,6 +309,36 @@ def model_counts(shapes: DataFrame, topology: Topology, found: DataFrame) -> Dat
     return out.join(of_type, "import_id", "left").na.fill(0)
 
 
+def geometry_models(shapes: DataFrame, topology: Topology, found: DataFrame) -> DataFrame:
+    """One row per plan: import_id, shapes, warnings, nodes, edges, candidates and box, each list in its order.
+
+    A row is as large as its document, which is bounded, as nodes, edges and candidates are
+    linear in a plan's shapes.  Relationships are not: pairs may be as many as the square, so
+    they stay a table of their own (candidate_relationships).  Plans of which nothing is left
+    have empty lists and no box.
+    """
+    t = topology
+
+    def listed(rows: DataFrame, order: list[str], columns: list[str], name: str) -> DataFrame:
+        item = F.struct(F.struct(*order).alias("at"), F.struct(*columns).alias("v"))
+        return rows.groupBy("import_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))
+
+    lines = edges(t.shapes).join(t.shapes.select("import_id", "id", "ord"), KEY)
+    lists = [
+        listed(t.shapes, ["ord"], ["id", "type", "layer"], "shapes"),
+        listed(removal_warnings(shapes), ["place"], ["warning"], "warnings").withColumn("warnings", F.col("warnings.warning")),
+        listed(nodes(t.shapes), ["node_no"], ["node_no", "x", "y", "degree"], "nodes"),
+        listed(lines, ["ord", "seg"], ["id", "seg", "from_node", "to_node"], "edges"),
+        listed(found, ["place", "candidate_id"], ["candidate_type", "candidate_id", "ids"], "candidates"),
+    ]
+    out = shapes.select("import_id").distinct()
+    for rows in lists:
+        name = rows.columns[1]
+        out = out.join(rows, "import_id", "left").withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+    around = extent(t.shapes).select("import_id", F.struct(*BOX).alias("box"))
+    return out.join(around, "import_id", "left")
+
+
 def candidate_touches(touching: DataFrame, members: DataFrame) -> DataFrame:
     """(import_id, a, b): touching shapes lifted to the candidates (candidate_id, id) that they belong to; no candidate touches itself."""
     out = touching

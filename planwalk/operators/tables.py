@@ -88,7 +88,13 @@ def nest(children: DataFrame, parent: str, order: str, *columns: str) -> DataFra
     return children.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("items"))
 
 
+def upload_reasons(files: DataFrame, kinds: tuple[str, ...], most_bytes: int = 20 * 1024 * 1024) -> DataFrame:
+    """Uploads (mime, length) with the reason why each is refused, null if it is taken: no_file without a length, unsupported_type, too_large."""
+    reason = F.when(F.col("length").isNull(), "no_file").when(~F.coalesce(F.col("mime").isin(*kinds), F.lit(False)), "unsupported_type").when(F.col("length") > most_bytes, "too_large")
+    return files.withColumn("reason", reason)
+
+
 def accepted_files(files: DataFrame, kinds: tuple[str, ...], most_bytes: int = 20 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) uploads (mime, length): only the given kinds, and no larger than the limit."""
-    ok = F.coalesce(F.col("mime").isin(*kinds) & (F.col("length") <= most_bytes), F.lit(False))
-    return files.where(ok), files.where(~ok)
+    """(accepted, rejected) uploads (mime, length): only the given kinds, and no larger than the limit; rejected ones with their reason."""
+    judged = upload_reasons(files, kinds, most_bytes)
+    return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")

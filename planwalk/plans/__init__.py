@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("graph_queries", "session_queries", "shape_queries", "object_queries", "svg_queries", "stream_queries", "audit_queries", "report_queries")
+MODULES = ("graph_queries", "session_queries", "shape_queries", "object_queries", "svg_queries", "stream_queries", "audit_queries", "report_queries", "table_queries")
 
 
 def load() -> None:
