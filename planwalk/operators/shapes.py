@@ -39,8 +39,9 @@ def segments_column() -> Column:
 
 
 def degenerate() -> Column:
-    w, h, r, kind = (F.col(c) for c in ("w", "h", "r", "type"))
-    flat = F.when(kind == "circle", r == 0).when(kind == "rect", (w == 0) | (h == 0)).when(kind == "text", False).otherwise((w == 0) & (h == 0))
+    """A circle without radius, a rect without an extent, or a line whose ends are one point."""
+    x, y, w, h, r, x2, y2, kind = (F.col(c) for c in ("x", "y", "w", "h", "r", "x2", "y2", "type"))
+    flat = F.when(kind == "circle", r == 0).when(kind == "rect", (w == 0) | (h == 0)).when(kind == "text", False).otherwise((x == x2) & (y == y2))
     return F.coalesce(flat, F.lit(False))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planwalk.functions import geometry
-from planwalk.operators import reports
+from planwalk.operators import reports, shapes, tables
 from planwalk.operators.objects import STATUS_HOPS
 from planwalk.sources import svg
 
@@ -137,3 +137,48 @@ def test_audits_of_empty_tables(spark):
     graphs = spark.createDataFrame([(1,), (1,)], "graph_id long")
     found = reports.detection_audit(graphs, empty("graph_id long, model_id long, uso_id long"), empty("ord long, graph_id long, model_id long, candidate_type string")).collect()
     assert sorted(tuple(r) for r in found) == [("no_detections", 1, None), ("no_models", 1, None)]
+
+
+def test_geometry_models_of_plans(spark):
+    """A plan of which nothing is left, repeated shapes, and a row per plan whatever its candidates."""
+    schema = "import_id long, ord long, id string, type string, layer string, x double, y double, w double, h double, r double, x2 double, y2 double"
+    rows = [
+        (1, 1, "a", "line", None, 0.0, 0.0, None, None, None, 10.0, 0.0),
+        (1, 2, "b", "line", None, 0.0, 0.0, None, None, None, 10.0, 0.0),
+        (1, 3, "c", "rect", "L", 50.0, 50.0, 4.0, 2.0, None, None, None),
+        (1, 4, "d", "circle", "L", 0.0, 0.0, None, None, 0.0, None, None),
+        (2, 5, "e", "line", None, 1.0, 1.0, None, None, None, 1.0, 1.0),
+    ]
+    given = spark.createDataFrame(rows, schema)
+    topology = shapes.Topology(shapes.clean(given))
+    found = {r["import_id"]: r for r in shapes.geometry_models(given, topology, shapes.candidates(topology)).collect()}
+    one, two = found[1], found[2]
+    assert [s["id"] for s in one["shapes"]] == ["a", "c"]
+    assert one["warnings"] == ["circle 'd' removed: zero-length or degenerate", "line 'b' removed: duplicate"]
+    assert [(n["node_no"], n["x"], n["y"], n["degree"]) for n in one["nodes"]] == [(1, 0.0, 0.0, 1), (2, 10.0, 0.0, 1), (3, 50.0, 50.0, 2), (4, 54.0, 50.0, 2), (5, 54.0, 52.0, 2), (6, 50.0, 52.0, 2)]
+    assert [(e["id"], e["seg"], e["from_node"], e["to_node"]) for e in one["edges"]] == [("a", 0, 1, 2), ("c", 0, 3, 4), ("c", 1, 4, 5), ("c", 2, 5, 6), ("c", 3, 6, 3)]
+    assert [c["candidate_type"] for c in one["candidates"]] == ["BOUNDARY", "ENCLOSURE", "PASSAGE"]
+    assert tuple(one["box"]) == (0.0, 0.0, 54.0, 52.0)
+    assert (two["shapes"], two["nodes"], two["edges"], two["candidates"], two["box"]) == ([], [], [], [], None)
+    assert two["warnings"] == ["line 'e' removed: zero-length or degenerate"]
+
+
+def test_reasons_of_uploads(spark):
+    files = [(1, "image/svg+xml", 0), (2, "image/svg+xml", 101), (3, "image/png", 5), (4, None, 5), (5, "image/svg+xml", None), (5, "image/svg+xml", None), (6, "image/svg+xml", 100)]
+    rows = spark.createDataFrame(files, "k long, mime string, length long")
+    found = tables.upload_reasons(rows, ("image/svg+xml",), 100).collect()
+    assert sorted((r["k"], r["reason"] or "") for r in found) == [(1, ""), (2, "too_large"), (3, "unsupported_type"), (4, "unsupported_type"), (5, "no_file"), (5, "no_file"), (6, "")]
+    taken, refused = tables.accepted_files(rows, ("image/svg+xml",), 100)
+    assert sorted(r["k"] for r in taken.collect()) == [1, 6] and refused.count() == 5
+
+
+def test_events_of_snapshots_that_follow_positions(spark):
+    states = spark.createDataFrame([(1, 1, 7, "ACTIVE", True), (2, 1, 7, "ACTIVE", False), (3, 1, 7, "ACTIVE", None)], "k long, session long, route long, state string, completed boolean")
+    events = spark.createDataFrame(
+        [(2, 0, "NodeReached", 1, 7), (2, 1, "SegmentEntered", 1, 8), (2, 2, "DestinationReached", None, 7), (3, 0, "Left", 1, None), (3, 1, "Left", 2, 7), (9, 0, "Left", 1, 7)],
+        "k long, place long, event_type string, event_session long, event_route long",
+    )
+    found = reports.event_faults(events, states, "k", must_end=True).collect()
+    told = {("completed_without_destination", 1, None), ("order", 2, 1), ("other_route", 2, 1), ("other_session", 2, 2), ("destination_not_completed", 2, None)}
+    told |= {("unsupported_type", 3, 0), ("unsupported_type", 3, 1), ("duplicate_type", 3, 1), ("other_route", 3, 0), ("other_session", 3, 1)}
+    assert {tuple(r) for r in found} == told and len(found) == len(told)
