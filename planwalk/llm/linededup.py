@@ -16,9 +16,13 @@ compared inside the join.  What is left is verified by a banded edit distance.
 A key that more than COMMON lines share does not list their pairs.  All its lines are compared
 with the first of them, which settles most of a group of variants in one round.  Lines that
 are still open meet under their key again, now in semi-joins: a line leaves them once, if any
-earlier line is near.  Lines of keys beyond BLOCK meet by segments of what is left of them
-without the segment they share, and keys that are common even then are dealt into blocks.
-(Lines that differ in one place alone still have their sketches compared with each other.)
+earlier line is near.  Of the lines of a key beyond BLOCK, only what is left of them without
+the segment they share is looked at, and of that only what stands between the start and the
+end that all of them have in common.  Where this is short for so many lines (numbered lists),
+each line posts its masks: all texts that come of it by few deletions and by few signs put
+out of sight.  Lines are near if and only if they share a mask at few enough edits, so the
+first line of each mask settles the later ones, and no pair is listed.  All others meet by
+segments of the rest, and keys that are common even then post masks or are dealt into blocks.
 Keys that hold more than one in HEAVY_KEYS of all rows are fewer than HEAVY_KEYS, so they are
 broadcast and their rows are never dealt by key.
 
@@ -43,6 +47,9 @@ SPAN = 8
 COMMON = 128
 HEAVY_KEYS = 1 << 17
 BLOCK = 4096
+#: Longest part between common start and end of which masks are made; lines for each mask of one beyond which they are.
+MASKED = 64
+LINES_A_MASK = 8
 #: Letters counted in the sketch, four bits each; the next four bits hold the length, the next eight the slot.
 SKETCH_LETTERS = "etanos"
 #: Signs counted in a second sketch of lines that meet under common keys.
@@ -121,16 +128,50 @@ def _keys(line: str, group: str, low: int, edits: int) -> Column:
 
 
 def _rest(line: str, slot: str, low: int, edits: int) -> Column:
-    """The line without the segment of a slot."""
+    """The line with a line end in place of the segment of a slot."""
     slots = _slots(edits)
     cases = []
     for k in range(2 * len(slots)):
         i, shift = slots[k % len(slots)]
         start, size = _place(i, shift, _class(low) if k < len(slots) else f"({_class(low)} + 1)", low, edits)
-        cases.append(f"WHEN {k} THEN concat(substring({line}, 1, {start}), substring({line}, {start} + {size} + 1, n))")
+        cases.append(f"WHEN {k} THEN concat(substring({line}, 1, {start}), '\\n', substring({line}, {start} + {size} + 1, n))")
     return F.expr(f"CASE {slot} {' '.join(cases)} END")
 
 
+def _n_masks(n: Column, edits: int) -> Column:
+    """How many masks a text of n characters has: at each of up to `edits` places a deletion or a sign out of sight."""
+    out, places = F.lit(1.0), F.lit(1.0)
+    for k in range(edits):
+        places = places * F.greatest(n - k, F.lit(0)) * 2 / (k + 1)
+        out = out + places
+    return out
+
+
+def _masks(text: str, edits: int) -> Column:
+    """Array of (head, at, hidden, cut, before): masks of a text, whose characters from `at` on are still to be added to the head.
+
+    A line end in the text is a mark that no edit touches.  A sign out of sight is a line end
+    too; `before` of them stand before the mark, so that masks of two readings are not taken for one.
+    """
+    mark = F.instr(text, "\n")
+
+    def edited(v: Column) -> Column:
+        places = F.filter(F.sequence(v["at"] + 1, F.length(text)), lambda i: i != mark)
+        places = F.when(v["at"] < F.length(text), places).otherwise(F.array().cast("array<int>"))
+
+        def both(i: Column) -> Column:
+            head = F.concat(v["head"], F.call_function("substring", F.col(text), v["at"] + 1, i - v["at"] - 1))
+            hidden = F.struct(F.concat(head, F.lit("\n")).alias("head"), i.alias("at"), (v["hidden"] + 1).alias("hidden"), v["cut"].alias("cut"), (v["before"] + (i < mark).cast("int")).alias("before"))
+            return F.array(hidden, F.struct(head.alias("head"), i.alias("at"), v["hidden"].alias("hidden"), (v["cut"] + 1).alias("cut"), v["before"].alias("before")))
+
+        return F.flatten(F.transform(places, both))
+
+    made = [F.array(F.struct(F.lit("").alias("head"), *(F.lit(0).alias(c) for c in ("at", "hidden", "cut", "before"))))]
+    for _ in range(edits):
+        made.append(F.flatten(F.transform(made[-1], edited)))
+    return F.concat(*made)
+
+
 def _let(value: Column, use) -> Column:
     """use(value) with the value computed once; Spark evaluates every mention of a lambda's expression anew."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -151,23 +192,25 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(edits + 1).cast("long")).otherwise(found)
 
 
+def _common(a: Column, b: Column) -> Column:
+    """Length of the common start of two arrays."""
+    first = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(first == 0, F.least(F.size(a), F.size(b))).otherwise(first - 1).cast("int")
+
+
 def _trimmed(texts: Column, edits: int) -> Column:
     """Both character arrays (a, b) without their common start and end, but for `edits` characters of each, and their sizes (m, n)."""
 
-    def common(a: Column, b: Column) -> Column:
-        first = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
-        return F.when(first == 0, F.least(F.size(a), F.size(b))).otherwise(first - 1).cast("int")
-
     def with_start(t: Column) -> Column:
         shorter = F.least(F.size(t["a"]), F.size(t["b"]))
-        end = F.least(common(F.reverse(t["a"]), F.reverse(t["b"])), shorter - t["start"])
+        end = F.least(_common(F.reverse(t["a"]), F.reverse(t["b"])), shorter - t["start"])
         return F.struct(t["a"].alias("a"), t["b"].alias("b"), F.greatest(t["start"] - edits, F.lit(0)).alias("start"), F.greatest(end - edits, F.lit(0)).alias("end"))
 
     def cut(t: Column) -> Column:
         m, n = F.size(t["a"]) - t["start"] - t["end"], F.size(t["b"]) - t["start"] - t["end"]
         return F.struct(F.slice(t["a"], t["start"] + 1, m).alias("a"), F.slice(t["b"], t["start"] + 1, n).alias("b"), m.alias("m"), n.alias("n"))
 
-    started = _let(texts, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), common(t["a"], t["b"]).alias("start")))
+    started = _let(texts, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), _common(t["a"], t["b"]).alias("start")))
     return _let(_let(started, with_start), cut)
 
 
@@ -285,29 +328,106 @@ def _meet(b: DataFrame, a: DataFrame, condition: Column, columns: list[str] = HE
     return found.select(*(F.col(f"{c}_{keep}").alias(c) for c in ("group", "parts", *columns))).distinct()
 
 
+def _narrow(rows: DataFrame, n_rows: int, edits: int) -> tuple[DataFrame, DataFrame]:
+    """(group, lead, trail, k) of the groups of rows (group, text) for which masks are less work than pairs; and those of them with more than one in HEAVY_KEYS of n_rows, fewer than HEAVY_KEYS.
+
+    Texts of a group share their first `lead` and their last `trail` characters.
+    """
+    ends = {"lo": F.min("text"), "hi": F.max("text"), "end_lo": F.min(F.reverse("text")), "end_hi": F.max(F.reverse("text"))}
+    size = {"k": F.count(F.lit(1)), "least": F.min(F.length("text")), "most": F.max(F.length("text"))}
+    found = rows.groupBy("group").agg(*(c.alias(name) for name, c in (ends | size).items()))
+
+    def shared(a: str, b: str) -> Column:
+        x, y = (F.slice(F.split(c, ""), F.lit(1), F.length(c)) for c in (a, b))
+        return _common(x, y)
+
+    found = found.withColumn("lead", shared("lo", "hi")).withColumn("trail", F.least(shared("end_lo", "end_hi"), F.col("least") - F.col("lead")))
+    left = F.col("most") - F.col("lead") - F.col("trail")
+    found = written(found.where((left <= MASKED) & (F.col("k") > LINES_A_MASK * _n_masks(left, edits))).select("group", "lead", "trail", "k"), "narrow-groups")
+    return found, found.where(F.col("k") > max(BLOCK, n_rows // HEAVY_KEYS))
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """rows of the groups (inner: with their columns) or of no group (left_anti); the heavy ones of the groups are broadcast."""
+    few = F.broadcast(heavy)
+    rest = rows.join(F.broadcast(heavy.select("group")), "group", "left_anti").join(groups.join(F.broadcast(heavy.select("group")), "group", "left_anti"), "group", how)
+    return rest.unionByName(rows.join(few, "group")) if how == "inner" else rest
+
+
+def _gone_by_masks(rows: DataFrame, edits: int) -> DataFrame:
+    """(ord) of the open rows (group, text, ord, open) that share a mask with one of smaller ord at `edits` edits or fewer: those that one edit settles first."""
+    gone = rows.where("false").select("ord")
+    for budget in range(1, edits + 1):
+        made = rows.select("group", "text", "ord", "open", F.explode(_masks("text", budget)).alias("m"))
+        mask = F.concat("m.head", F.expr("substring(text, m.at + 1, length(text))"))
+        keys = [F.xxhash64("group", mask, "m.before").alias("m1"), F.xxhash64("m.before", mask, "group", F.lit(1)).alias("m2")]
+        made = made.select(*keys, F.col("m.cut").alias("cut"), (F.lit(budget) - F.col("m.hidden") - F.col("m.cut")).alias("spare"), "ord", "open")
+        asked = made.where("open").select("m1", "m2", "spare", "ord")
+        if budget > 1:
+            made = in_sieve(made, "m1", sieve(asked, "m1")).where("held")
+        least = made.groupBy("m1", "m2").agg(*(F.min(F.when(F.col("cut") <= t, F.col("ord"))).alias(f"first{t}") for t in range(budget + 1)))
+        first = F.get(F.array(*(F.col(f"first{t}") for t in range(budget + 1))), F.col("spare"))
+        found = written(asked.join(least, ["m1", "m2"]).where(first < F.col("ord")).select("ord").distinct(), "masked-gone")
+        gone = gone.unionByName(found)
+        if budget < edits:
+            left = rows.join(found.withColumn("found", F.lit(True)), "ord", "left").withColumn("open", F.col("open") & F.col("found").isNull()).drop("found")
+            rows = written(left, "masked-left")
+    return gone
+
+
+def _settle(rows: DataFrame, groups: DataFrame, heavy: DataFrame, edits: int) -> DataFrame:
+    """(ord) of the open rows of the groups that an earlier one is near to."""
+    core = F.expr("substring(text, lead + 1, length(text) - lead - trail)")
+    # a hot group's rows are spread before their masks are made
+    cut = _of_groups(rows, groups, heavy).select("group", core.alias("text"), "ord", "open").repartition("ord")
+    return _gone_by_masks(written(cut, "narrow-rows"), edits)
+
+
 def _gone_in_common(common: DataFrame, gone: DataFrame, keyed: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(dk, dk2, pos) of the lines, beside those that are gone, that have an earlier one near under a common key.
 
     Both lines of a near pair are near without the segment they share, so they meet under a
-    key of that as well.
+    key of that as well.  Lines that are near on either side of it are near as a whole.
     """
-    common = common.join(gone.distinct().withColumn("gone", F.lit(True)), [*ROW, "pos"], "left").withColumn("open", F.col("gone").isNull())
-    near_by = common.where(F.col("k") <= BLOCK).select(F.col("key").alias("group"), F.lit(1).alias("parts"), F.lit(False).alias("probe2"), "open", *(c for c in HELD if c != "probe2"))
+    order = ["id", *ROW, "pos"]
+    common = common.join(gone.distinct().withColumn("gone", F.lit(True)), [*ROW, "pos"], "left").withColumn("open", F.col("gone").isNull()).drop("gone")
     large = common.where(F.col("k") > BLOCK)
-    known = _texts(written(large.select("lid", *ROW, "pos").distinct(), "common-lines"), keyed).withColumn("n", F.length("line"))
-    rest = large.withColumnRenamed("key", "above").join(known, "lid").withColumn("rest", _rest("line", "slot", min_chars, edits)).withColumn("n", F.length("rest"))
-    rest = rest.select("open", *(c for c in HELD if c != "probe2"), F.posexplode(_keys("rest", "above", 0, edits)).alias("slot2", "key")).where("key IS NOT NULL")
-    rest = written(rest.withColumn("probe2", _probes(F.col("slot2"), edits)).drop("slot2"), "common-rests")
-    _, heavy = _shared(rest, rest.count())
-    parts = heavy.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"))
-    dealt = rest.join(F.broadcast(parts), "key", "left").select(F.col("key").alias("group"), F.coalesce("parts", F.lit(1)).alias("parts"), "probe2", "open", *(c for c in HELD if c != "probe2"))
-    rows = written(near_by.unionByName(dealt), "common-rows")
+    settled, dealt = None, None
+    if not large.isEmpty():
+        lines = written(_texts(written(large.select("lid", *ROW, "pos").distinct(), "common-lines"), keyed), "large-texts")
+        # numbers in the order of lines, so that the first of many is a minimum of longs
+        at = large.select("lid", *order).distinct().orderBy(*order)
+        numbers = written(at.select("lid", F.monotonically_increasing_id().alias("ord")), "line-order")
+        known = lines.join(numbers, "lid").withColumn("n", F.length("line"))
+        rest = large.withColumnRenamed("key", "group").join(known, "lid").withColumn("text", _rest("line", "slot", min_chars, edits)).drop("line", "n", "k", "slot")
+        rest = written(rest, "large-rests")
+        narrow, top = _narrow(rest, rest.count(), edits)
+        found = _settle(rest.select("group", "text", "ord", "open"), narrow, top, edits)
+        rest = _of_groups(rest, narrow, top, "left_anti").withColumn("bare", F.translate("text", "\n", "")).withColumn("n", F.length("bare"))
+        held = ["open", "ord", *(c for c in HELD if c != "probe2")]
+        posts = rest.select(*held, "text", F.posexplode(_keys("bare", "group", 0, edits)).alias("slot2", "key")).where("key IS NOT NULL").withColumn("probe2", _probes(F.col("slot2"), edits))
+        rests = written(posts.select(*held, "probe2", "key"), "common-rests")
+        shared, heavy = _shared(rests, rests.count())
+        again = shared.where(F.col("k") > BLOCK)
+        if not again.isEmpty():
+            texts = written(posts.join(again.select("key"), "key").select(F.col("key").alias("group"), "text", "ord", "open"), "second-rests")
+            narrow, top = _narrow(texts, rests.count(), edits)
+            found = found.unionByName(_settle(texts, narrow, top, edits))
+            rests = _of_groups(rests.withColumnRenamed("key", "group"), narrow, top, "left_anti").withColumnRenamed("group", "key")
+        settled = written(found.distinct().join(numbers, "ord").select("lid"), "settled")
+        parts = heavy.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"))
+        dealt = rests.join(F.broadcast(parts), "key", "left").select(F.col("key").alias("group"), F.coalesce("parts", F.lit(1)).alias("parts"), "probe2", "open", *(c for c in HELD if c != "probe2"))
+    rows = common.where(F.col("k") <= BLOCK).select(F.col("key").alias("group"), F.lit(1).alias("parts"), F.lit(False).alias("probe2"), "open", *(c for c in HELD if c != "probe2"))
+    if dealt is not None:
+        rows = rows.unionByName(dealt).join(settled.withColumn("settled", F.lit(True)), "lid", "left").withColumn("open", F.col("open") & F.col("settled").isNull()).drop("settled")
+    rows = written(rows, "common-rows")
     later = written(_meet(rows.where("open"), rows, _alike(edits)), "common-later")
     earlier = written(_meet(later, rows, _alike(edits), keep="a"), "common-earlier")
     asked = written(later.unionByName(earlier).select("lid", *ROW, "pos").distinct(), "common-asked")
     lines = written(_texts(asked, keyed).withColumn("more", _sketch(F.col("line"), MORE_SIGNS)), "common-texts")
     near = _alike(edits, "more") & (banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
-    return _meet(later.join(lines, "lid"), earlier.join(lines, "lid"), near, [*HELD, "line", "more"]).select(*ROW, "pos")
+    out = _meet(later.join(lines, "lid"), earlier.join(lines, "lid"), near, [*HELD, "line", "more"]).select(*ROW, "pos")
+    return out if settled is None else out.unionByName(common.join(settled, "lid", "left_semi").select(*ROW, "pos").distinct())
 
 
 def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -116,9 +116,10 @@ def kept_lines(texts, edits, least):
     return ["\n".join(s for p, s in enumerate(t.split("\n")) if len(s) < least or (first[s] == (d, p) and s not in gone)) for d, t in enumerate(texts)], gone
 
 
-@pytest.mark.parametrize("edits, common", [(1, 128), (1, 1), (2, 128), (2, 1), (3, 1)])
-def test_common_segments_equal_brute_force(spark, monkeypatch, edits, common):
+@pytest.mark.parametrize("edits, common, masks", [(1, 128, 8), (1, 1, 0), (2, 128, 8), (2, 1, 8), (2, 1, 0), (3, 1, 8)])
+def test_common_segments_equal_brute_force(spark, monkeypatch, edits, common, masks):
     monkeypatch.setattr(linededup, "COMMON", common)
+    monkeypatch.setattr(linededup, "LINES_A_MASK", masks)
     monkeypatch.setattr(linededup, "BLOCK", 8)
     monkeypatch.setattr(linededup, "HEAVY_KEYS", 40)
     rng = random.Random(edits)
@@ -136,6 +137,49 @@ def test_common_segments_equal_brute_force(spark, monkeypatch, edits, common):
     assert [r["text"] for r in got] == wanted
 
 
+def split_distance(a, b):
+    """Edit distance of two texts whose line ends stand on each other."""
+    (a1, a2), (b1, b2) = a.split("\n"), b.split("\n")
+    return edit(a1, b1) + edit(a2, b2)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_masks_equal_brute_force(spark, edits):
+    """Short texts of two letters with a mark, ties of texts, the empty one; lines that are not open get no verdict."""
+    rng = random.Random(edits)
+    texts = ["".join(rng.choices("ab", k=rng.randint(0, 4))) + "\n" + "".join(rng.choices("abé", k=rng.randint(0, 4))) for _ in range(120)] + ["\n", "\n"]
+    rows = [(k % 2, t, k, k % 5 != 0) for k, t in enumerate(texts)]
+    wanted = {k for g, t, k, is_open in rows if is_open and any(h == g and j < k and split_distance(t, u) <= edits for h, u, j, _ in rows)}
+    got = [r[0] for r in linededup._gone_by_masks(spark.createDataFrame(rows, "group long, text string, ord long, open boolean"), edits).collect()]
+    assert set(got) == wanted and len(wanted) > 20
+
+
+def test_numbered_lines_equal_brute_force(spark, monkeypatch):
+    """Numbers of several lengths in one place, in two places, and another line under the same key, each in groups beyond a block."""
+    monkeypatch.setattr(linededup, "COMMON", 8)
+    monkeypatch.setattr(linededup, "BLOCK", 40)
+    monkeypatch.setattr(linededup, "LINES_A_MASK", 0.5)
+    made = []
+    masks = linededup._gone_by_masks
+    monkeypatch.setattr(linededup, "_gone_by_masks", lambda rows, edits: made.append(rows.count()) or masks(rows, edits))
+    rng = random.Random(8)
+    texts = [f"entry number {rng.randrange(10 ** rng.randint(3, 6))} of the long register" for _ in range(150)]
+    texts += [f"page {rng.randrange(1000)} of the catalogue, sheet {rng.randrange(1000)}" for _ in range(120)]
+    texts += ["entry number nought of the long registry", "entry number of the long register"]
+    rng.shuffle(texts)
+    wanted, gone = kept_lines(texts, 2, 20)
+    got = linededup.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == wanted and len(gone) > 20 and sum(made) > 150
+
+
+def test_many_numbered_lines(spark):
+    """40 000 lines that differ in one number: work linear in them, where all pairs would be 800 million."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.format_string("Entry number %06d of the long printed register", F.col("id") * 7919 % 1000003).alias("text"))
+    began = time.time()
+    assert linededup.dedup_lines(docs).where("n_kept = 1").count() == 679
+    assert time.time() - began < 240
+
+
 def test_one_segment_in_many_lines(spark):
     """20 000 lines that share a third; one in ten repeats another one but for a letter."""
     rng = random.Random(2)
