@@ -328,6 +328,18 @@ def _meet(b: DataFrame, a: DataFrame, condition: Column, columns: list[str] = HE
     return found.select(*(F.col(f"{c}_{keep}").alias(c) for c in ("group", "parts", *columns))).distinct()
 
 
+def _hopeful(rows: DataFrame, n_rows: int, edits: int) -> tuple[DataFrame, DataFrame]:
+    """(group, k) of the groups of rows (group, marks) for which masks may be less work than pairs, told without texts; and those of them with more than one in HEAVY_KEYS of n_rows.
+
+    Letters of the sketch that a line has beyond those that all lines of its group have stand in the part that differs.
+    """
+    letters = [F.shiftright("marks", 4 * k).bitwiseAND(F.lit(15)) for k in range(len(SKETCH_LETTERS))]
+    differ = F.floor(reduce(lambda a, b: a + b, [F.avg(c) - F.min(c) for c in letters]))
+    found = rows.groupBy("group").agg(F.count(F.lit(1)).alias("k"), differ.alias("differ"))
+    found = written(found.where(F.col("k") > F.greatest(F.lit(BLOCK), LINES_A_MASK * _n_masks(F.col("differ"), edits))).select("group", "k"), "hopeful-groups")
+    return found, found.where(F.col("k") > max(BLOCK, n_rows // HEAVY_KEYS))
+
+
 def _narrow(rows: DataFrame, n_rows: int, edits: int) -> tuple[DataFrame, DataFrame]:
     """(group, lead, trail, k) of the groups of rows (group, text) for which masks are less work than pairs; and those of them with more than one in HEAVY_KEYS of n_rows, fewer than HEAVY_KEYS.
 
@@ -375,12 +387,17 @@ def _gone_by_masks(rows: DataFrame, edits: int) -> DataFrame:
     return gone
 
 
-def _settle(rows: DataFrame, groups: DataFrame, heavy: DataFrame, edits: int) -> DataFrame:
-    """(ord) of the open rows of the groups that an earlier one is near to."""
+def _settle(rows: DataFrame, n_rows: int, edits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The groups that masks are made for, the heavy ones of them, and (lid) of their open rows (group, text, lid, id, dk, dk2, pos, open) that an earlier one is near to."""
+    order = ["id", *ROW, "pos"]
+    narrow, heavy = _narrow(rows, n_rows, edits)
     core = F.expr("substring(text, lead + 1, length(text) - lead - trail)")
+    cut = written(_of_groups(rows, narrow, heavy).select("group", core.alias("text"), "open", "lid", *order), "narrow-rows")
+    # numbers in the order of lines, so that the first of many is a minimum of longs
+    numbers = written(cut.select("lid", *order).distinct().orderBy(*order).select("lid", F.monotonically_increasing_id().alias("ord")), "line-order")
     # a hot group's rows are spread before their masks are made
-    cut = _of_groups(rows, groups, heavy).select("group", core.alias("text"), "ord", "open").repartition("ord")
-    return _gone_by_masks(written(cut, "narrow-rows"), edits)
+    spread = written(cut.select("group", "text", "open", "lid").join(numbers, "lid").drop("lid").repartition("ord"), "numbered-rows")
+    return narrow, heavy, _gone_by_masks(spread, edits).distinct().join(numbers, "ord").select("lid")
 
 
 def _gone_in_common(common: DataFrame, gone: DataFrame, keyed: DataFrame, edits: int, min_chars: int) -> DataFrame:
@@ -389,37 +406,45 @@ def _gone_in_common(common: DataFrame, gone: DataFrame, keyed: DataFrame, edits:
     Both lines of a near pair are near without the segment they share, so they meet under a
     key of that as well.  Lines that are near on either side of it are near as a whole.
     """
-    order = ["id", *ROW, "pos"]
     common = common.join(gone.distinct().withColumn("gone", F.lit(True)), [*ROW, "pos"], "left").withColumn("open", F.col("gone").isNull()).drop("gone")
-    large = common.where(F.col("k") > BLOCK)
-    settled, dealt = None, None
+    large = common.where(F.col("k") > BLOCK).withColumnRenamed("key", "group").drop("k")
+    held = ["open", *(c for c in HELD if c != "probe2")]
+    settled, dealt = [], None
+
+    def rests_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
+        return rows.join(lines.withColumn("n", F.length("line")), "lid").select("group", *held, _rest("line", "slot", min_chars, edits).alias("text"))
+
     if not large.isEmpty():
-        lines = written(_texts(written(large.select("lid", *ROW, "pos").distinct(), "common-lines"), keyed), "large-texts")
-        # numbers in the order of lines, so that the first of many is a minimum of longs
-        at = large.select("lid", *order).distinct().orderBy(*order)
-        numbers = written(at.select("lid", F.monotonically_increasing_id().alias("ord")), "line-order")
-        known = lines.join(numbers, "lid").withColumn("n", F.length("line"))
-        rest = large.withColumnRenamed("key", "group").join(known, "lid").withColumn("text", _rest("line", "slot", min_chars, edits)).drop("line", "n", "k", "slot")
-        rest = written(rest, "large-rests")
-        narrow, top = _narrow(rest, rest.count(), edits)
-        found = _settle(rest.select("group", "text", "ord", "open"), narrow, top, edits)
-        rest = _of_groups(rest, narrow, top, "left_anti").withColumn("bare", F.translate("text", "\n", "")).withColumn("n", F.length("bare"))
-        held = ["open", "ord", *(c for c in HELD if c != "probe2")]
-        posts = rest.select(*held, "text", F.posexplode(_keys("bare", "group", 0, edits)).alias("slot2", "key")).where("key IS NOT NULL").withColumn("probe2", _probes(F.col("slot2"), edits))
-        rests = written(posts.select(*held, "probe2", "key"), "common-rests")
-        shared, heavy = _shared(rests, rests.count())
-        again = shared.where(F.col("k") > BLOCK)
-        if not again.isEmpty():
-            texts = written(posts.join(again.select("key"), "key").select(F.col("key").alias("group"), "text", "ord", "open"), "second-rests")
-            narrow, top = _narrow(texts, rests.count(), edits)
-            found = found.unionByName(_settle(texts, narrow, top, edits))
-            rests = _of_groups(rests.withColumnRenamed("key", "group"), narrow, top, "left_anti").withColumnRenamed("group", "key")
-        settled = written(found.distinct().join(numbers, "ord").select("lid"), "settled")
-        parts = heavy.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"))
-        dealt = rests.join(F.broadcast(parts), "key", "left").select(F.col("key").alias("group"), F.coalesce("parts", F.lit(1)).alias("parts"), "probe2", "open", *(c for c in HELD if c != "probe2"))
+        known = _texts(written(large.select("lid", *ROW, "pos").distinct(), "common-lines"), keyed)
+        n_large = large.count()
+        hopeful, top = _hopeful(large, n_large, edits)
+        if not hopeful.isEmpty():
+            known = written(known, "large-texts")
+            tried = written(rests_of(_of_groups(large, hopeful, top), known), "large-rests")
+            narrow, top, found = _settle(tried, n_large, edits)
+            settled.append(found)
+            large = _of_groups(large, narrow, top, "left_anti")
+        posts = rests_of(large, known).withColumn("bare", F.translate("text", "\n", "")).withColumn("n", F.length("bare"))
+        posts = posts.select(*held, "text", F.posexplode(_keys("bare", "group", 0, edits)).alias("slot2", "key")).where("key IS NOT NULL").withColumn("probe2", _probes(F.col("slot2"), edits))
+        rests = written(posts.select("probe2", "key", *held), "common-rests")
+        n_rests = rests.count()
+        shared, heavy = _shared(rests, n_rests)
+        again = rests.join(shared.where(F.col("k") > BLOCK).select("key"), "key").select(F.col("key").alias("group"), "marks")
+        hopeful, top = _hopeful(again, n_rests, edits)
+        rests = rests.withColumnRenamed("key", "group")
+        if not hopeful.isEmpty():
+            tried = written(_of_groups(posts.select(F.col("key").alias("group"), *held, "text"), hopeful, top), "second-rests").drop("k")
+            narrow, top, found = _settle(tried, n_rests, edits)
+            settled.append(found)
+            rests = _of_groups(rests, narrow, top, "left_anti")
+        parts = heavy.select(F.col("key").alias("group"), F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"))
+        dealt = rests.join(F.broadcast(parts), "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = common.where(F.col("k") <= BLOCK).select(F.col("key").alias("group"), F.lit(1).alias("parts"), F.lit(False).alias("probe2"), "open", *(c for c in HELD if c != "probe2"))
     if dealt is not None:
-        rows = rows.unionByName(dealt).join(settled.withColumn("settled", F.lit(True)), "lid", "left").withColumn("open", F.col("open") & F.col("settled").isNull()).drop("settled")
+        rows = rows.unionByName(dealt)
+    done = written(reduce(DataFrame.unionByName, settled).distinct(), "settled") if settled else None
+    if done is not None:
+        rows = rows.join(done.withColumn("settled", F.lit(True)), "lid", "left").withColumn("open", F.col("open") & F.col("settled").isNull()).drop("settled")
     rows = written(rows, "common-rows")
     later = written(_meet(rows.where("open"), rows, _alike(edits)), "common-later")
     earlier = written(_meet(later, rows, _alike(edits), keep="a"), "common-earlier")
@@ -427,7 +452,7 @@ def _gone_in_common(common: DataFrame, gone: DataFrame, keyed: DataFrame, edits:
     lines = written(_texts(asked, keyed).withColumn("more", _sketch(F.col("line"), MORE_SIGNS)), "common-texts")
     near = _alike(edits, "more") & (banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
     out = _meet(later.join(lines, "lid"), earlier.join(lines, "lid"), near, [*HELD, "line", "more"]).select(*ROW, "pos")
-    return out if settled is None else out.unionByName(common.join(settled, "lid", "left_semi").select(*ROW, "pos").distinct())
+    return out.unionByName(common.join(done, "lid", "left_semi").select(*ROW, "pos").distinct()) if done is not None else out
 
 
 def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
