@@ -9,8 +9,11 @@
    joins the bulk of a large group in one linear round; only classes of a list that are still
    in different components are compared with each other.  Lists over `BLOCK` classes are
    compared in blocks, the minority of a list against the whole list, and a pair is skipped
-   unless the list at hand is the first that both share (skip merging).
-4. Each link is confirmed on the full sets.  Components of links are the groups.
+   unless the list at hand is the first that both share (skip merging).  A minority over
+   `BLOCK` classes meets one block of its list before, which is linear and joins those that
+   are near to many others, if not to the smallest class.
+4. Each link is confirmed on the full sets.  Components of links are the groups, so a block
+   returns which components its near pairs join, a row for each, and not the pairs.
 
 With 48 coordinates and 26 matches, a pair at similarity 0.8 is missed with a probability of
 1.3e-5 if coordinates are independent, and a closer one far more rarely.  Words and shingles
@@ -147,7 +150,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_block(percent: int):
-    """Confirms the minority of a long list against one block of the list; both come with sets and earlier postings."""
+    """Joins the components of the minority of a long list to those of one block of the list; both come with sets and earlier postings.
+
+    Pairs of labels (a, b) come back: each label that near pairs of this block join to others
+    with the majority's, or else with the smallest of those.
+    """
 
     def flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         counts = column.map(len).to_numpy()
@@ -161,13 +168,15 @@ def _cross_block(percent: int):
         return out
 
     def task(block: pd.DataFrame, few: pd.DataFrame) -> pd.DataFrame:
-        links_a: list[int] = []
-        links_b: list[int] = []
+        links_a = links_b = np.zeros(0, np.int64)
         if len(block) and len(few):
             n_all, n_few = block["n"].to_numpy(), few["n"].to_numpy()
             seen, seen_at = flat(few["earlier"])
             known = np.unique(seen)
-            open_pairs = (few["label"].to_numpy()[:, None] != block["label"].to_numpy()[None, :]) & (100 * np.minimum(n_few[:, None], n_all) >= percent * np.maximum(n_few[:, None], n_all))
+            labels, places = np.unique(np.concatenate((few["label"].to_numpy(), block["label"].to_numpy())), return_inverse=True)
+            of_few, of_block = places[: len(few)], places[len(few) :]
+            joined = np.arange(len(labels))  # the component of each label, as far as this block has joined them
+            open_pairs = 100 * np.minimum(n_few[:, None], n_all) >= percent * np.maximum(n_few[:, None], n_all)
             # a pair is met on both sides if both are of the minority: once is enough
             both = few["node"].to_numpy()[:, None] < block["node"].to_numpy()[None, :]
             open_pairs &= both | ~block["few"].to_numpy()[None, :]
@@ -176,40 +185,63 @@ def _cross_block(percent: int):
                 open_pairs &= (marks(seen, seen_at, known) @ marks(other, other_at, known).T) == 0
             values, at = flat(block["set"])
             own = few["set"].to_list()
-            for i in np.flatnonzero(open_pairs.any(axis=1)).tolist():
+            for i in range(len(few)):
+                there = joined[of_block]
+                apart = open_pairs[i] & (there != joined[of_few[i]])
+                if not apart.any():
+                    continue
                 mine = np.sort(own[i])
                 where = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
                 common = np.add.reduceat((mine[where] == values).astype(np.int64), at[:-1])
-                near = open_pairs[i] & (100 * common >= percent * (n_few[i] + n_all - common))
-                for j in np.flatnonzero(near).tolist():
-                    links_a.append(int(few["node"].iloc[i]))
-                    links_b.append(int(block["node"].iloc[j]))
+                near = np.flatnonzero(apart & (100 * common >= percent * (n_few[i] + n_all - common)))
+                joined[np.isin(joined, there[near])] = joined[of_few[i]]
+            _, first, which = np.unique(joined, return_index=True, return_inverse=True)
+            root = first[which]
+            for major in of_block[~block["few"].to_numpy()][:1]:
+                root[joined == joined[major]] = major
+            moved = root != np.arange(len(labels))
+            links_a, links_b = labels[moved], labels[root[moved]]
         return pd.DataFrame({"a": links_a, "b": links_b}, dtype="int64")
 
     return task
 
 
-def _long_lists(lists: DataFrame, postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of one long list that are in different components; nothing but links leaves the blocks.
+def _long_lists(lists: DataFrame, postings: DataFrame, sets: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """Pairs of labels of components that near classes of one long list join; nothing but these leaves the blocks.
 
     lists: (token, size); postings: (token, node, n, earlier, label).  The component with
-    the most classes of a list is its majority, all others its minority.
+    the most classes of a list is its majority, all others its minority.  The minority meets
+    `most` blocks of the list, or all.
     """
     members = postings.join(lists, "token")
     largest = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("m"))
     minority = members.join(largest.select("token", F.col("m.label").alias("major")), "token").withColumn("few", F.col("label") != F.col("major"))
     n_few = minority.where("few").groupBy("token").agg(F.count(F.lit(1)).alias("n_few"))
-    rows = minority.join(n_few, "token").join(sets, "node")
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("n_few") / BLOCK).cast("int"))
-    here = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int")
+    rows = minority.join(n_few, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("n_few") / BLOCK).cast("int"))
+    rows = rows.withColumn("here", F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int"))
+    if most is not None:
+        rows = rows.where(F.col("few") | (F.col("here") < most)).withColumn("blocks", F.least("blocks", F.lit(most)))
+    rows = rows.join(sets, "node")
     part = F.pmod(F.xxhash64("token", "node"), F.col("parts")).cast("int")
     columns = ["token", "block", "part", "node", "n", "label", "few", "earlier", "set"]
-    block = rows.withColumn("block", here).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(columns)
+    block = rows.where("here < blocks").withColumn("block", F.col("here")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(columns)
     few = rows.where("few").withColumn("part", part).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(columns).toDF(*columns)
     key = ["token", "block", "part"]
     return block.groupBy(key).cogroup(few.groupBy(key)).applyInPandas(_cross_block(percent), "a long, b long")
 
 
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label of what their component has become; labels: (node, label) of labels."""
+    up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return rows.join(up, "label", "left").withColumn("label", F.coalesce("up", "label")).drop("up")
+
+
+def _wide(lists: DataFrame, postings: DataFrame) -> DataFrame:
+    """Those of the lists (token, size) whose minority has more than BLOCK classes."""
+    parts = postings.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg((F.sum("k") - F.max("k")).alias("n_few"))
+    return parts.where(F.col("n_few") > BLOCK).select("token").join(lists, "token")
+
+
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles, component_id (the smallest id of its group), kept (whether it is that one).
 
@@ -258,7 +290,12 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int =
     posted = written(before.join(sigs.select("node", "n"), "node").join(labels, "node", "left").select("token", "node", "n", "earlier", F.coalesce("label", "node").alias("label")), "long-postings")
     more = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members).distinct().join(asked, "node", "left_anti"), "asked-more")
     sets = sets.unionByName(written(_sets(docs, classes.join(more, "node"), size, id_col, text_col), "more-sets"))
-    found = _confirm(pairs, sets, percent).unionByName(_long_lists(long, posted, sets, percent))
+    wide = written(_wide(long, posted), "wide-lists")
+    if not wide.isEmpty():
+        joined = written(_long_lists(wide, posted, sets, percent, most=1).distinct(), "first-blocks")
+        links = links.unionByName(joined)
+        posted = written(_relabelled(posted, connected_components(joined)), "long-postings")
+    found = _confirm(pairs, sets, percent).unionByName(_long_lists(long, posted, sets, percent).distinct())
     labels = connected_components(links.unionByName(written(found, "more-links")))
 
     marked = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
