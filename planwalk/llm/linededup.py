@@ -292,10 +292,11 @@ def _order(x: str) -> Column:
 def _gone_by_pairs(pairs: DataFrame, at: DataFrame, keyed: DataFrame, edits: int) -> DataFrame:
     """(dk, dk2, pos) of the later line of each pair (a, b) of numbers that is near."""
     asked = written(_of_lines(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), at), "asked-lines")
-    known = asked.join(_texts(asked, keyed), "lid")
+    known = asked.join(_texts(asked, keyed), "lid").withColumn("marks", _marks(F.col("line"))).withColumn("more", _sketch(F.col("line"), MORE_SIGNS))
     for x in "ab":
         pairs = pairs.join(known.select(*(F.col(c).alias(x if c == "lid" else f"{c}_{x}") for c in known.columns)), x)
-    pairs = pairs.where(banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
+    # more counts of signs than the meeting of keys has spare most pairs the distance, which Spark interprets
+    pairs = pairs.where(_alike(edits, "more") & (banded_distance(F.col("line_a"), F.col("line_b"), edits) <= edits))
     a, b = _order("a"), _order("b")
     later = F.when(a < b, F.struct(*(F.col(f"{c}_b").alias(c) for c in (*ROW, "pos")))).otherwise(F.struct(*(F.col(f"{c}_a").alias(c) for c in (*ROW, "pos"))))
     return pairs.select(later.alias("x")).select("x.*")

@@ -378,3 +378,12 @@ def test_uris_as_they_are(url):
     assert warc.parse(raw)["url"] == url
     if url == url.strip() and "\n" not in url:
         assert f"WARC-Target-URI: {url}\r\n".encode() in raw
+
+
+def test_distances_are_left_to_alike_lines(spark, monkeypatch):
+    """Pairs whose counts of digits differ by more than two edits can do are out before the distance is asked for."""
+    monkeypatch.setattr(linededup, "banded_distance", lambda a, b, edits: F.lit(0))
+    lines = [f"the quick brown parcel number {k * 6} leaves the yard" for k in "123"]
+    lines.append("the quick brown parcel number 333338 leaves the yard")
+    found = linededup.dedup_lines(docs_of(spark, lines)).collect()
+    assert sorted((r["doc_id"], r["n_kept"]) for r in found) == [(0, 1), (1, 1), (2, 1), (3, 0)]
