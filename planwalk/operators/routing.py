@@ -7,12 +7,90 @@ way to it, so each route is unique.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planwalk.sources.scratch import written
 
 TOLERANCE = 1e-9
+#: Edges of a graph, or nodes of a tree, up to which one task takes it; larger ones go round by round over all tasks.
+WITHIN = 2_097_152
+#: Origins from which one task searches a graph; from more, several tasks do.
+TOGETHER = 64
+#: Rows of a batch that a task returns.
+ROWS = 65_536
+
+
+def _numbers(batches: list[pa.RecordBatch], *columns: str) -> tuple[pa.Array, list[np.ndarray]]:
+    """The values of all columns in ascending order, and each column as places among them, -1 for null."""
+    told = [pa.chunked_array([b.column(c) for b in batches]) for c in columns]
+    ids = pc.unique(pa.chunked_array([x for t in told for x in t.chunks])).drop_null()
+    ids = ids.take(pc.sort_indices(ids))
+    return ids, [pc.fill_null(pc.index_in(t, ids), -1).to_numpy() for t in told]
+
+
+def _column(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in batches])
+
+
+def _cheapest(first: np.ndarray, to: np.ndarray, w: np.ndarray, start: int) -> np.ndarray:
+    """Cost of each node from the start, infinite out of reach; the edges of node v are those from first[v] on."""
+    best = np.full(len(first) - 1, np.inf)
+    best[start] = 0.0
+    frontier = np.array([start])
+    while len(frontier):
+        n = first[frontier + 1] - first[frontier]
+        e = np.repeat(first[frontier] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        new, ends = np.repeat(best[frontier], n) + w[e], to[e]
+        better = new < best[ends]
+        np.minimum.at(best, ends[better], new[better])
+        frontier = np.unique(ends[better])
+    return best
+
+
+def _blocks(steps: DataFrame, origins: DataFrame, k: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both with a block: a graph's origins are dealt to blocks of TOGETHER or so, and each block has the graph's edges."""
+    n = origins.groupBy(*k).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("n_blocks"))
+    own = origins.join(n, k).withColumn("block", F.pmod(F.xxhash64("origin"), F.col("n_blocks")).cast("int")).drop("n_blocks")
+    return steps.join(n, k).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks"), own
+
+
+def _within(steps: DataFrame, origins: DataFrame, k: list[str]) -> DataFrame:
+    """(keys, origin, node_id, cost, predecessor): each graph and block of origins is searched by one task, over numbered nodes."""
+    kinds = dict(steps.dtypes)
+    asked = origins.select(*k, "block", F.col("origin").alias("src"), F.lit(None).cast(kinds["dst"]).alias("dst"), F.lit(None).cast("double").alias("w"))
+    schema = steps.select(*k, F.col("src").alias("origin"), F.col("src").alias("node_id"), F.col("w").alias("cost"), F.col("src").alias("predecessor")).schema
+
+    def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = list(batches)
+        ids, (src, dst) = _numbers(told, "src", "dst")
+        w = _column(told, "w")
+        starts, edge = src[dst < 0], dst >= 0
+        if not len(starts):
+            return
+        del told
+        src, dst, w = src[edge], dst[edge], w[edge]
+        order = np.argsort(src, kind="stable")
+        src, dst, w = src[order], dst[order], w[order]
+        first = np.searchsorted(src, np.arange(len(ids) + 1))
+        for start in starts:
+            best = _cheapest(first, dst, w, start)
+            before, cost = best[src], best[dst]
+            on_way = (before < cost) & (before + w <= cost * (1 + TOLERANCE)) & (dst != start)
+            predecessor = np.full(len(ids), len(ids))
+            np.minimum.at(predecessor, dst[on_way], src[on_way])
+            reached = np.flatnonzero(best < np.inf)
+            for at in range(0, len(reached), ROWS):
+                some = reached[at : at + ROWS]
+                columns = [ids.take(pa.array(np.full(len(some), start))), ids.take(pa.array(some)), pa.array(best[some]), ids.take(pa.array(predecessor[some], mask=predecessor[some] == len(ids)))]
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(x, len(some)) for x in key[:-1]), *columns], names=schema.names)
+
+    return steps.select(*k, "block", "src", "dst", "w").unionByName(asked).groupBy(*k, "block").applyInArrow(search, schema)
 
 
 def _chains(steps: DataFrame, origins: DataFrame, k: list[str]) -> tuple[DataFrame, DataFrame] | None:
@@ -66,8 +144,15 @@ def _searched(steps: DataFrame, origins: DataFrame, k: list[str]) -> DataFrame:
         best = written(best.join(frontier, [*k, "origin", "node_id"], "left_anti").unionByName(frontier), "costs")
 
 
-def shortest_costs(edges: DataFrame, origins: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
-    """(keys, origin, node_id, cost) of every node reachable from an origin; edges: keys, src, dst, cost.
+def _large(rows: DataFrame, k: list[str], most: int) -> DataFrame | None:
+    """Keys that more than `most` rows have, a small table; null if there are none."""
+    sizes = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*k)
+    found = written(sizes, "large")
+    return None if found.isEmpty() else F.broadcast(found)
+
+
+def _rounds(steps: DataFrame, origins: DataFrame, k: list[str]) -> DataFrame:
+    """(keys, origin, node_id, cost), round by round over all tasks.
 
     Chains of nodes with two neighbours become single steps before the search and are filled
     in after it, so a corridor is one hop.  Each round of the search extends only what the
@@ -75,9 +160,7 @@ def shortest_costs(edges: DataFrame, origins: DataFrame, keys: tuple[str, ...] =
     of the longest cheapest path over what is left, plus one.  Costs along a chain are added
     up from its end, which may change their last digit where they are no whole numbers.
     """
-    k = list(keys)
-    # an edge without a cost is closed
-    steps = written(edges.where("src <> dst AND cost IS NOT NULL").groupBy(*k, "src", "dst").agg(F.min("cost").alias("w")), "edges")
+    steps = written(steps.groupBy(*k, "src", "dst").agg(F.min("w").alias("w")), "edges")
     found = _chains(steps, origins, k)
     if found is None:
         return _searched(steps, origins, k)
@@ -93,30 +176,90 @@ def shortest_costs(edges: DataFrame, origins: DataFrame, keys: tuple[str, ...] =
     return written(costs.unionByName(filled), "costs")
 
 
-def shortest_tree(edges: DataFrame, origins: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
-    """(keys, origin, node_id, cost, predecessor): null for the origin itself.
-
-    Ways that differ by rounding alone, less than TOLERANCE of the cost, count as equal.
-    """
-    k = list(keys)
-    cost = shortest_costs(edges, origins, keys)
+def _tree(steps: DataFrame, origins: DataFrame, k: list[str]) -> DataFrame:
+    """(keys, origin, node_id, cost, predecessor), round by round over all tasks."""
+    cost = _rounds(steps, origins, k)
     before = cost.select(*k, "origin", F.col("node_id").alias("src"), F.col("cost").alias("d"))
-    ways = before.join(edges.where("src <> dst").select(*k, "src", F.col("dst").alias("node_id"), F.col("cost").alias("w")), [*k, "src"])
+    ways = before.join(steps.select(*k, "src", F.col("dst").alias("node_id"), "w"), [*k, "src"])
     ways = ways.join(cost, [*k, "origin", "node_id"]).where(f"node_id <> origin AND d < cost AND d + w <= cost * (1 + {TOLERANCE})")
     first = ways.groupBy(*k, "origin", "node_id").agg(F.min("src").alias("predecessor"))
-    return written(cost.join(first, [*k, "origin", "node_id"], "left"), "tree")
+    return cost.join(first, [*k, "origin", "node_id"], "left").select(*k, "origin", "node_id", "cost", "predecessor")
+
+
+def _split_search(edges: DataFrame, origins: DataFrame, k: list[str], rounds) -> DataFrame:
+    """(keys, origin, node_id, cost, predecessor); `rounds` searches the graphs of more than WITHIN edges."""
+    # an edge without a finite cost is closed
+    steps = written(edges.where("src <> dst AND cost < double('infinity')").dropna(subset=k).select(*k, "src", "dst", F.col("cost").cast("double").alias("w")), "edges")
+    starts = written(origins.select(*k, "origin").where("origin IS NOT NULL").distinct(), "origins")
+    large = _large(steps, k, WITHIN)
+    small_steps, small_starts = (steps, starts) if large is None else (steps.join(large, k, "left_anti"), starts.join(large, k, "left_anti"))
+    if _large(starts, k, TOGETHER) is None:
+        small_steps, small_starts = small_steps.withColumn("block", F.lit(0)), small_starts.withColumn("block", F.lit(0))
+    else:
+        small_steps, small_starts = _blocks(small_steps, small_starts, k)
+    found = _within(small_steps, small_starts, k)
+    if large is not None:
+        found = found.unionByName(rounds(steps.join(large, k, "left_semi"), starts.join(large, k, "left_semi"), k))
+    return written(found, "tree")
 
 
-def path_nodes(tree: DataFrame, destinations: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
-    """(keys, origin, destination, total_cost, left, node): every node of the path to each destination, with the number of hops left to it.
+def shortest_costs(edges: DataFrame, origins: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """(keys, origin, node_id, cost) of every node reachable from an origin; edges: keys, src, dst, cost.
 
-    Pointers to the predecessor are doubled: each round adds, to the nodes found, those that
-    lie as far before them again, so a path of n hops takes log2(n) rounds.  Destinations out
-    of reach have no row.
+    A graph of up to WITHIN edges is searched by one task, any larger one round by round over
+    all tasks; both ways give the same costs.
     """
-    k = [*keys, "origin"]
+    k = list(keys)
+    rounds = lambda s, o, names: _rounds(s, o, names).withColumn("predecessor", F.lit(None).cast(dict(s.dtypes)["src"]))
+    return _split_search(edges, origins, k, rounds).drop("predecessor")
+
+
+def shortest_tree(edges: DataFrame, origins: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """(keys, origin, node_id, cost, predecessor): null for the origin itself.
+
+    Ways that differ by rounding alone, less than TOLERANCE of the cost, count as equal.
+    """
+    return _split_search(edges, origins, list(keys), _tree)
+
+
+def _followed(tree: DataFrame, asked: DataFrame, k: list[str]) -> DataFrame:
+    """What path_nodes returns, each tree followed by one task."""
+    kind = dict(tree.dtypes)["node_id"]
+    rows = tree.select(*k, "node_id", "predecessor", "cost", F.lit(False).alias("asked"))
+    rows = rows.unionByName(asked.select(*k, F.col("destination").alias("node_id"), F.lit(None).cast(kind).alias("predecessor"), F.lit(None).cast("double").alias("cost"), F.lit(True).alias("asked")))
+    schema = tree.select(*k, F.col("node_id").alias("destination"), F.col("cost").alias("total_cost"), F.lit(0).cast("long").alias("left"), F.col("node_id").alias("node")).schema
+
+    def follow(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = list(batches)
+        is_asked = _column(told, "asked").astype(bool)
+        if not is_asked.any():
+            return
+        ids, (node, before) = _numbers(told, "node_id", "predecessor")
+        up, cost = np.full(len(ids), -1), np.full(len(ids), np.nan)
+        known = ~is_asked & (node >= 0)
+        up[node[known]], cost[node[known]] = before[known], _column(told, "cost")[known]
+        there = np.unique(node[is_asked & (node >= 0)])
+        there = there[~np.isnan(cost[there])]
+        for start in range(0, len(there), ROWS):
+            destination = now = there[start : start + ROWS]
+            rows, waiting, left = [], 0, 0
+            while len(now):
+                rows.append((destination, np.full(len(now), left), now))
+                waiting += len(now)
+                further = up[now] >= 0
+                destination, now, left = destination[further], up[now][further], left + 1
+                if waiting >= ROWS or not len(now):
+                    d, n, v = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([*(pa.repeat(x, len(d)) for x in key), ids.take(pa.array(d)), pa.array(cost[d]), pa.array(n), ids.take(pa.array(v))], names=schema.names)
+                    rows, waiting = [], 0
+
+    return rows.groupBy(*k).applyInArrow(follow, schema)
+
+
+def _doubled(tree: DataFrame, destinations: DataFrame, k: list[str]) -> DataFrame:
+    """What path_nodes returns, by pointers to the predecessor that are doubled: each round adds, to the nodes found, those that lie as far before them again, so a path of n hops takes log2(n) rounds."""
     cost = tree.select(*k, F.col("node_id").alias("destination"), F.col("cost").alias("total_cost"))
-    asked = destinations.select(*k, "destination").distinct().join(cost, [*k, "destination"])
+    asked = destinations.join(cost, [*k, "destination"])
     found = written(asked.select("*", F.lit(0).cast("long").alias("left"), F.col("destination").alias("node")), "path-nodes")
     up = tree.where("predecessor IS NOT NULL").select(*k, F.col("node_id").alias("node"), F.col("predecessor").alias("to"))
     far = 1
@@ -130,6 +273,21 @@ def path_nodes(tree: DataFrame, destinations: DataFrame, keys: tuple[str, ...] =
         far *= 2
 
 
+def path_nodes(tree: DataFrame, destinations: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """(keys, origin, destination, total_cost, left, node): every node of the path to each destination, with the number of hops left to it.
+
+    A tree of up to WITHIN nodes is followed by one task, a larger one by doubled pointers
+    over all tasks.  Destinations out of reach have no row.
+    """
+    k = [*keys, "origin"]
+    asked = destinations.select(*k, "destination").dropna().distinct()
+    large = _large(tree, k, WITHIN)
+    if large is None:
+        return written(_followed(tree, asked, k), "path-nodes")
+    small = _followed(tree.join(large, k, "left_anti"), asked.join(large, k, "left_anti"), k)
+    return written(small.unionByName(_doubled(written(tree.join(large, k, "left_semi"), "tree"), asked.join(large, k, "left_semi"), k)), "path-nodes")
+
+
 def paths(tree: DataFrame, destinations: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
     """(keys, origin, destination, total_cost, path): path holds the node ids from origin to destination; unreachable ones have no row."""
     nodes = path_nodes(tree, destinations, keys)
@@ -211,17 +369,28 @@ def cost_audit(edges: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return out.unionByName(known.join(edges.select(key), key, "left_anti").select(*violation("unprocessed_edge", key)))
 
 
+def policy_of(policies: dict[str, Column]) -> Column:
+    """What tells apart preferences whose costs differ: those without a policy share one."""
+    return F.when(F.col("preference").isin(*policies), F.concat(F.lit("by "), "preference")).otherwise("base") if policies else F.lit("base")
+
+
+def policy_costs(edges: DataFrame, contexts: DataFrame, policies: dict[str, Column]) -> DataFrame:
+    """(graph_id, policy, src, dst, cost): every edge under each different policy of its graph's contexts, with policy as policy_of tells it."""
+    kinds = contexts.where("preference IS NOT NULL").withColumn("policy", policy_of(policies)).groupBy("graph_id", "policy").agg(F.min("preference").alias("preference"))
+    priced = effective_costs(edges, kinds.withColumn("context_id", F.lit(None).cast("int")), policies)
+    return priced.select("graph_id", policy_of(policies).alias("policy"), "src", "dst", "cost")
+
+
 def preference_routes(edges: DataFrame, contexts: DataFrame, asked: DataFrame, policies: dict[str, Column]) -> DataFrame:
     """(graph_id, context_id, place, preference, origin, destination, total_cost, hop_count, path): the cheapest route of every context of a graph over the costs that its preference's policy gives.
 
     contexts: graph_id, context_id, preference; asked: graph_id, origin, destination.  place
     counts a reply's routes in the order of context_id; a context under which the destination
-    is out of reach is left out.  Contexts of one preference share one search.
+    is out of reach is left out.  Contexts of one policy share one search.
     """
-    k = ("graph_id", "preference")
-    wanted = contexts.join(asked, "graph_id")
-    kinds = contexts.select(*k).distinct().withColumn("context_id", F.lit(None).cast("int"))
-    tree = shortest_tree(effective_costs(edges, kinds, policies), wanted.select(*k, "origin"), k)
+    k = ("graph_id", "policy")
+    wanted = contexts.where("preference IS NOT NULL").withColumn("policy", policy_of(policies)).join(asked, "graph_id")
+    tree = shortest_tree(policy_costs(edges, contexts, policies), wanted.select(*k, "origin"), k)
     found = paths(tree, wanted.select(*k, "origin", "destination"), k).withColumn("hop_count", (F.size("path") - 1).cast("long"))
     reply = Window.partitionBy("graph_id", "origin", "destination").orderBy("context_id")
     found = wanted.join(found, [*k, "origin", "destination"]).withColumn("place", F.row_number().over(reply))

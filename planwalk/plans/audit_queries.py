@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from planwalk.functions import geometry
 from planwalk.operators import audits, objects, routing, sessions, shapes
+from planwalk.plans.graph_queries import written_edges
 from planwalk.plans.object_queries import _models
 from planwalk.plans.session_queries import _REPORTS, _STEPS, _TOTALS, _reports, _snapshots
 from planwalk.plans.shape_queries import _BOX
 from planwalk.plans.views import oracle, view
 from planwalk.registry import register
+from planwalk.sources.scratch import written
 
 _REASONS = """firsts AS (SELECT collection, candidate_id, min(ord) AS fst FROM f_candidates WHERE candidate_id IS NOT NULL AND coalesce(primitive_id, partner_id) IS NOT NULL GROUP BY collection, candidate_id),
 reasons AS (SELECT c.*, CASE WHEN c.candidate_id IS NULL THEN 'missing_id' WHEN c.ord > f.fst THEN 'duplicate' WHEN coalesce(primitive_id, partner_id) IS NULL THEN 'empty_reference' END AS reason
@@ -175,19 +177,22 @@ def _policies() -> dict[str, Column]:
     return {preference: F.expr(price) for preference, price in POLICIES.items()}
 
 
-def _typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges with the type of the node that they lead to."""
+def _typed_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges with the type of the node that they lead to, origins, contexts of each graph)."""
+    edges, origins = written_edges(spark, sf_dir)
     kinds = view(spark, sf_dir, "f_nodes").select("graph_id", F.col("node_id").alias("dst"), "node_type")
-    return view(spark, sf_dir, "f_edges").join(kinds, ["graph_id", "dst"])
+    contexts = written(origins.select("graph_id").crossJoin(view(spark, sf_dir, "f_contexts")), "contexts")
+    return edges.join(kinds, ["graph_id", "dst"]), origins, contexts
 
 
 @register(oracle(f"WITH {_PRICED} SELECT graph_id, preference, node AS node_id, d AS cost FROM r{_ROUNDS}"))
 def policy_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest costs from each graph's origin under every preference, searched over the costs that its policy gives."""
-    contexts = view(spark, sf_dir, "f_graph_contexts")
-    priced = routing.effective_costs(_typed_edges(spark, sf_dir), contexts, _policies())
-    origins = view(spark, sf_dir, "f_origins").join(contexts, "graph_id").select("graph_id", "preference", "origin")
-    return routing.shortest_costs(priced, origins, ("graph_id", "preference")).select("graph_id", "preference", "node_id", "cost")
+    edges, origins, contexts = _typed_edges(spark, sf_dir)
+    kinds = contexts.withColumn("policy", routing.policy_of(_policies()))
+    starts = origins.join(kinds, "graph_id").select("graph_id", "policy", "origin")
+    found = routing.shortest_costs(routing.policy_costs(edges, contexts, _policies()), starts, ("graph_id", "policy"))
+    return found.join(kinds, ["graph_id", "policy"]).select("graph_id", "preference", "node_id", "cost")
 
 
 _ROUTES = f"""{_PRICED},
@@ -205,10 +210,9 @@ ways AS (SELECT w.graph_id, w.preference, string_agg(w.node, '>' ORDER BY back D
 def _preference_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes from each graph's origin to its last reachable node under each of its contexts."""
     # what is reachable does not depend on the policy: costs stay positive
-    origins = view(spark, sf_dir, "f_origins")
-    edges = _typed_edges(spark, sf_dir)
+    edges, origins, contexts = _typed_edges(spark, sf_dir)
     reach = routing.shortest_costs(edges, origins).groupBy("graph_id", "origin").agg(F.max("node_id").alias("destination"))
-    return routing.preference_routes(edges, view(spark, sf_dir, "f_graph_contexts"), reach, _policies())
+    return routing.preference_routes(edges, contexts, written(reach, "reach"), _policies())
 
 
 @register(oracle(f"WITH {_ROUTES} SELECT w.graph_id, c.context_id, cast(c.context_id AS integer) AS place, w.preference, route, cast(hop_count AS bigint) AS hop_count, total_cost FROM ways w JOIN f_contexts c ON c.preference = w.preference"))
