@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401
+from planwalk import registry
 from planwalk.operators import routing
 
 EDGES = "graph_id string, src string, dst string, cost double"
@@ -102,3 +104,16 @@ def test_preferences_without_a_policy_share_one_search(spark):
     contexts = spark.createDataFrame([("G", 1, "SHORTEST"), ("G", 2, "FASTEST"), ("G", 3, "DOUBLE"), ("G", 4, None)], "graph_id string, context_id int, preference string")
     rows = routing.policy_costs(edges, contexts, {"DOUBLE": F.col("cost") * 2}).collect()
     assert sorted((r["policy"], r["cost"]) for r in rows) == [("base", 1.0), ("by DOUBLE", 2.0)]
+
+
+@pytest.mark.parametrize("name", ["policy_costs"])
+def test_queries_take_few_jobs(spark, name):
+    """Each round of a search took several jobs before, and each of five preferences went through all of them."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        found = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert found
+    assert jobs < 70
