@@ -106,7 +106,7 @@ def test_preferences_without_a_policy_share_one_search(spark):
     assert sorted((r["policy"], r["cost"]) for r in rows) == [("base", 1.0), ("by DOUBLE", 2.0)]
 
 
-@pytest.mark.parametrize("name", ["policy_costs"])
+@pytest.mark.parametrize("name", ["policy_costs", "route_comparison"])
 def test_queries_take_few_jobs(spark, name):
     """Each round of a search took several jobs before, and each of five preferences went through all of them."""
     spark.sparkContext.setJobGroup(name, name)
