@@ -1,4 +1,9 @@
-"""Validation of replies and of written batches as a whole, and the report of each: whether it is valid, counts, statistics."""
+"""Validation of replies and of written batches as a whole, and the report of each: whether it is valid, counts, statistics.
+
+Snapshots, events and reports are as many as the calls, and their columns compress so well
+that the size of a file or a shuffle says little about rows in memory.  So they are joined by
+sorting both sides; none of them is sent to the driver to be broadcast.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +21,11 @@ from planwalk.operators.sessions import EVENT_ORDER
 STATUSES = (STATUS_HOPS[0][0], *(after for _, after in STATUS_HOPS))
 
 
+def sorting(rows: DataFrame) -> DataFrame:
+    """rows, to be joined by sorting."""
+    return rows.hint("merge")
+
+
 def reports(faults: DataFrame, subjects: DataFrame, *by: str, warnings: tuple[str, ...] = ()) -> DataFrame:
     """Every subject (by, any statistics) with valid, n_errors and n_warnings; faults: check_name, by.
 
@@ -25,7 +35,7 @@ def reports(faults: DataFrame, subjects: DataFrame, *by: str, warnings: tuple[st
     counted = faults.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.count_if(~mild).alias("_errors"), F.count_if(mild).alias("_warnings"))
     same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
     n = {name: F.coalesce(f"_{name[2:]}", F.lit(0).cast("long")) for name in ("n_errors", "n_warnings")}
-    return subjects.join(counted, same, "left").select(*subjects.columns, (n["n_errors"] == 0).alias("valid"), *(v.alias(k) for k, v in n.items()))
+    return subjects.join(sorting(counted), same, "left").select(*subjects.columns, (n["n_errors"] == 0).alias("valid"), *(v.alias(k) for k, v in n.items()))
 
 
 def _limbs(hashes: Column) -> tuple[Column, Column]:
@@ -69,7 +79,7 @@ def event_faults(events: DataFrame, states: DataFrame, *by: str, must_end: bool
     kind = F.col("event_type")
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, EVENT_ORDER)), kind), F.lit(0))
     order = Window.partitionBy(*by).orderBy("place", "event_type")
-    rows = events.join(states.select(*by, "session", "route"), list(by)).withColumns(
+    rows = events.join(sorting(states.select(*by, "session", "route")), list(by)).withColumns(
         {"rank": rank, "before": F.lag(rank).over(order), "nth": F.row_number().over(Window.partitionBy(*by, "event_type").orderBy("place"))}
     )
     checks = {
@@ -86,7 +96,7 @@ def event_faults(events: DataFrame, states: DataFrame, *by: str, must_end: bool
     checks = {"destination_not_completed": reached & ~done, "cancelled_state": cancelled & ~F.coalesce(F.col("state") == "CANCELLED", F.lit(False))}
     if must_end:
         checks = {"destination_not_completed": reached & ~done, "completed_without_destination": ~reached & done}
-    whole = states.join(ends, list(by), "left").withColumn("place", F.lit(None).cast("long"))
+    whole = states.join(sorting(ends), list(by), "left").withColumn("place", F.lit(None).cast("long"))
     return told.unionByName(failing(whole, checks, *by, "place"))
 
 
@@ -108,7 +118,7 @@ def session_audit(snapshots: DataFrame, prefixes: DataFrame, events: DataFrame,
         "completed_with_distance": F.col("completed") & (left > TOLERANCE) & (left < float("inf")),
     }
     known = prefixes.select(F.col("route_id").alias("route"), "step", "expected")
-    rows = snapshots.join(known, ["route", "step"], "left").withColumn("place", F.lit(None).cast("long"))
+    rows = snapshots.join(sorting(known), ["route", "step"], "left").withColumn("place", F.lit(None).cast("long"))
     return failing(rows, checks, *by, "place").unionByName(event_faults(events, snapshots, *by))
 
 

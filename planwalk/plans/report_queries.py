@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planwalk.functions import geometry
 from planwalk.operators import audits, reports
 from planwalk.plans.audit_queries import _OFFER_FAULTS, _OFFERED, _policy
-from planwalk.plans.session_queries import _FAULTY, _faulty_batches, _snapshots
+from planwalk.plans.session_queries import _FAULTY, _faulty_batches, _snapshots, called
 from planwalk.plans.svg_queries import documents
 from planwalk.plans.views import oracle, view
 from planwalk.registry import register
@@ -72,10 +72,10 @@ def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _session_shots(spark: SparkSession, sf_dir: str, shots: DataFrame) -> DataFrame:
     """Snapshots with the nodes that they say were visited, some of them cut, repeated, turned round or missing."""
-    segments, routes, n = view(spark, sf_dir, "f_segments"), view(spark, sf_dir, "f_routes"), F.col("call_no")
+    segments, routes, n = called(spark, sf_dir, "f_segments"), called(spark, sf_dir, "f_routes"), F.col("call_no")
     # a route has a few segments
     targets = segments.groupBy(F.col("route_id").alias("route")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "target"))), lambda s: s["target"]).alias("targets"))
-    told = shots.join(targets, "route").join(routes.select(F.col("route_id").alias("route"), "origin"), "route")
+    told = shots.join(reports.sorting(targets), "route").join(reports.sorting(routes.select(F.col("route_id").alias("route"), "origin")), "route")
     v = F.slice(F.concat(F.array("origin"), "targets"), 1, F.col("step").cast("int") + 1)
     told = told.withColumn("v", v)
     visited = F.when(n % 7 == 3, F.slice("v", 1, F.size("v") - 1)).when(n % 7 == 4, F.concat("v", F.array("origin"))).when(n % 7 == 5, F.reverse("v")).when(n % 7 == 6, None).otherwise(F.col("v"))
@@ -84,7 +84,7 @@ def _session_shots(spark: SparkSession, sf_dir: str, shots: DataFrame) -> DataFr
 
 
 def _session_faults(spark: SparkSession, sf_dir: str, shots: DataFrame, events: DataFrame) -> DataFrame:
-    prefixes = reports.visited_prefixes(view(spark, sf_dir, "f_segments"), view(spark, sf_dir, "f_routes"))
+    prefixes = reports.visited_prefixes(called(spark, sf_dir, "f_segments"), called(spark, sf_dir, "f_routes"))
     return reports.session_audit(_session_shots(spark, sf_dir, shots), prefixes, events, *_BY)
 
 
@@ -97,7 +97,7 @@ def session_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _statistics(shots: DataFrame, events: DataFrame) -> DataFrame:
     """What a report tells of each snapshot beside its faults."""
     n = events.groupBy(*_BY).agg(F.count(F.lit(1)).alias("n"))
-    told = shots.join(n, list(_BY), "left")
+    told = shots.join(reports.sorting(n), list(_BY), "left")
     return told.select(*_BY, F.coalesce("n", F.lit(0)).alias("n_events"), F.round("percentage", 6).alias("percentage"), "remaining_segments", "completed")
 
 
@@ -130,7 +130,7 @@ found AS (SELECT check_name, session_id, call_no, cast(NULL AS bigint) AS place
 def _position_shots(spark: SparkSession, sf_dir: str, shots: DataFrame) -> DataFrame:
     """Snapshots with provider, reading, nearest node and segment, some of them missing or wrong."""
     e, n, calls, readings = F.col("event_id"), F.col("call_no"), view(spark, sf_dir, "f_calls"), view(spark, sf_dir, "f_raw_positions")
-    told = shots.join(calls.select(*_BY, "event_id"), list(_BY)).join(readings, "event_id")
+    told = shots.join(reports.sorting(calls.select(*_BY, "event_id")), list(_BY)).join(reports.sorting(readings), "event_id")
     step = F.col("step")
     segment = F.struct(F.when(e % 41 > 0, step.cast("string")).alias("id"), F.lit("from").alias("source"), F.col("node").alias("target"), F.when(e % 47 == 0, 0).otherwise(step).alias("sequence"))
     return told.withColumns(

@@ -44,8 +44,13 @@ def rejected_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.fold(_by_day(spark, sf_dir), "session_id", "day").select("session_id", "day", "n_accepted", "n_rejected")
 
 
+def called(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Rows of a view by route_id whose route has calls."""
+    return view(spark, sf_dir, name).join(view(spark, sf_dir, "f_calls").select(F.col("session_id").alias("route_id")).distinct(), "route_id", "left_semi")
+
+
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = sessions.totals(view(spark, sf_dir, "f_segments")).withColumnRenamed("route_id", "session_id")
+    totals = sessions.totals(called(spark, sf_dir, "f_segments")).withColumnRenamed("route_id", "session_id")
     return sessions.walk_steps(view(spark, sf_dir, "f_calls"), totals)
 
 
@@ -53,8 +58,13 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.progress(view(spark, sf_dir, "f_segments"), view(spark, sf_dir, "f_routes"))
 
 
+def _called_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_reports of the routes that have calls."""
+    return sessions.progress(called(spark, sf_dir, "f_segments"), called(spark, sf_dir, "f_routes"))
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _steps(spark, sf_dir).join(_reports(spark, sf_dir).withColumnRenamed("route_id", "session_id"), ["session_id", "step"])
+    return _steps(spark, sf_dir).join(_called_reports(spark, sf_dir).withColumnRenamed("route_id", "session_id"), ["session_id", "step"])
 
 
 @register(oracle(f"WITH {_STEPS} SELECT session_id, call_no, step FROM steps"))
@@ -234,7 +244,7 @@ faults AS (SELECT 'unsupported_type' AS check_name, session_id, call_no, place F
 def _faulty_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(events, batches): all events of all calls, with wrong types, orders, fields and ends brought into some calls."""
     n, e = F.col("call_no"), F.col("event_type")
-    steps, reports = _steps(spark, sf_dir), _reports(spark, sf_dir)
+    steps, reports = _steps(spark, sf_dir), _called_reports(spark, sf_dir)
     nodes = steps.join(reports.withColumnRenamed("route_id", "session_id"), ["session_id", "step"]).select("session_id", "call_no", F.col("current_node").alias("at_node"))
     told = sessions.session_events(steps, reports).join(nodes, ["session_id", "call_no"]).where(~((n % 17 == 0) & (e == "SegmentEntered")))
     # places as they are before an event is left out

@@ -182,3 +182,20 @@ def test_events_of_snapshots_that_follow_positions(spark):
     told = {("completed_without_destination", 1, None), ("order", 2, 1), ("other_route", 2, 1), ("other_session", 2, 2), ("destination_not_completed", 2, None)}
     told |= {("unsupported_type", 3, 0), ("unsupported_type", 3, 1), ("duplicate_type", 3, 1), ("other_route", 3, 0), ("other_session", 3, 1)}
     assert {tuple(r) for r in found} == told and len(found) == len(told)
+
+
+def test_no_table_of_calls_is_broadcast(spark, tmp_path):
+    """Repeated columns make small files of many rows; such tables were sent whole to the driver."""
+    n = 300_000
+    calls = spark.range(n).select(F.col("id").alias("k"))
+    same = {"session": F.lit(1).cast("long"), "route": F.lit(7).cast("long"), "state": F.lit("ACTIVE"), "completed": F.lit(False)}
+    calls.withColumns(same).write.parquet(f"{tmp_path}/shots")
+    told = {"place": F.lit(0).cast("long"), "event_type": F.lit("SessionStarted"), "event_session": F.lit(1).cast("long"), "event_route": F.lit(7).cast("long")}
+    calls.withColumns(told).write.parquet(f"{tmp_path}/events")
+    shots, events = (spark.read.parquet(f"{tmp_path}/{t}") for t in ("shots", "events"))
+    faults = reports.event_faults(events, shots, "k")
+    for df in (faults, reports.reports(faults, shots.select("k"), "k")):
+        assert df.count() in (0, n)
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan()
+        assert "Broadcast" not in plan.toString() and "SortMergeJoin" in plan.toString()
