@@ -199,3 +199,18 @@ def test_no_table_of_calls_is_broadcast(spark, tmp_path):
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan()
         assert "Broadcast" not in plan.toString() and "SortMergeJoin" in plan.toString()
+
+
+def test_reports_of_sessions_broadcast_no_calls(spark, tmp_path):
+    """The audit of a session's snapshots meets their prefixes and events by sorting, whatever the size of the files."""
+    told = {"session": F.lit(1).cast("long"), "route": F.lit(7).cast("long"), "step": F.lit(1).cast("long"), "total": F.lit(2).cast("long"), "state": F.lit("ACTIVE"), "current_node": F.lit("b"), "current_segment": F.lit(1).cast("long"), "remaining_segments": F.lit(1).cast("long")}
+    told |= {"remaining_cost": F.lit(2.0), "remaining_distance": F.lit(2.0), "percentage": F.lit(50.0), "completed": F.lit(False), "visited": F.array(F.lit("a"), F.lit("b"))}
+    spark.range(5000).withColumnRenamed("id", "k").withColumns(told).write.parquet(f"{tmp_path}/shots")
+    shots = spark.read.parquet(f"{tmp_path}/shots")
+    prefixes = reports.visited_prefixes(spark.createDataFrame([(7, 1, "b"), (7, 2, "c")], "route_id long, sequence long, target string"), spark.createDataFrame([(7, "a")], "route_id long, origin string"))
+    events = spark.createDataFrame([(1, 0, "Left", 1, 7)], "k long, place long, event_type string, event_session long, event_route long")
+    faults = reports.session_audit(shots, prefixes, events, "k")
+    found = reports.reports(faults, shots.select("k"), "k")
+    assert found.where("NOT valid").select("k", "n_errors").collect() == [(1, 1)]
+    found.write.format("noop").mode("overwrite").save()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
